@@ -224,6 +224,10 @@ class Fixtures:
             ).otherwise("").alias("isin"),
         )
 
+    @cached_property
+    def orders_dates(self) -> DataFrame:
+        return self.table("orders").select(F.to_date("o_orderdate").alias("order_date")).distinct()
+
     @cached_property
     def rebalance(self) -> DataFrame:
         k = F.col("id")

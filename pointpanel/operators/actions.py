@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointpanel.functions import corporate
+from pointpanel.functions.rounding import half_even
 from pointpanel.operators.asof import asof_join
 
 PRICE_ACTIONS = ("Split", "Bonus", "Rights")
@@ -99,10 +100,10 @@ def reconcile(factors: DataFrame, bars: DataFrame) -> DataFrame:
     step = F.when(adj_ok, F.abs(F.col("adj_after") - F.col("adj_before")) / F.col("adj_before"))
     return rows.select(
         "security_id", "effective_date", "action_type", "actions_sharing_date",
-        F.bround("_cmp", 4).alias("comparison_factor"),
-        F.bround("_implied", 4).alias("implied_factor"),
-        F.bround(deviation, 4).alias("deviation"),
-        F.bround(step, 4).alias("adjusted_step"),
+        half_even("_cmp").alias("comparison_factor"),
+        half_even("_implied").alias("implied_factor"),
+        half_even(deviation).alias("deviation"),
+        half_even(step).alias("adjusted_step"),
         status.alias("status"),
     )
 

@@ -67,25 +67,23 @@ def panel_as_of(
         slot_date,
         F.row_number().over(order).alias("_no"),
         F.lag(slot_date).over(order).alias("_prev"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("_last_no"),
     )
     days = slots.filter(F.col("_prev").isNotNull()).select(
         F.explode(F.sequence(F.date_add("_prev", 1), F.col(slot_date))).alias("_day"), "_no"
     )
-    horizon = slots.agg(F.max(slot_date).alias("_horizon"), F.max("_no").alias("_n"))
     placed = (
-        facts.crossJoin(F.broadcast(horizon))
-        .filter(F.col(date) <= F.col("_horizon"))
+        facts.filter(F.col(date) <= schedule.agg(F.max(slot_date)).scalar())
         .join(F.broadcast(days), F.col(date) == F.col("_day"), "left")
         .withColumn("_no", F.coalesce("_no", F.lit(1)))
     )
     per_slot = placed.groupBy(key, "_no").agg(
-        F.max(date).alias(date_alias), F.first("_n").alias("_n"), *[F.max_by(v, date).alias(v) for v in values]
+        F.max(date).alias(date_alias), *[F.max_by(v, date).alias(v) for v in values]
     )
     following = F.lead("_no").over(Window.partitionBy(key).orderBy("_no"))
-    filled = per_slot.withColumn(
-        "_slot", F.explode(F.sequence(F.col("_no"), F.coalesce(following - 1, F.col("_n"))))
-    ).drop("_no", "_n")
+    until = F.coalesce(following - 1, slots.agg(F.max("_no")).scalar())
+    filled = per_slot.withColumn("_until", until).withColumn(
+        "_slot", F.explode(F.sequence("_no", "_until"))
+    ).drop("_no", "_until")
     return filled.join(
         F.broadcast(slots.select(slot_date, F.col("_no").alias("_slot"))), "_slot"
     ).drop("_slot")

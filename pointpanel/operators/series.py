@@ -13,23 +13,28 @@ from pyspark.sql import functions as F
 
 TRADING_DAYS = 252
 
-by_date = Window.partitionBy("security_id").orderBy("date")
-running = by_date.rowsBetween(Window.unboundedPreceding, 0)
+
+def by_date():
+    return Window.partitionBy("security_id").orderBy("date")
+
+
+def running():
+    return by_date().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def numbered(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("rn", F.row_number().over(by_date))
+    return bars.withColumn("rn", F.row_number().over(by_date()))
 
 
 def rolling_mean(bars: DataFrame, value: str, n: int, out: str) -> DataFrame:
     """Mean of the last ``n`` values from two running sums: linear in the rows, whatever ``n`` is."""
-    with_sum = bars.withColumn("_s", F.sum(value).over(running))
-    mean = (F.col("_s") - F.coalesce(F.lag("_s", n).over(by_date), F.lit(0.0))) / n
+    with_sum = bars.withColumn("_s", F.sum(value).over(running()))
+    mean = (F.col("_s") - F.coalesce(F.lag("_s", n).over(by_date()), F.lit(0.0))) / n
     return with_sum.withColumn(out, F.when(F.col("rn") >= n, mean)).drop("_s")
 
 
 def log_returns(bars: DataFrame, value: str, out: str = "log_return") -> DataFrame:
-    prev = F.lag(value).over(by_date)
+    prev = F.lag(value).over(by_date())
     valid = (prev > 0) & (F.col(value) > 0)
     r = F.when(F.col("rn") > 1, F.when(valid, F.ln(F.col(value) / prev)).otherwise(0.0))
     return bars.withColumn(out, r)
@@ -39,10 +44,10 @@ def realised_vol(bars: DataFrame, value: str, n: int = 30, out: str = "vol30") -
     """Population deviation of the last ``n`` log returns, annualised; first value after ``n`` returns."""
     r = F.coalesce(F.col("_r"), F.lit(0.0))
     df = log_returns(bars, value, "_r").withColumns(
-        {"_s1": F.sum(r).over(running), "_s2": F.sum(r * r).over(running)}
+        {"_s1": F.sum(r).over(running()), "_s2": F.sum(r * r).over(running())}
     )
-    m1 = (F.col("_s1") - F.lag("_s1", n).over(by_date)) / n
-    m2 = (F.col("_s2") - F.lag("_s2", n).over(by_date)) / n
+    m1 = (F.col("_s1") - F.lag("_s1", n).over(by_date())) / n
+    m2 = (F.col("_s2") - F.lag("_s2", n).over(by_date())) / n
     df = df.withColumns({"_m1": m1, "_m2": m2})
     sd = F.sqrt(F.greatest(F.col("_m2") - F.col("_m1") * F.col("_m1"), F.lit(0.0)))
     return df.withColumn(out, F.when(F.col("rn") > n, sd * math.sqrt(TRADING_DAYS))).drop(
@@ -51,14 +56,14 @@ def realised_vol(bars: DataFrame, value: str, n: int = 30, out: str = "vol30") -
 
 
 def true_range(bars: DataFrame, close: str = "close", out: str = "true_range") -> DataFrame:
-    pc = F.lag(close).over(by_date)
+    pc = F.lag(close).over(by_date())
     spread = F.col("high") - F.col("low")
     tr = F.greatest(spread, F.abs(F.col("high") - pc), F.abs(F.col("low") - pc))
     return bars.withColumn(out, F.when(pc.isNull(), spread).otherwise(tr))
 
 
 def daily_returns(bars: DataFrame, value: str, out: str = "ret") -> DataFrame:
-    prev = F.lag(value).over(by_date)
+    prev = F.lag(value).over(by_date())
     return bars.withColumn(out, F.when(prev == 0, 0.0).otherwise(F.col(value) / prev - 1))
 
 
@@ -102,7 +107,7 @@ def decayed_sums(bars: DataFrame, drives: dict[str, tuple[Column, float]], block
 def seeded(value: Column, n: int, start: int, weight: float) -> Column:
     """The drive of a smoother seeded with the mean of its first ``n`` values, the first one at row ``start``."""
     seed_row = start + n - 1
-    total = F.sum(F.when(F.col("rn") >= start, value).otherwise(0.0)).over(running)
+    total = F.sum(F.when(F.col("rn") >= start, value).otherwise(0.0)).over(running())
     return (
         F.when(F.col("rn") < seed_row, 0.0).when(F.col("rn") == seed_row, total / n).otherwise(value * weight)
     )
@@ -129,7 +134,7 @@ def macd(bars: DataFrame, value: str, fast: int = 12, slow: int = 26, signal: in
 
 def rsi(bars: DataFrame, value: str, n: int = 14, out: str = "rsi14") -> DataFrame:
     """Wilder's index: mean gain and loss of the first ``n`` changes, then (avg*(n-1) + x)/n."""
-    df = bars.withColumn("_c", F.col(value) - F.lag(value).over(by_date))
+    df = bars.withColumn("_c", F.col(value) - F.lag(value).over(by_date()))
     df = df.withColumns({
         "_g": F.greatest(F.coalesce(F.col("_c"), F.lit(0.0)), F.lit(0.0)),
         "_l": F.greatest(F.coalesce(-F.col("_c"), F.lit(0.0)), F.lit(0.0)),
@@ -149,12 +154,13 @@ def atr(bars: DataFrame, close: str = "close", n: int = 14, out: str = "atr14")
     return df.withColumn(out, F.when(F.col("rn") > n, F.col(out))).drop("_tr", "_dt")
 
 
-def indicators(bars: DataFrame, value: str = "adj_close") -> DataFrame:
+def indicators(bars: DataFrame, value: str = "adj_close", keep: tuple[str, ...] = ()) -> DataFrame:
     """The indicator row of every bar: averages, index, convergence, range and volatility of the adjusted series.
 
-    High and low stay raw while the previous close is adjusted, as the derivation defines it.
+    High and low stay raw while the previous close is adjusted, as the derivation defines it. ``keep`` names bar columns
+    to carry along, which saves joining them back.
     """
-    prev = F.lag(value).over(by_date)
+    prev = F.lag(value).over(by_date())
     df = numbered(bars).withColumn("_prev", prev)
     change = F.coalesce(F.col(value) - F.col("_prev"), F.lit(0.0))
     ratio_ok = (F.col("_prev") > 0) & (F.col(value) > 0)
@@ -167,9 +173,9 @@ def indicators(bars: DataFrame, value: str = "adj_close") -> DataFrame:
         "_r": F.when(ratio_ok, F.ln(F.col(value) / F.col("_prev"))).otherwise(0.0),
     })
     df = df.withColumns({
-        "_s": F.sum(value).over(running),
-        "_r1": F.sum("_r").over(running),
-        "_r2": F.sum(F.col("_r") * F.col("_r")).over(running),
+        "_s": F.sum(value).over(running()),
+        "_r1": F.sum("_r").over(running()),
+        "_r2": F.sum(F.col("_r") * F.col("_r")).over(running()),
         "_df": seeded(F.col(value), 12, 1, 2 / 13),
         "_ds": seeded(F.col(value), 26, 1, 2 / 27),
         "_dg": seeded(F.col("_g"), 14, 2, 1 / 14),
@@ -177,8 +183,8 @@ def indicators(bars: DataFrame, value: str = "adj_close") -> DataFrame:
         "_dt": seeded(F.col("_tr"), 14, 2, 1 / 14),
     })
     df = df.withColumns({
-        "_s50": F.lag("_s", 50).over(by_date), "_s200": F.lag("_s", 200).over(by_date),
-        "_q1": F.lag("_r1", 30).over(by_date), "_q2": F.lag("_r2", 30).over(by_date),
+        "_s50": F.lag("_s", 50).over(by_date()), "_s200": F.lag("_s", 200).over(by_date()),
+        "_q1": F.lag("_r1", 30).over(by_date()), "_q2": F.lag("_r2", 30).over(by_date()),
     })
     d14 = 13 / 14
     df = decayed_sums(df, {
@@ -192,7 +198,7 @@ def indicators(bars: DataFrame, value: str = "adj_close") -> DataFrame:
     m2 = (F.col("_r2") - F.col("_q2")) / 30
     rn = F.col("rn")
     return df.select(
-        "security_id", "date",
+        "security_id", "date", *keep,
         F.when(rn >= 50, (F.col("_s") - F.coalesce("_s50", F.lit(0.0))) / 50).alias("sma50"),
         F.when(rn >= 200, (F.col("_s") - F.coalesce("_s200", F.lit(0.0))) / 200).alias("sma200"),
         F.when(rn > 14, F.when(F.col("_al") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_ag") / F.col("_al")))).alias("rsi14"),

@@ -138,8 +138,8 @@ def with_views(body: str, **extra: str) -> str:
 
 
 def rnd(expr: str, digits: int = 6) -> str:
-    """Half-up rounding of the shortest decimal form, the way Spark rounds doubles."""
-    return f"CAST(round(CAST({expr} AS DECIMAL(30, 9)), {digits}) AS DOUBLE)"
+    """The same three double operations the Spark side rounds with."""
+    return f"(floor(({expr}) * 1e{digits} + 0.5) / 1e{digits})"
 
 
 def rounded(*names: str, digits: int = 6) -> str:

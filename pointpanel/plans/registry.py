@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ["series"]
+SECTIONS = ["screens", "series"]
 
 
 def _collect(attr: str) -> dict:

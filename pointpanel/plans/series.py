@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pointpanel.fixtures import Fixtures
+from pointpanel.functions.rounding import half_up
 from pointpanel.operators import actions as act
 from pointpanel.operators import series, valuation
 from pointpanel.plans.oracle_views import rnd, rounded, with_views
@@ -23,7 +24,7 @@ def adjusted(fx: Fixtures):
 
 
 def _out(df, *cols, digits=4):
-    return df.select("security_id", "date", *[F.round(c, digits).alias(c) for c in cols])
+    return df.select("security_id", "date", *[half_up(c, digits).alias(c) for c in cols])
 
 
 def q_sma(spark, sf):
@@ -97,7 +98,7 @@ def q_ratios(spark, sf):
     fx = Fixtures(spark, sf)
     df = valuation.ratios(fx.fundamentals_v2, fx.bars)
     cols = ["price", "market_cap", "pe", "pb", "ps", "roe", "debt_to_equity", "gross_margin", "roic", "fcf_yield"]
-    return df.select("security_id", "reported_date", *[F.round(c, 6).alias(c) for c in cols])
+    return df.select("security_id", "reported_date", *[half_up(c, 6).alias(c) for c in cols])
 
 
 def q_market_cap(spark, sf):
@@ -109,7 +110,7 @@ def q_market_cap(spark, sf):
 
 def q_factor_product(spark, sf):
     return act.factor_per_date(factors(Fixtures(spark, sf))).select(
-        "security_id", "effective_date", "n_actions", F.round("factor", 6).alias("factor")
+        "security_id", "effective_date", "n_actions", half_up("factor", 6).alias("factor")
     )
 
 
