@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pointpanel.functions import corporate
+
 
 def _trade_order() -> Column:
     """(order, line, part, price) as one fixed-width decimal.
@@ -197,6 +199,22 @@ class Fixtures:
             F.when(F.dayofmonth("date") != 13, F.col("date")).alias("sealed_at"),
         )
 
+    def traded(self, bars: DataFrame, smooth: int = 20) -> DataFrame:
+        """Bars whose close is a trailing mean that steps down on every split and bonus date, as a traded price does."""
+        w = Window.partitionBy("security_id").orderBy("date")
+        factor = F.when(F.col("_text").startswith("Sub"), corporate.split_from_remark(F.col("_text"))).otherwise(
+            corporate.bonus_from_remark(F.col("_text"))
+        )
+        steps = self._actions(bars).filter(F.col("action_type").isin("Split", "Bonus")).select(
+            "security_id", F.col("effective_date").alias("date"), F.col("raw_description").alias("_text")
+        ).withColumn("_f", factor)
+        mean = F.avg("close").over(w.rowsBetween(1 - smooth, 0))
+        level = F.product(F.coalesce("_f", F.lit(1.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return bars.join(steps.drop("_text"), ["security_id", "date"], "left").withColumn("close", mean * level).drop("_f")
+
+    def actions_of(self, bars: DataFrame) -> DataFrame:
+        return self._actions(bars)
+
     @cached_property
     def snapshots(self) -> DataFrame:
         return self._snapshots(self.bars)

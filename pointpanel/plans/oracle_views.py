@@ -84,6 +84,16 @@ SELECT *, CAST(reported_date + INTERVAL '180' DAY AS DATE) AS valid_from, DATE '
 FROM fx_fundamentals_v2""",
     "fx_actions": _ACTIONS.format(bars="fx_bars"),
     "fx_actions_dense": _ACTIONS.format(bars="fx_bars_dense"),
+    "fx_traded": """
+SELECT b.security_id, b.date, b.volume,
+       (sum(b.close) OVER m / count(*) OVER m) * coalesce(product(f.factor) OVER r, 1) AS close
+FROM fx_bars_dense b LEFT JOIN (SELECT security_id, effective_date AS date,
+    CASE action_type WHEN 'Split' THEN (1 + security_id % 5) / 10::DOUBLE ELSE (1 + security_id % 3) / (2 + security_id % 3)::DOUBLE END AS factor
+  FROM fx_actions_dense WHERE action_type IN ('Split', 'Bonus')) f USING (security_id, date)
+WINDOW m AS (PARTITION BY b.security_id ORDER BY b.date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW),
+       r AS (PARTITION BY b.security_id ORDER BY b.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "fx_actions_traded": _ACTIONS.format(bars="fx_traded"),
+    "fx_factors_traded": _FACTORS.format(actions="fx_actions_traded", bars="fx_traded"),
     "fx_factors": _FACTORS.format(actions="fx_actions", bars="fx_bars"),
     "fx_factors_dense": _FACTORS.format(actions="fx_actions_dense", bars="fx_bars_dense"),
     "fx_adjusted": _ADJUSTED.format(factors="fx_factors", bars="fx_bars"),

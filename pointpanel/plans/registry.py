@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ["screens", "series"]
+SECTIONS = ["screens", "series", "backtests"]
 
 
 def _collect(attr: str) -> dict:

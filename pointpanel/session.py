@@ -41,3 +41,14 @@ def shared_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder, never used twice."""
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df, label: str):
+    """``df`` written once to the shared folder and read back: cuts a lineage several branches would recompute.
+
+    The files outlive lost executors, unlike blocks cached on them.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
