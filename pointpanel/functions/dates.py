@@ -20,7 +20,12 @@ def parse_date(text: Column, formats: list[str] | None = None) -> Column:
     t = F.trim(text)
     # month names come in any case; the parser wants Title case
     titled = F.regexp_replace(F.initcap(F.regexp_replace(t, "-", " ")), " ", "-")
-    tries = [F.try_to_timestamp(titled if "MMM" in f else t, F.lit(f)).cast("date") for f in formats or DATE_FORMATS]
+    tries = []
+    for f in formats or DATE_FORMATS:
+        d = F.try_to_timestamp(titled if "MMM" in f else t, F.lit(f)).cast("date")
+        if "yyyy" not in f:  # two-digit years reach from 1950 to 2049
+            d = F.when(F.year(d) > 2049, F.add_months(d, -1200)).otherwise(d)
+        tries.append(d)
     return F.coalesce(*tries, t.try_cast("date"))
 
 

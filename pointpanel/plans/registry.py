@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ["screens", "series", "backtests"]
+SECTIONS = ["screens", "series", "backtests", "reference_data"]
 
 
 def _collect(attr: str) -> dict:
