@@ -16,13 +16,23 @@ QUARTERLY_LAG_DAYS = 45
 REBALANCE_MONTHS = {"Monthly": 1, "Quarterly": 3, "Annual": 12}
 
 
+def _shape(fmt: str) -> str:
+    pattern = fmt.replace("MMM", "[A-Za-z]{3}").replace("yyyy", r"\d{4}")
+    for token in ("dd", "MM", "yy"):
+        pattern = pattern.replace(token, r"\d{2}")
+    return f"^{pattern}$"
+
+
 def parse_date(text: Column, formats: list[str] | None = None) -> Column:
     t = F.trim(text)
     # month names come in any case; the parser wants Title case
     titled = F.regexp_replace(F.initcap(F.regexp_replace(t, "-", " ")), " ", "-")
     tries = []
     for f in formats or DATE_FORMATS:
-        d = F.try_to_timestamp(titled if "MMM" in f else t, F.lit(f)).cast("date")
+        month_name = "MMM" in f
+        # a format is only tried on text of its shape: a failed parse costs an exception per row
+        shaped = F.when(t.rlike(_shape(f)), titled if month_name else t)
+        d = F.try_to_timestamp(shaped, F.lit(f)).cast("date")
         if "yyyy" not in f:  # two-digit years reach from 1950 to 2049
             d = F.when(F.year(d) > 2049, F.add_months(d, -1200)).otherwise(d)
         tries.append(d)
