@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ["screens", "series", "backtests", "reference_data", "storage"]
+SECTIONS = ["screens", "series", "backtests", "reference_data", "storage", "vocabulary"]
 
 
 def _collect(attr: str) -> dict:
