@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: what separates the words of a name.
+NOT_A_WORD = r"[^\p{L}\p{Nd}]+"
+
+
 def concept_key(text: Column) -> Column:
     """Lower case, runs of other than letters and digits become one underscore, none at the ends."""
-    return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", "_"), F.lit("_"))
+    return F.btrim(F.regexp_replace(F.lower(text), NOT_A_WORD, "_"), F.lit("_"))
 
 
 def prompt_key(text: Column) -> Column:

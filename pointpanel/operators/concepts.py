@@ -1,11 +1,15 @@
-"""Bulk work on criteria, intents and the concept vocabulary. All of it is row-wise: arrays in, arrays out, no shuffle."""
+"""Bulk work on criteria, intents and the concept vocabulary. All of it is row-wise: arrays in, arrays out, no shuffle.
+
+Computed arrays are exploded with ``explode_outer`` and a null filter: for a plain ``explode`` the optimizer adds a filter
+on the array's size, which would evaluate the whole fold a second time.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointpanel.functions.text import concept_key
+from pointpanel.functions.text import NOT_A_WORD, concept_key
 from pointpanel.functions.vocabulary import (
     ALLOWED_OPERATORS, CONCEPTS, MAX_ALIASES, MAX_COMPARISONS, MAX_DEPTH, MAX_LIMIT, MAX_NAME_LENGTH, METRICS,
 )
@@ -92,7 +96,9 @@ def validate_criteria(criteria: DataFrame) -> DataFrame:
         )
 
     errors = F.array_compact(F.concat(top, F.flatten(F.transform("nodes", of_node))))
-    return parsed.select("strategy_id", F.explode(errors).alias("e")).select("strategy_id", "e.path", "e.code")
+    return parsed.select("strategy_id", F.explode_outer(errors).alias("e")).filter(F.col("e").isNotNull()).select(
+        "strategy_id", "e.path", "e.code"
+    )
 
 
 # --- intents ----------------------------------------------------------------------------------------------------------
@@ -145,7 +151,9 @@ def resolve_intents(intents: DataFrame) -> DataFrame:
     row = lambda kind, f, o, v: F.struct(F.lit(kind).alias("kind"), f.alias("field"), o.alias("operator"), v.alias("value"))
     good = F.transform("comparisons", lambda c: row("comparison", c["field"], c["operator"], c["value"]))
     bad = F.transform("errors", lambda e: row("error", e, F.lit(None).cast("string"), F.lit(None).cast("double")))
-    return df.select("intent_id", F.explode(F.when(F.size("errors") > 0, bad).otherwise(good)).alias("r")).select("intent_id", "r.*")
+    return df.select("intent_id", F.explode_outer(F.when(F.size("errors") > 0, bad).otherwise(good)).alias("r")).filter(
+        F.col("r").isNotNull()
+    ).select("intent_id", "r.*")
 
 
 # --- tagging ----------------------------------------------------------------------------------------------------------
@@ -160,12 +168,14 @@ def tag_keys() -> list[tuple[str, str]]:
 def tags(text: Column) -> Column:
     """Concepts named in a text: whole words only, and a matched span is gone for every shorter key.
 
-    So "not overbought" never also counts as "overbought". One fold over the fixed key list per text.
+    So "not overbought" never also counts as "overbought". Words no key uses shrink to one mark per run first: they can
+    only separate matches, so the fold over the key list works on a few words instead of the whole text.
     """
     keys = F.array(*[F.struct(F.lit(f"_{k}_").alias("k"), F.lit(c).alias("c")) for k, c in tag_keys()])
-    start = F.struct(
-        F.concat(F.lit("_"), concept_key(text), F.lit("_")).alias("rest"), F.array().cast("array<string>").alias("found")
-    )
+    used = sorted({w for k, _ in tag_keys() for w in k.split("_")})
+    words = F.transform(F.split(F.lower(text), NOT_A_WORD), lambda w: F.when(w.isin(used), w).otherwise("~"))
+    short = F.regexp_replace(F.array_join(words, "_"), "(?:~_)+", "~_")
+    start = F.struct(F.concat(F.lit("_"), short, F.lit("_")).alias("rest"), F.array().cast("array<string>").alias("found"))
     folded = F.aggregate(
         keys, start,
         lambda acc, k: F.when(

@@ -125,7 +125,8 @@ def screen_many(frame: DataFrame, criteria: DataFrame, keep: list[str], fields:
     )
     return (
         frame.withColumns({"_all": packed.scalar(), "_m": metrics})
-        .select(F.explode(F.transform(hits, lambda c: c["criteria_key"])).alias("criteria_key"), *keep)
+        .select(F.explode_outer(F.transform(hits, lambda c: c["criteria_key"])).alias("criteria_key"), *keep)
+        .filter(F.col("criteria_key").isNotNull())
     )
 
 

@@ -78,47 +78,69 @@ def block_rows(*decays: float) -> int:
     return max(math.ceil(40.0 / -math.log(d)) for d in decays)
 
 
-def decayed_sums(bars: DataFrame, drives: dict[str, tuple[Column, float]], block: int | None = None) -> DataFrame:
-    """Adds y(t) = d*y(t-1) + u(t) for each ``out: (u, d)``. ``bars`` carries ``rn``; u is zero before its start."""
-    size = block or block_rows(*[d for _, d in drives.values()])
-    df = bars.withColumns(
-        {"_b": F.floor((F.col("rn") - 1) / size).cast("int"), "_j": ((F.col("rn") - 1) % size).cast("double")}
-    )
+def blocked(bars: DataFrame, size: int) -> DataFrame:
+    """Adds the block number and the row's place in it. From here on windows order by (block, date): the same order as by
+    date, spelled the way the block windows need it, so one sort serves them all."""
+    return bars.withColumns({
+        "_b": F.floor((F.col("rn") - 1) / size).cast("int"), "_j": ((F.col("rn") - 1) % size).cast("double"),
+        "_last": (F.col("rn") % size) == 0,
+    })
+
+
+def by_block():
+    return Window.partitionBy("security_id").orderBy("_b", "date")
+
+
+def decayed_sums(df: DataFrame, drives: dict[str, tuple[Column, float]]) -> DataFrame:
+    """Adds y(t) = d*y(t-1) + u(t) for each ``out: (u, d)`` to blocked rows; u is zero before its start."""
     in_block = Window.partitionBy("security_id", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("security_id").orderBy("_b", "date").rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumns(
+    before = by_block().rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumns(
         {f"_u_{o}": u * F.pow(F.lit(1 / d), F.col("_j")) for o, (u, d) in drives.items()}
     ).withColumns(
         {f"_z_{o}": F.sum(f"_u_{o}").over(in_block) * F.pow(F.lit(d), F.col("_j")) for o, (_, d) in drives.items()}
     ).withColumns(
-        {
-            f"_p_{o}": F.last(F.when(F.col("_j") == size - 1, F.col(f"_z_{o}")), ignorenulls=True).over(before)
-            for o in drives
-        }
+        {f"_p_{o}": F.last(F.when(F.col("_last"), F.col(f"_z_{o}")), ignorenulls=True).over(before) for o in drives}
     ).withColumns(
         {
             o: F.col(f"_z_{o}") + F.coalesce(F.col(f"_p_{o}"), F.lit(0.0)) * F.pow(F.lit(d), F.col("_j") + 1)
             for o, (_, d) in drives.items()
         }
-    )
-    return df.drop("_b", "_j", *[f"_{k}_{o}" for k in "uzp" for o in drives])
+    ).drop(*[f"_{k}_{o}" for k in "uzp" for o in drives])
 
 
-def seeded(value: Column, n: int, start: int, weight: float) -> Column:
+def seeded(value: Column, n: int, start: int, weight: float, over=None) -> Column:
     """The drive of a smoother seeded with the mean of its first ``n`` values, the first one at row ``start``."""
     seed_row = start + n - 1
-    total = F.sum(F.when(F.col("rn") >= start, value).otherwise(0.0)).over(running())
+    total = F.sum(F.when(F.col("rn") >= start, value).otherwise(0.0)).over(over or running())
     return (
         F.when(F.col("rn") < seed_row, 0.0).when(F.col("rn") == seed_row, total / n).otherwise(value * weight)
     )
 
 
-def ema(bars: DataFrame, value: str, n: int, out: str, start: int = 1) -> DataFrame:
+def running_block():
+    return by_block().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def unblocked(df: DataFrame) -> DataFrame:
+    return df.drop("_b", "_j", "_last")
+
+
+def ema(bars: DataFrame, value: str, n: int, out: str) -> DataFrame:
     """Seed = mean of the first ``n``; then e += (x - e) * 2/(n+1)."""
     w = 2.0 / (n + 1)
-    df = bars.withColumn(f"_d_{out}", seeded(F.col(value), n, start, w))
-    df = decayed_sums(df, {out: (F.col(f"_d_{out}"), 1 - w)})
-    return df.withColumn(out, F.when(F.col("rn") >= start + n - 1, F.col(out))).drop(f"_d_{out}")
+    df = bars.withColumn("_d", seeded(F.col(value), n, 1, w))
+    df = decayed_sums(blocked(df, block_rows(1 - w)), {out: (F.col("_d"), 1 - w)})
+    return unblocked(df).withColumn(out, F.when(F.col("rn") >= n, F.col(out))).drop("_d")
+
+
+def _macd(df: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
+    """macd and its signal from blocked rows that carry the two averages ``_ef`` and ``_es``."""
+    w = 2.0 / (signal + 1)
+    df = df.withColumn("macd", F.when(F.col("rn") >= slow, F.col("_ef") - F.col("_es")))
+    df = df.withColumn("_dm", seeded(F.col("macd"), signal, slow, w, running_block()))
+    df = decayed_sums(df, {"_sig": (F.col("_dm"), 1 - w)})
+    return df.withColumn("macd_signal", F.when(F.col("rn") >= slow + signal - 1, F.col("_sig"))).drop("_dm", "_sig")
 
 
 def macd(bars: DataFrame, value: str, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
@@ -127,9 +149,8 @@ def macd(bars: DataFrame, value: str, fast: int = 12, slow: int = 26, signal: in
     df = bars.withColumns(
         {"_df": seeded(F.col(value), fast, 1, wf), "_ds": seeded(F.col(value), slow, 1, ws)}
     )
-    df = decayed_sums(df, {"_ef": (F.col("_df"), 1 - wf), "_es": (F.col("_ds"), 1 - ws)})
-    df = df.withColumn("macd", F.when(F.col("rn") >= slow, F.col("_ef") - F.col("_es")))
-    return ema(df, "macd", signal, "macd_signal", start=slow).drop("_df", "_ds", "_ef", "_es")
+    df = decayed_sums(blocked(df, block_rows(1 - ws)), {"_ef": (F.col("_df"), 1 - wf), "_es": (F.col("_ds"), 1 - ws)})
+    return unblocked(_macd(df, fast, slow, signal)).drop("_df", "_ds", "_ef", "_es")
 
 
 def rsi(bars: DataFrame, value: str, n: int = 14, out: str = "rsi14") -> DataFrame:
@@ -141,7 +162,7 @@ def rsi(bars: DataFrame, value: str, n: int = 14, out: str = "rsi14") -> DataFra
     })
     df = df.withColumns({"_dg": seeded(F.col("_g"), n, 2, 1 / n), "_dl": seeded(F.col("_l"), n, 2, 1 / n)})
     d = 1 - 1 / n
-    df = decayed_sums(df, {"_ag": (F.col("_dg"), d), "_al": (F.col("_dl"), d)})
+    df = unblocked(decayed_sums(blocked(df, block_rows(d)), {"_ag": (F.col("_dg"), d), "_al": (F.col("_dl"), d)}))
     index = F.when(F.col("_al") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_ag") / F.col("_al")))
     return df.withColumn(out, F.when(F.col("rn") > n, index)).drop("_c", "_g", "_l", "_dg", "_dl", "_ag", "_al")
 
@@ -150,7 +171,7 @@ def atr(bars: DataFrame, close: str = "close", n: int = 14, out: str = "atr14")
     """Wilder average of the true range; the first bar's range is not part of the seed."""
     df = true_range(bars, close, "_tr")
     df = df.withColumn("_dt", seeded(F.col("_tr"), n, 2, 1 / n))
-    df = decayed_sums(df, {out: (F.col("_dt"), 1 - 1 / n)})
+    df = unblocked(decayed_sums(blocked(df, block_rows(1 - 1 / n)), {out: (F.col("_dt"), 1 - 1 / n)}))
     return df.withColumn(out, F.when(F.col("rn") > n, F.col(out))).drop("_tr", "_dt")
 
 
@@ -187,13 +208,11 @@ def indicators(bars: DataFrame, value: str = "adj_close", keep: tuple[str, ...]
         "_q1": F.lag("_r1", 30).over(by_date()), "_q2": F.lag("_r2", 30).over(by_date()),
     })
     d14 = 13 / 14
-    df = decayed_sums(df, {
+    df = decayed_sums(blocked(df, block_rows(25 / 27)), {
         "_ef": (F.col("_df"), 11 / 13), "_es": (F.col("_ds"), 25 / 27), "_ag": (F.col("_dg"), d14),
         "_al": (F.col("_dl"), d14), "_at": (F.col("_dt"), d14),
-    }, block=block_rows(25 / 27))
-    df = df.withColumn("macd", F.when(F.col("rn") >= 26, F.col("_ef") - F.col("_es")))
-    df = df.withColumn("_dm", seeded(F.col("macd"), 9, 26, 0.2))
-    df = decayed_sums(df, {"_sig": (F.col("_dm"), 0.8)}, block=block_rows(25 / 27))
+    })
+    df = _macd(df, 12, 26, 9)
     m1 = (F.col("_r1") - F.col("_q1")) / 30
     m2 = (F.col("_r2") - F.col("_q2")) / 30
     rn = F.col("rn")
@@ -203,7 +222,7 @@ def indicators(bars: DataFrame, value: str = "adj_close", keep: tuple[str, ...]
         F.when(rn >= 200, (F.col("_s") - F.coalesce("_s200", F.lit(0.0))) / 200).alias("sma200"),
         F.when(rn > 14, F.when(F.col("_al") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_ag") / F.col("_al")))).alias("rsi14"),
         "macd",
-        F.when(rn >= 34, F.col("_sig")).alias("macd_signal"),
+        "macd_signal",
         F.when(rn > 14, F.col("_at")).alias("atr14"),
         F.when(rn > 30, F.sqrt(F.greatest(m2 - m1 * m1, F.lit(0.0))) * math.sqrt(TRADING_DAYS)).alias("vol30"),
     )

@@ -49,11 +49,12 @@ class Run:
 
     @cached_property
     def days(self) -> DataFrame:
-        return calendar.trading_days(self.bars)
+        return stored(calendar.trading_days(self.bars), "days")
 
     @cached_property
     def legs(self) -> DataFrame:
-        return calendar.execution_legs(self.fx.rebalance, self.fx._snapshots(self.bars), self.days, END)
+        legs = calendar.execution_legs(self.fx.rebalance, self.fx._snapshots(self.bars), self.days, END)
+        return stored(legs, "legs")
 
     @cached_property
     def securities(self) -> DataFrame:

@@ -127,11 +127,11 @@ def legs(fx: Fixtures) -> DataFrame:
 
 
 def q_execution_legs(spark, sf):
-    return legs(Fixtures(spark, sf))
+    return legs(Fixtures(spark, sf).with_stored_bars())
 
 
 def q_first_fillable_bar(spark, sf):
-    fx = Fixtures(spark, sf)
+    fx = Fixtures(spark, sf).with_stored_bars()
     return calendar.first_fillable(identity.with_lock_flag(fx.bars), legs(fx))
 
 
@@ -160,12 +160,12 @@ def selection(fx: Fixtures, n: int = 5) -> DataFrame:
 
 
 def q_screen_panel(spark, sf):
-    hits = panel(Fixtures(spark, sf)).filter((F.col("close") > 500) & (F.col("pb") < 15))
+    hits = panel(Fixtures(spark, sf).with_stored_bars()).filter((F.col("close") > 500) & (F.col("pb") < 15))
     return hits.select("signal_date", "security_id", "close", "volume", "price_date", half_up("pb", 6).alias("pb"))
 
 
 def q_max_positions(spark, sf):
-    return selection(Fixtures(spark, sf)).select("signal_date", "security_id", F.col("rank").cast("long").alias("rank"))
+    return selection(Fixtures(spark, sf).with_stored_bars()).select("signal_date", "security_id", F.col("rank").cast("long").alias("rank"))
 
 
 def equal_weights(chosen: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def numbered_selection(fx: Fixtures) -> DataFrame:
 
 
 def q_equal_weight(spark, sf):
-    return equal_weights(numbered_selection(Fixtures(spark, sf)))
+    return equal_weights(numbered_selection(Fixtures(spark, sf).with_stored_bars()))
 
 
 MIN_DELTA = 0.0001
@@ -194,7 +194,7 @@ def trade_list(current: DataFrame, target: DataFrame, keys: list[str]) -> DataFr
 
 
 def q_trade_list_diff(spark, sf):
-    now = equal_weights(numbered_selection(Fixtures(spark, sf)))
+    now = equal_weights(numbered_selection(Fixtures(spark, sf).with_stored_bars()))
     before = now.withColumn("rebalance_no", F.col("rebalance_no") + 1)
     trades = trade_list(before, now, ["rebalance_no", "security_id"])
     return trades.withColumn("notional", F.abs("delta") * 100000.0)
@@ -202,13 +202,13 @@ def q_trade_list_diff(spark, sf):
 
 def q_keys_union(spark, sf):
     """Securities held before or wanted now, per rebalance."""
-    now = numbered_selection(Fixtures(spark, sf))
+    now = numbered_selection(Fixtures(spark, sf).with_stored_bars())
     before = now.withColumn("rebalance_no", F.col("rebalance_no") + 1)
     return now.union(before).distinct()
 
 
 def q_trading_calendar(spark, sf):
-    fx = Fixtures(spark, sf)
+    fx = Fixtures(spark, sf).with_stored_bars()
     held = selection(fx).select("security_id").distinct()
     return calendar.trading_days(fx.bars.join(held, "security_id", "left_semi"))
 
@@ -226,7 +226,7 @@ FLAGSHIP = {
 
 def q_screen_full(spark, sf):
     """The composed screen. Indicators and prices come from one pass over the bars, so nothing is joined back."""
-    fx = Fixtures(spark, sf)
+    fx = Fixtures(spark, sf).with_stored_bars()
     rows = series.indicators(adjusted(fx), keep=("close", "adj_close", "volume"))
     latest = latest_as_of(
         rows, AS_OF, ["close", "adj_close", "volume", *screen.INDICATOR_COLUMNS], date_alias="price_date"

@@ -65,14 +65,14 @@ def q_daily_returns(spark, sf):
 
 
 def q_adj_close(spark, sf):
-    return _out(adjusted(Fixtures(spark, sf)), "adj_close", digits=6)
+    return _out(adjusted(Fixtures(spark, sf).with_stored_bars()), "adj_close", digits=6)
 
 
 INDICATOR_COLUMNS = ["sma50", "sma200", "rsi14", "macd", "macd_signal", "atr14", "vol30"]
 
 
 def q_indicators_all(spark, sf):
-    df = series.indicators(adjusted(Fixtures(spark, sf)))
+    df = series.indicators(adjusted(Fixtures(spark, sf).with_stored_bars()))
     return _out(df, *INDICATOR_COLUMNS)
 
 
@@ -84,12 +84,12 @@ def q_asof_price_at_report(spark, sf):
 
 
 def q_asof_strictly_before(spark, sf):
-    fx = Fixtures(spark, sf)
+    fx = Fixtures(spark, sf).with_stored_bars()
     return act.with_cum_close(fx.actions, fx.bars).select("security_id", "effective_date", "action_type", "cum_close")
 
 
 def q_asof_bounded_window(spark, sf):
-    fx = Fixtures(spark, sf)
+    fx = Fixtures(spark, sf).with_stored_bars()
     df = act.surrounding_prices(fx.actions, fx.bars.withColumn("adj_close", F.col("close")))
     return df.select("security_id", "effective_date", "action_type", "close_before", "close_after")
 
@@ -109,19 +109,19 @@ def q_market_cap(spark, sf):
 
 
 def q_factor_product(spark, sf):
-    return act.factor_per_date(factors(Fixtures(spark, sf))).select(
+    return act.factor_per_date(factors(Fixtures(spark, sf).with_stored_bars())).select(
         "security_id", "effective_date", "n_actions", half_up("factor", 6).alias("factor")
     )
 
 
 def q_actions_sharing_date(spark, sf):
-    fx = Fixtures(spark, sf)
+    fx = Fixtures(spark, sf).with_stored_bars()
     checks = act.reconcile(factors(fx), fx.bars.withColumn("adj_close", F.col("close")))
     return checks.select("security_id", "effective_date", "action_type", "actions_sharing_date")
 
 
 def q_action_reconcile(spark, sf):
-    fx = Fixtures(spark, sf)
+    fx = Fixtures(spark, sf).with_stored_bars()
     return act.reconcile(factors(fx), adjusted(fx))
 
 

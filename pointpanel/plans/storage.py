@@ -14,7 +14,7 @@ from pointpanel.functions.rounding import half_up
 from pointpanel.operators import calendar, screen, series
 from pointpanel.plans import screens
 from pointpanel.plans.oracle_views import rnd, with_views
-from pointpanel.session import scratch_path
+from pointpanel.session import scratch_path, stored
 from pointpanel.sources import eod_files, provider_files, sinks, snapshots
 from pointpanel.streaming import daily_bars, daily_ingest
 
@@ -37,7 +37,7 @@ def write_eod(fx: Fixtures, root: str) -> None:
     y = F.year("date")
     parts = {"legacy": y < 1998, "udiff": (y >= 1998) & (y < 2000), "full": y >= 2000}
     formats = {"legacy": "dd-MMM-yyyy", "udiff": "yyyy-MM-dd", "full": "dd-MMM-yyyy"}
-    rows = eod_rows(fx)
+    rows = stored(eod_rows(fx), "eod-rows")
     for layout, mine in parts.items():
         names = eod_files.LAYOUTS[layout]
         pad = " " if layout == "full" else ""

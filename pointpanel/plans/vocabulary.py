@@ -93,7 +93,9 @@ def prompts(fx: Fixtures) -> DataFrame:
 
 
 def q_concept_tagging(spark, sf):
-    return prompts(Fixtures(spark, sf)).select("kind", "id", F.explode(concepts.tags(F.col("prompt"))).alias("concept"))
+    return prompts(Fixtures(spark, sf)).select(
+        "kind", "id", F.explode_outer(concepts.tags(F.col("prompt"))).alias("concept")
+    ).filter(F.col("concept").isNotNull())
 
 
 def q_eval_pass_rate(spark, sf):
