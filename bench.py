@@ -13,9 +13,9 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "screen_full", "asof_latest_bar", "screen_panel", "screen_bulk", "indicators_all", "ema", "adj_close",
-    "action_reconcile", "ratios", "asof_price_at_report", "alert_diff_history", "bt_equity_curve", "bt_sweep",
-    "sink_bars_upsert", "snapshot_seal_history", "concept_tagging", "src_eod_csv", "stream_daily_bars",
+    "screen_full", "asof_latest_bar", "screen_panel", "screen_bulk", "indicators_all", "ema", "action_reconcile",
+    "ratios", "alert_diff_history", "bt_sweep", "sink_bars_upsert", "snapshot_seal_history", "concept_tagging",
+    "stream_daily_bars",
 ]
 
 

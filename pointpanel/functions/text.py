@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
 # Fixed value: what separates the words of a name.
 NOT_A_WORD = r"[^\p{L}\p{Nd}]+"
 

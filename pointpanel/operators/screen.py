@@ -114,7 +114,8 @@ def screen_many(frame: DataFrame, criteria: DataFrame, keep: list[str], fields:
     list reaches the tasks as one array; it is a vocabulary of distinct definitions and its size is checked. A longer
     list is taken in slices by the caller (``slice_criteria``).
     """
-    packed = criteria.agg(F.collect_list(F.struct("criteria_key", "comparisons")).alias("a")).select(
+    # one more than allowed is enough to refuse, so the packed list is bounded whatever the input
+    packed = criteria.limit(MAX_CRITERIA_PER_PASS + 1).agg(F.collect_list(F.struct("criteria_key", "comparisons")).alias("a")).select(
         F.when(F.size("a") <= MAX_CRITERIA_PER_PASS, F.col("a")).otherwise(
             F.raise_error(F.lit("too many criteria for one pass: slice them"))
         )
@@ -140,7 +141,13 @@ def slice_criteria(criteria: DataFrame, slices: int) -> list[DataFrame]:
 
 
 def top_per_group(rows: DataFrame, group: list[str], order: list, n: Column | int) -> DataFrame:
-    """The first ``n`` rows per group. Spark prunes each map task to its own first ``n`` before the shuffle."""
-    bound = F.lit(n) if isinstance(n, int) else n
+    """The first ``n`` rows per group; ``n`` may be a column, but no screen may ask for more than ``MAX_LIMIT``.
+
+    The literal bound lets Spark prune every map task to its own first rows before the shuffle (WindowGroupLimit), so a
+    group of any size arrives as a few rows per task.
+    """
     w = Window.partitionBy(*group).orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= bound)
+    ranked = rows.withColumn("rank", F.row_number().over(w))
+    if isinstance(n, int):
+        return ranked.filter(F.col("rank") <= n)
+    return ranked.filter((F.col("rank") <= MAX_LIMIT) & (F.col("rank") <= n))

@@ -12,6 +12,7 @@ from pointpanel.operators import alerts, calendar, identity, screen, series, val
 from pointpanel.operators.asof import latest_as_of, panel_as_of
 from pointpanel.plans.oracle_views import rnd, rounded, with_views
 from pointpanel.plans.series import adjusted, indicator_ctes
+from pointpanel.session import stored
 
 AS_OF = "2001-01-01"
 
@@ -194,7 +195,7 @@ def trade_list(current: DataFrame, target: DataFrame, keys: list[str]) -> DataFr
 
 
 def q_trade_list_diff(spark, sf):
-    now = equal_weights(numbered_selection(Fixtures(spark, sf).with_stored_bars()))
+    now = stored(equal_weights(numbered_selection(Fixtures(spark, sf).with_stored_bars())), "weights")
     before = now.withColumn("rebalance_no", F.col("rebalance_no") + 1)
     trades = trade_list(before, now, ["rebalance_no", "security_id"])
     return trades.withColumn("notional", F.abs("delta") * 100000.0)
@@ -202,7 +203,7 @@ def q_trade_list_diff(spark, sf):
 
 def q_keys_union(spark, sf):
     """Securities held before or wanted now, per rebalance."""
-    now = numbered_selection(Fixtures(spark, sf).with_stored_bars())
+    now = stored(numbered_selection(Fixtures(spark, sf).with_stored_bars()), "selection")
     before = now.withColumn("rebalance_no", F.col("rebalance_no") + 1)
     return now.union(before).distinct()
 

@@ -49,8 +49,6 @@ def _cells(line: Column) -> Column:
 
 def headers(lines: DataFrame) -> DataFrame:
     """(file, n, one position per field) of every file whose header is known; 0 marks a field the layout lacks."""
-    names = F.transform(_cells(F.upper("value")), lambda c: c)
-
     def has(layout):
         return reduce(and_, [F.array_contains(F.col("h"), n.upper()) for n in LAYOUTS[layout] if n])
 
@@ -62,7 +60,7 @@ def headers(lines: DataFrame) -> DataFrame:
         return at
 
     marked = lines.filter(F.upper("value").contains("SYMBOL") | F.upper("value").contains("TCKRSYMB")).select(
-        "file", names.alias("h")
+        "file", _cells(F.upper("value")).alias("h")
     )
     known = reduce(lambda a, b: a | b, [has(x) for x in LAYOUTS])
     rows = marked.filter(known).select(
