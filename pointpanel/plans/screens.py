@@ -228,7 +228,9 @@ FLAGSHIP = {
 def q_screen_full(spark, sf):
     """The composed screen. Indicators and prices come from one pass over the bars, so nothing is joined back."""
     fx = Fixtures(spark, sf).with_stored_bars()
-    rows = series.indicators(adjusted(fx), keep=("close", "adj_close", "volume"))
+    # an indicator looks back only, so bars after the date are dropped before the windows; later actions still adjust
+    known_bars = adjusted(fx).filter(F.col("date") <= F.lit(AS_OF).cast("date"))
+    rows = series.indicators(known_bars, keep=("close", "adj_close", "volume"))
     latest = latest_as_of(
         rows, AS_OF, ["close", "adj_close", "volume", *screen.INDICATOR_COLUMNS], date_alias="price_date"
     )
