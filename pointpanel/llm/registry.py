@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointpanel.llm import line_dedup, line_rules, packing
+from pointpanel.llm import jaccard_join, line_dedup, line_rules, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +34,15 @@ def op7_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
+def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op4_line_first": op4_line_first,
     "op6_line_dedup": op6_line_dedup,
     "op7_swap_packing": op7_swap_packing,
+    "op8_jaccard_components": op8_jaccard_components,
 }
 ORACLES: dict[str, str] = {}
 
