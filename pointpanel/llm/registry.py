@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointpanel.llm import jaccard_join, line_dedup, line_rules, packing
+from pointpanel.llm import jaccard_join, line_dedup, line_rules, packing, quality_gam
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classify(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op4_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines",
@@ -39,6 +44,7 @@ def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_gam": op1_quality_gam,
     "op4_line_first": op4_line_first,
     "op6_line_dedup": op6_line_dedup,
     "op7_swap_packing": op7_swap_packing,
