@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointpanel.llm import jaccard_join, line_dedup, line_rules, packing, quality_gam
+from pointpanel.llm import jaccard_join, line_dedup, line_rules, packing, quality_gam, toxicity_kn
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +43,18 @@ def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_kn.classify(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op4_line_first": op4_line_first,
     "op6_line_dedup": op6_line_dedup,
     "op7_swap_packing": op7_swap_packing,
     "op8_jaccard_components": op8_jaccard_components,
+    "op9_toxicity_kn": op9_toxicity_kn,
 }
 ORACLES: dict[str, str] = {}
 

@@ -34,10 +34,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 
 
 def coded_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """(code of each word, the distinct words, bounds): words ``bounds[i]:bounds[i + 1]`` belong to text i; null has none."""
+    """(code of each word, the words coded, bounds): words ``bounds[i]:bounds[i + 1]`` belong to text i; null has none.
+
+    With ``lower`` the coded words have A-Z lower-cased, so several codes may stand for one word. They are lowered after coding, since
+    ``ascii_lower`` misreads arrays that are slices of others.
+    """
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    if lower:
-        texts = pc.ascii_lower(texts)
     parts = pc.ascii_split_whitespace(texts)
     flat = parts.flatten()
     offsets = parts.offsets.to_numpy()
@@ -45,7 +47,8 @@ def coded_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array, np.
     solid = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     before = np.concatenate([[0], np.cumsum(solid)])
     coded = flat.filter(pa.array(solid)).dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, before[offsets]
+    words = pc.ascii_lower(coded.dictionary) if lower else coded.dictionary
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), words, before[offsets]
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
