@@ -7,7 +7,11 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointpanel.llm import jaccard_join, line_dedup, line_rules, packing, quality_gam, toxicity_kn
+from pointpanel.llm import jaccard_join, line_dedup, line_rules, mixing, packing, quality_gam, toxicity_kn
+
+
+#: A document of a small source is seen at most so many times as often as one of the largest source.
+MIX_REPETITION = 1.25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +52,10 @@ def op9_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), repetition=MIX_REPETITION).select("doc_id", "source", "epoch", "place", "weight")
+
+
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op4_line_first": op4_line_first,
@@ -55,6 +63,7 @@ QUERIES = {
     "op7_swap_packing": op7_swap_packing,
     "op8_jaccard_components": op8_jaccard_components,
     "op9_toxicity_kn": op9_toxicity_kn,
+    "op10_temperature_mix": op10_temperature_mix,
 }
 ORACLES: dict[str, str] = {}
 
