@@ -58,4 +58,47 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
 from marked group by r, doc_id
 """
 
-ORACLES = {"op4_line_first": OP4, "op6_line_dedup": OP6}
+def _base32(h: str) -> str:
+    digits = " || ".join(f"to_base(('0x' || substr({h}, {k}, 10))::bigint, 32, 8)" for k in range(1, 40, 10))
+    return f"'sha1:' || translate({digits}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
+
+
+def _urn(h: str) -> str:
+    cuts = " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"'<urn:uuid:' || {cuts} || '>'"
+
+
+OP3 = rf"""
+with p as (select row_number() over () as r, page_id, url, coalesce(html, '') as html from pages),
+b as (select *, sha1(html) as ph, md5('response|' || coalesce(page_id::varchar, '') || '|' || coalesce(url, '')) as rh,
+  'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: '
+  || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html as block from p),
+t as (select *, {_base32("ph")} as pd, sha1(block) as bh, {_urn("rh")} as rid,
+  regexp_replace(regexp_replace(regexp_replace(html,
+    '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>', '', 'g'),
+    '(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|dl|dt|dd|table|tr|article|section|nav|aside|main|header|footer|title|head|body|html|form|'
+    || 'blockquote|pre|hr|option|select)\b[^>]*>', chr(10), 'g'),
+    '<[^>]*>', '', 'g') as bare from b),
+u as (select *, {_base32("bh")} as bd,
+  replace(replace(replace(replace(replace(replace(replace(replace(replace(bare, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'),
+    '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') as decoded from t),
+v as (select *, trim(regexp_replace(regexp_replace(decoded, '[ \t\r\x0B\f\x{{A0}}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'),
+  ' ' || chr(10)) as txt from u),
+w as (select *, sha1(txt) as th from v),
+x as (select *, {_base32("th")} as td from w),
+j as (select *, to_json({{
+  'warc': list_sort(list_filter(['Content-Length: ' || strlen(block), 'Content-Type: application/http; msgtype=response',
+    'WARC-Block-Digest: ' || bd, 'WARC-Date: 1970-01-01T00:00:00Z', 'WARC-Payload-Digest: ' || pd, 'WARC-Record-ID: ' || rid,
+    'WARC-Target-URI: ' || url, 'WARC-Type: response'], lambda s: s is not null)),
+  'status': 'HTTP/1.1 200 OK', 'http': ['Content-Type: text/html; charset=utf-8', 'Content-Length: ' || strlen(html)],
+  'digests': {{'payload': pd, 'text': td}}, 'title': trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)),
+  'links': regexp_extract_all(html, '(?i)href="([^"]*)"', 1)}})::varchar as meta from x),
+made as (select page_id, url, rid, pd, 'metadata' as kind, 'application/json' as type, meta as block from j
+  union all select page_id, url, rid, pd, 'conversion', 'text/plain; charset=utf-8', txt from j),
+h as (select *, md5(kind || '|' || rid) as ih, sha1(block) as sh from made)
+select page_id, kind as warc_type, {_urn("ih")} as warc_record_id, rid as warc_refers_to, url as warc_target_uri,
+  '1970-01-01T00:00:00Z' as warc_date, pd as warc_payload_digest, {_base32("sh")} as warc_block_digest, type as content_type,
+  strlen(block)::varchar as content_length, block from h
+"""
+
+ORACLES = {"op3_warc_derivatives": OP3, "op4_line_first": OP4, "op6_line_dedup": OP6}

@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointpanel.llm import jaccard_join, line_dedup, line_rules, mixing, packing, quality_gam, toxicity_kn
+from pointpanel.llm import jaccard_join, line_dedup, line_rules, mixing, packing, quality_gam, toxicity_kn, warc_derive
 
 
 #: A document of a small source is seen at most so many times as often as one of the largest source.
@@ -28,6 +28,12 @@ def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc_derive.derive(warc_derive.responses(pages)).select(
+        "page_id", *(F.col("headers")[name].alias(name.lower().replace("-", "_")) for name in warc_derive.FIELDS), "block")
+
+
 def op4_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines",
@@ -58,6 +64,7 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
+    "op3_warc_derivatives": op3_warc_derivatives,
     "op4_line_first": op4_line_first,
     "op6_line_dedup": op6_line_dedup,
     "op7_swap_packing": op7_swap_packing,
