@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointpanel.llm import jaccard_join, line_dedup, line_rules, mixing, packing, quality_gam, toxicity_kn, warc_derive
+from pointpanel.llm import jaccard_join, line_dedup, line_rules, mixing, packing, projection_search, quality_gam, toxicity_kn, warc_derive
 
 
 #: A document of a small source is seen at most so many times as often as one of the largest source.
@@ -40,6 +40,10 @@ def op4_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_failed_lines", "lost_chars", F.sha2("cleaned", 256).alias("cleaned_sha256"))
 
 
+def op5_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_search.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -66,6 +70,7 @@ QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op3_warc_derivatives": op3_warc_derivatives,
     "op4_line_first": op4_line_first,
+    "op5_projection_search": op5_projection_search,
     "op6_line_dedup": op6_line_dedup,
     "op7_swap_packing": op7_swap_packing,
     "op8_jaccard_components": op8_jaccard_components,
