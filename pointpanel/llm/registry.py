@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointpanel.llm import jaccard_join, line_dedup, line_rules, mixing, packing, projection_search, quality_gam, toxicity_kn, warc_derive
+from pointpanel.llm import jaccard_join, line_dedup, line_rules, mixing, packing, projection_search, quality_gam, secret_scan, toxicity_kn, warc_derive
 
 
 #: A document of a small source is seen at most so many times as often as one of the largest source.
@@ -28,6 +28,11 @@ def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.col("at").cast("long").alias("word_index"), "found", "score", "is_secret", F.col("y").alias("rule_label"))
+
+
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc_derive.derive(warc_derive.responses(pages)).select(
@@ -68,6 +73,7 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
+    "op2_secret_scan": op2_secret_scan,
     "op3_warc_derivatives": op3_warc_derivatives,
     "op4_line_first": op4_line_first,
     "op5_projection_search": op5_projection_search,
