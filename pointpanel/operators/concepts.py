@@ -11,28 +11,45 @@ from pyspark.sql import functions as F
 
 from pointpanel.functions.text import NOT_A_WORD, concept_key
 from pointpanel.functions.vocabulary import (
-    ALLOWED_OPERATORS, CONCEPTS, MAX_ALIASES, MAX_COMPARISONS, MAX_DEPTH, MAX_LIMIT, MAX_NAME_LENGTH, METRICS,
+    ALLOWED_OPERATORS, CONCEPTS, DEFAULT_LIMIT, MAX_ALIASES, MAX_COMPARISONS, MAX_DEPTH, MAX_LIMIT, MAX_NAME_LENGTH, METRICS,
 )
 
 # --- criteria ---------------------------------------------------------------------------------------------------------
 
-PARSED_LEVELS = MAX_DEPTH + 3  # deeper nodes are not looked into: the tree is refused for its depth anyway
 _NODE = "kind:string,op:string,field:string,operator:string,value:double"
 
 
-def criteria_schema() -> str:
+def nesting(text: Column) -> Column:
+    """How deeply arrays are nested in a JSON text; brackets inside strings do not count."""
+    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*"', ""), r"[^\[\]]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.split(bare, ""), start, step, lambda acc: acc["most"])
+
+
+def levels_of(criteria: DataFrame) -> int:
+    """Levels of the deepest tree in ``criteria_json``: the schema is built for the data, so no node is left out."""
+    return (criteria.agg(F.max(nesting(F.col("criteria_json"))).alias("n")).first()["n"] or 0) + 1
+
+
+def criteria_schema(levels: int) -> str:
     node = f"struct<{_NODE}>"
-    for _ in range(PARSED_LEVELS - 1):
+    for _ in range(levels - 1):
         node = f"struct<{_NODE},children:array<{node}>>"
-    return f"struct<root:{node},sort:struct<field:string,direction:string>,limit:int>"
+    universe = "struct<exchange:string,sector:string,index:string>"
+    return f"struct<universe:{universe},root:{node},sort:struct<field:string,direction:string>,limit:int>"
 
 
-def _nodes(root: Column) -> Column:
+def _nodes(root: Column, levels: int) -> Column:
     """Every node of the tree with its path and depth, level by level."""
     level = F.array(F.struct(F.lit("root").alias("path"), root.alias("node")))
     flat = []
-    for depth in range(1, PARSED_LEVELS + 1):
-        leaf = depth == PARSED_LEVELS
+    for depth in range(1, levels + 1):
+        leaf = depth == levels
 
         def project(n, d=depth, last=leaf):
             size = F.lit(0) if last else F.coalesce(F.size(n["node"]["children"]), F.lit(0))
@@ -73,8 +90,9 @@ def _comparison_errors(path: Column, field: Column, op: Column, value: Column, r
 
 def validate_criteria(criteria: DataFrame) -> DataFrame:
     """(strategy_id, path, code) for every rule a criteria_json breaks; valid criteria yield no row."""
-    parsed = criteria.select("strategy_id", F.from_json("criteria_json", criteria_schema()).alias("c")).select(
-        "strategy_id", "c.sort", "c.limit", _nodes(F.col("c.root")).alias("nodes")
+    levels = levels_of(criteria)
+    parsed = criteria.select("strategy_id", F.from_json("criteria_json", criteria_schema(levels)).alias("c")).select(
+        "strategy_id", "c.sort", "c.limit", _nodes(F.col("c.root"), levels).alias("nodes")
     ).withColumn("ranges", _metric_ranges())
     n_cmp = F.size(F.filter("nodes", lambda n: n["kind"] == "comparison"))
     top = F.array(
@@ -101,6 +119,29 @@ def validate_criteria(criteria: DataFrame) -> DataFrame:
     )
 
 
+def parsed_criteria(criteria: DataFrame) -> DataFrame:
+    """(strategy_id, exchange, sector, comparisons, sort_field, descending, limit) of criteria that break no rule.
+
+    Only And groups are valid, so a tree of them is the list of its comparisons. A missing limit is the default one. Criteria with an
+    error, or with an index in their universe, are left out; ``refused_criteria`` names them.
+    """
+    levels = levels_of(criteria)
+    parsed = criteria.select("strategy_id", F.from_json("criteria_json", criteria_schema(levels)).alias("c")).join(
+        refused_criteria(criteria).select("strategy_id").distinct(), "strategy_id", "left_anti")
+    comparisons = F.transform(F.filter(_nodes(F.col("c.root"), levels), lambda n: n["kind"] == "comparison"), lambda n: F.struct(
+        n["field"].alias("field"), n["operator"].alias("operator"), n["value"].alias("value")))
+    return parsed.select(
+        "strategy_id", "c.universe.exchange", "c.universe.sector", comparisons.alias("comparisons"), F.col("c.sort.field").alias("sort_field"),
+        F.coalesce(F.col("c.sort.direction") == "Desc", F.lit(False)).alias("descending"), F.coalesce("c.limit", F.lit(DEFAULT_LIMIT)).alias("limit"))
+
+
+def refused_criteria(criteria: DataFrame) -> DataFrame:
+    """(strategy_id, path, code) of what keeps criteria from running: broken rules, and an index, for which there is no membership data."""
+    index = F.get_json_object("criteria_json", "$.universe.index")
+    return validate_criteria(criteria).union(criteria.where(index.isNotNull()).select(
+        "strategy_id", F.lit("universe.index").alias("path"), F.lit("IndexNotSupported").alias("code")))
+
+
 # --- intents ----------------------------------------------------------------------------------------------------------
 
 
@@ -168,7 +209,7 @@ def tag_keys() -> list[tuple[str, str]]:
 def tags(text: Column) -> Column:
     """Concepts named in a text: whole words only, and a matched span is gone for every shorter key.
 
-    So "not overbought" never also counts as "overbought". Words no key uses shrink to one mark per run first: they can
+    So a negated concept never also counts as the concept it denies. Words no key uses shrink to one mark per run first: they can
     only separate matches, so the fold over the key list works on a few words instead of the whole text.
     """
     keys = F.array(*[F.struct(F.lit(f"_{k}_").alias("k"), F.lit(c).alias("c")) for k, c in tag_keys()])

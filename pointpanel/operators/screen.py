@@ -106,48 +106,57 @@ def _satisfied(metrics: Column, c: Column) -> Column:
     )
 
 
-def screen_many(frame: DataFrame, criteria: DataFrame, keep: list[str], fields: list[str]) -> DataFrame:
-    """Many criteria over one frame in one pass: rows (criteria_key, *keep) for every match.
+#: Criteria evaluated together: a row of the frame meets so many in one array on average.
+BUCKET_CRITERIA = 500
 
-    ``criteria`` has (criteria_key, comparisons array<struct<field, operator, value>>), one row per *distinct* content
-    key, so strategies sharing a definition are evaluated once. Only matches are emitted; no row pairs are built. The
-    list reaches the tasks as one array; it is a vocabulary of distinct definitions and its size is checked. A longer
-    list is taken in slices by the caller (``slice_criteria``).
-    """
-    # one more than allowed is enough to refuse, so the packed list is bounded whatever the input
-    packed = criteria.limit(MAX_CRITERIA_PER_PASS + 1).agg(F.collect_list(F.struct("criteria_key", "comparisons")).alias("a")).select(
-        F.when(F.size("a") <= MAX_CRITERIA_PER_PASS, F.col("a")).otherwise(
-            F.raise_error(F.lit("too many criteria for one pass: slice them"))
-        )
-    )
-    metrics = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(METRIC_COLUMN[f]).cast("double"))])
-    hits = F.filter(
-        F.col("_all"), lambda c: F.forall(c["comparisons"], lambda k: _satisfied(F.col("_m"), k))
-    )
-    return (
-        frame.withColumns({"_all": packed.scalar(), "_m": metrics})
-        .select(F.explode_outer(F.transform(hits, lambda c: c["criteria_key"])).alias("criteria_key"), *keep)
-        .filter(F.col("criteria_key").isNotNull())
-    )
-
-
-MAX_CRITERIA_PER_PASS = 5000
 
+def screen_many(frame: DataFrame, criteria: DataFrame, keep: list[str]) -> DataFrame:
+    """Any number of criteria over one frame: rows (criteria_key, rank, *keep), each criteria with its own universe, order and limit.
 
-def slice_criteria(criteria: DataFrame, slices: int) -> list[DataFrame]:
-    """Disjoint parts of a long criteria list, by hash of the key; union the passes over them."""
-    part = F.pmod(F.xxhash64("criteria_key"), F.lit(slices))
-    return [criteria.filter(part == i) for i in range(slices)]
-
-
-def top_per_group(rows: DataFrame, group: list[str], order: list, n: Column | int) -> DataFrame:
-    """The first ``n`` rows per group; ``n`` may be a column, but no screen may ask for more than ``MAX_LIMIT``.
-
-    The literal bound lets Spark prune every map task to its own first rows before the shuffle (WindowGroupLimit), so a
-    group of any size arrives as a few rows per task.
+    ``criteria`` has one row per *distinct* content key, as ``concepts.parsed_criteria`` gives them: criteria_key, exchange, sector,
+    comparisons array<struct<field, operator, value>>, sort_field, descending, limit. They are dealt into buckets of bounded size by a
+    hash of the key. The frame is joined with the buckets, each bucket being one array, so only matches are emitted and no list passes
+    through the driver. A metric the frame lacks is unknown, which selects nothing.
+    """
+    buckets = max(1, -(-criteria.count() // BUCKET_CRITERIA))
+    packed = criteria.groupBy(F.pmod(F.xxhash64("criteria_key"), F.lit(buckets)).cast("int").alias("_bucket")).agg(
+        F.collect_list(F.struct("criteria_key", "exchange", "sector", "comparisons", "sort_field", "descending", "limit")).alias("_some")
+    )
+    have = [f for f, column in METRIC_COLUMN.items() if column in frame.columns]
+    metrics = F.create_map(*[x for f in have for x in (F.lit(f), F.col(METRIC_COLUMN[f]).cast("double"))])
+    place = {c: F.col(c) if c in frame.columns else F.lit(None).cast("string") for c in ("exchange", "sector")}
+
+    def inside(c: Column) -> Column:
+        return reduce(operator.and_, [c[k].isNull() | F.coalesce(place[k] == c[k], F.lit(False)) for k in place])
+
+    rows = frame.withColumns({"_m": metrics, "_bucket": F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))}).join(packed, "_bucket")
+    hits = F.filter("_some", lambda c: inside(c) & F.forall(c["comparisons"], lambda k: _satisfied(F.col("_m"), k)))
+    found = rows.select(F.explode(F.transform(hits, lambda c: F.struct(
+        c["criteria_key"].alias("criteria_key"), c["limit"].alias("limit"), c["sort_field"].alias("sort_field"),
+        c["descending"].alias("descending"), F.try_element_at(F.col("_m"), c["sort_field"]).alias("value"),
+    ))).alias("_c"), "ticker", *[c for c in dict.fromkeys([*keep, "security_id"]) if c != "ticker"])
+    c = F.col("_c")
+    # as top_rows: nulls first when ascending and last when descending; the ticker orders where no field does
+    order = [
+        F.when(c["sort_field"].isNull(), 0).otherwise((c["value"].isNull() == c["descending"]).cast("int")),
+        F.when(c["descending"], -c["value"]).otherwise(c["value"]),
+        F.when(c["sort_field"].isNull(), F.col("ticker")), F.col("security_id"),
+    ]
+    named = found.withColumns({"criteria_key": c["criteria_key"], "limit": c["limit"]})
+    return top_per_group(named, ["criteria_key"], order, F.col("limit"), at_most=MAX_LIMIT).select("criteria_key", "rank", *keep)
+
+
+def top_per_group(rows: DataFrame, group: list[str], order: list, n: Column | int, at_most: int | None = None) -> DataFrame:
+    """The first ``n`` rows per group; ``n`` may be a column.
+
+    A literal bound lets Spark prune every map task to its own first rows before the shuffle (WindowGroupLimit), so a group of any size
+    arrives as a few rows per task. A column has no such bound unless the caller states one in ``at_most``; a larger ``n`` is then an error.
     """
     w = Window.partitionBy(*group).orderBy(*order)
     ranked = rows.withColumn("rank", F.row_number().over(w))
     if isinstance(n, int):
         return ranked.filter(F.col("rank") <= n)
-    return ranked.filter((F.col("rank") <= MAX_LIMIT) & (F.col("rank") <= n))
+    if at_most is None:
+        return ranked.filter(F.col("rank") <= n)
+    fits = F.assert_true(n <= at_most, f"a group asks for more than {at_most} rows").isNull()
+    return ranked.filter(F.col("rank") <= at_most).filter(fits & (F.col("rank") <= n))

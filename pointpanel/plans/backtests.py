@@ -81,7 +81,8 @@ class Run:
         ])
         rows = rows.withColumn("_s", F.explode(wanted)).select("*", "_s.*").drop("_s").withColumn("_key", key)
         return screen.top_per_group(
-            rows, ["strategy_id", "rebalance_no"], ["_key", "security_id"], F.col("positions")
+            rows, ["strategy_id", "rebalance_no"], ["_key", "security_id"], F.col("positions"),
+            at_most=max(n for _, _, n, *_ in self.definitions),
         ).select("strategy_id", "rebalance_no", "security_id", F.col("rank").cast("long").alias("rank"))
 
     @cached_property

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pointpanel.fixtures import Fixtures
 from pointpanel.functions.rounding import half_up
 from pointpanel.functions.text import content_key
-from pointpanel.operators import alerts, calendar, identity, screen, series, valuation
+from pointpanel.operators import alerts, calendar, concepts, identity, screen, series, valuation
 from pointpanel.operators.asof import latest_as_of, panel_as_of
 from pointpanel.plans.oracle_views import rnd, rounded, with_views
 from pointpanel.plans.series import adjusted, indicator_ctes
@@ -43,9 +43,10 @@ def _ids(df: DataFrame) -> DataFrame:
 
 
 def q_screen_predicate(spark, sf):
-    """All comparison operators of the filter language on one frame, as flags."""
+    """All six comparison operators of the filter language on one frame, as flags."""
     frame = base(Fixtures(spark, sf))
-    tests = [("LessThan", 2000), ("LessThanOrEqual", 2000), ("GreaterThan", 2000), ("GreaterThanOrEqual", 2000)]
+    tests = [("LessThan", 2000), ("LessThanOrEqual", 2000), ("GreaterThan", 2000), ("GreaterThanOrEqual", 2000),
+             ("Equal", 2000), ("NotEqual", 2000)]
     flags = [screen.comparison("ClosePrice", o, v).alias(o.lower()) for o, v in tests]
     return frame.filter(screen.predicate(_cmp("ClosePrice", "GreaterThan", 500))).select("security_id", *flags)
 
@@ -289,10 +290,6 @@ _FIRST_OP = (
 )
 _SECOND = "CASE k % 3 WHEN 0 THEN 'GrossMargin' WHEN 1 THEN 'ReturnOnEquity' ELSE 'PsRatio' END"
 _SECOND_VALUE = "k % 10"
-FIELDS = ["PeRatio", "PbRatio", "ClosePrice", "Volume", "DebtToEquity", "GrossMargin", "ReturnOnEquity", "PsRatio"]
-
-CHILD = "struct<kind:string,field:string,operator:string,value:double>"
-CRITERIA_SCHEMA = f"struct<universe:map<string,string>,root:struct<kind:string,op:string,children:array<{CHILD}>>,limit:int>"
 
 
 def _strategy_json(cast: str) -> str:
@@ -315,26 +312,74 @@ def strategies(fx: Fixtures) -> DataFrame:
     )
 
 
+_BULK_FIELD = (
+    "CASE k % 6 WHEN 0 THEN 'PeRatio' WHEN 1 THEN 'PbRatio' WHEN 2 THEN 'ClosePrice' WHEN 3 THEN 'Volume' WHEN 4 THEN 'DebtToEquity' "
+    "ELSE 'Sma50' END"
+)
+_BULK_VALUE = "k % 7000"
+_BULK_SCALE = "CASE k % 6 WHEN 0 THEN 'e-2' WHEN 1 THEN 'e-3' WHEN 2 THEN 'e0' WHEN 3 THEN 'e1' WHEN 4 THEN 'e-3' ELSE 'e0' END"
+_BULK_SHAPE = "CASE WHEN k % 50 = 9 THEN 'bare' WHEN k % 10 = 7 THEN 'or' WHEN k % 10 = 3 THEN 'nested' ELSE 'flat' END"
+_BULK_PLACE = "CASE k % 4 WHEN 1 THEN 'ASIA' WHEN 3 THEN 'EUROPE' ELSE '' END"
+_BULK_SORT = "CASE k % 3 WHEN 1 THEN 'PeRatio' WHEN 2 THEN 'ClosePrice' ELSE '' END"
+_BULK_LIMIT = "CASE WHEN k % 5 = 0 THEN NULL ELSE 20 END"
+
+
+def _bulk_columns(text: str) -> list[str]:
+    """The parts of a saved criteria and its JSON, in SQL that both engines read."""
+    one = (f"concat('{{\"kind\":\"comparison\",\"field\":\"', f1, '\",\"operator\":\"', o1, '\",\"value\":', CAST(n1 AS {text}), e1, '}}')")
+    two = (f"concat('{{\"kind\":\"comparison\",\"field\":\"', f2, '\",\"operator\":\"GreaterThan\",\"value\":', CAST(v2 AS {text}), '}}')")
+    group = "concat('{\"kind\":\"group\",\"op\":\"', CASE shape WHEN 'or' THEN 'Or' ELSE 'And' END, '\",\"children\":[', {}, ']}}')"
+    nested = "concat('{\"kind\":\"group\",\"op\":\"And\",\"children\":[', two, ']}')"
+    return [
+        f"{one} AS one", f"{two} AS two", nested + " AS inner_group",
+        "concat('{\"universe\":{', CASE place WHEN '' THEN '' ELSE concat('\"exchange\":\"', place, '\"') END, '},\"root\":', "
+        "CASE shape WHEN 'bare' THEN one WHEN 'nested' THEN " + group.replace("{}", "concat(one, ',', inner_group)", 1).replace("}}", "}")
+        + " ELSE " + group.replace("{}", "concat(one, ',', two)", 1).replace("}}", "}") + " END, "
+        "CASE sort_field WHEN '' THEN '' ELSE concat(',\"sort\":{\"field\":\"', sort_field, '\",\"direction\":\"', "
+        "CASE sort_field WHEN 'PeRatio' THEN 'Desc' ELSE 'Asc' END, '\"}') END, "
+        f"CASE WHEN lim IS NULL THEN '' ELSE concat(',\"limit\":', CAST(lim AS {text})) END, '}}') AS criteria_json",
+    ]
+
+
+_BULK_PARTS = [
+    "strategy_id", f"{_BULK_FIELD} AS f1", f"{_FIRST_OP} AS o1", f"{_BULK_VALUE} AS n1", f"{_BULK_SCALE} AS e1", f"{_SECOND} AS f2",
+    f"{_SECOND_VALUE} AS v2", f"{_BULK_SHAPE} AS shape", f"{_BULK_PLACE} AS place", f"{_BULK_SORT} AS sort_field", f"{_BULK_LIMIT} AS lim",
+]
+
+
+def saved_criteria(fx: Fixtures) -> DataFrame:
+    """One saved criteria per customer: universes, nested, bare and Or roots, own sorts, missing limits, thousands of definitions."""
+    one, two, inner, text = _bulk_columns("STRING")
+    parts = fx.table("customer").selectExpr("c_custkey AS strategy_id", "c_custkey AS k").selectExpr(*_BULK_PARTS)
+    return parts.selectExpr("*", one, two).selectExpr("*", inner).selectExpr("strategy_id", text)
+
+
 def distinct_criteria(saved: DataFrame) -> DataFrame:
-    keyed = saved.groupBy(F.substring(F.sha2("criteria_json", 256), 1, 32).alias("criteria_key")).agg(
+    return saved.groupBy(F.substring(F.sha2("criteria_json", 256), 1, 32).alias("criteria_key")).agg(
         F.min("criteria_json").alias("criteria_json"), F.count(F.lit(1)).alias("n_strategies")
     )
-    parsed = F.from_json("criteria_json", CRITERIA_SCHEMA)
-    return keyed.withColumn("c", parsed).select(
-        "criteria_key", "n_strategies", F.col("c.limit").alias("limit"),
-        F.transform("c.root.children", lambda x: F.struct(
-            x["field"].alias("field"), x["operator"].alias("operator"), x["value"].alias("value")
-        )).alias("comparisons"),
-    )
+
+
+def bulk_frame(fx: Fixtures) -> DataFrame:
+    """The panel as of one date with ratios and a technical metric."""
+    bars = series.rolling_mean(series.numbered(_raw(fx)), "close", 50, "sma50")
+    latest = latest_as_of(bars, AS_OF, ["close", "adj_close", "volume", "sma50"], date_alias="price_date")
+    ratios = latest_as_of(ratios_of(fx), AS_OF, screen.RATIO_COLUMNS, date="reported_date")
+    return fx.securities.join(latest, "security_id").join(ratios, "security_id", "left")
 
 
 def q_screen_bulk(spark, sf):
+    """Hits of every valid criteria, ranked by its own order, and a row for each rule that keeps one from running."""
     fx = Fixtures(spark, sf)
-    criteria = distinct_criteria(strategies(fx))
-    hits = screen.screen_many(base(fx), criteria, ["security_id", "ticker"], FIELDS)
-    limited = hits.join(criteria.select("criteria_key", "n_strategies", "limit"), "criteria_key")
-    top = screen.top_per_group(limited, ["criteria_key"], ["ticker", "security_id"], F.col("limit"))
-    return top.select("criteria_key", "security_id", F.col("rank").cast("long").alias("rank"), "n_strategies")
+    keyed = stored(distinct_criteria(saved_criteria(fx)), "criteria")
+    own = keyed.select(F.col("criteria_key").alias("strategy_id"), "criteria_json")
+    valid = stored(concepts.parsed_criteria(own).withColumnRenamed("strategy_id", "criteria_key"), "valid")
+    hits = screen.screen_many(bulk_frame(fx), valid, ["security_id"]).select(
+        "criteria_key", F.lit("hit").alias("kind"), F.lit("").alias("code"), "security_id", F.col("rank").cast("long").alias("rank"))
+    refused = concepts.refused_criteria(own).select(
+        F.col("strategy_id").alias("criteria_key"), F.lit("refused").alias("kind"), "code", F.lit(None).cast("long").alias("security_id"),
+        F.lit(None).cast("long").alias("rank"))
+    return hits.union(refused).join(keyed.select("criteria_key", "n_strategies"), "criteria_key")
 
 
 # --- membership over time --------------------------------------------------------------------------------------------
@@ -424,6 +469,20 @@ _STRATEGIES = f"""
 SELECT strategy_id, {_strategy_json('VARCHAR')} AS criteria_json, f1, o1, v1, f2, v2
 FROM (SELECT strategy_id, {_FIRST} AS f1, {_FIRST_OP} AS o1, {_FIRST_VALUE} AS v1, {_SECOND} AS f2, {_SECOND_VALUE} AS v2
       FROM (SELECT c_custkey AS strategy_id, c_custkey % 60 AS k FROM customer) a) b"""
+
+
+def _bulk_view() -> str:
+    one, two, inner, text = _bulk_columns("VARCHAR")
+    return f"""
+SELECT substr(sha256(criteria_json), 1, 32) AS criteria_key, count(*) AS n_strategies, any_value(f1) AS f1, any_value(o1) AS o1,
+  any_value(CAST(concat(CAST(n1 AS VARCHAR), e1) AS DOUBLE)) AS v1, any_value(f2) AS f2, any_value(v2) AS v2, any_value(shape) AS shape,
+  any_value(place) AS place, any_value(sort_field) AS sort_field, any_value(lim) AS lim,
+  any_value(f1 = 'DebtToEquity' AND CAST(concat(CAST(n1 AS VARCHAR), e1) AS DOUBLE) > 50) AS out_of_range
+FROM (SELECT *, {text} FROM (SELECT *, {inner} FROM (SELECT *, {one}, {two} FROM (
+  SELECT {', '.join(_BULK_PARTS)} FROM (SELECT c_custkey AS strategy_id, c_custkey AS k FROM customer) a) b) c) d) e
+GROUP BY 1"""
+
+
 _LOCKED = """
 SELECT *, coalesce(open = high AND high = low AND low = close AND prev > 0 AND abs((close - prev) / prev) >= 0.019, false)
        AS is_circuit_locked
@@ -448,10 +507,29 @@ FULL OUTER JOIN (SELECT m.*, n.rebalance_no, n.as_of_date AS next_date FROM fx_m
                  JOIN fx_runs n ON n.strategy_id = r.strategy_id AND n.rebalance_no = r.rebalance_no + 1) p
 ON p.strategy_id = c.strategy_id AND p.security_id = c.security_id AND p.rebalance_no = c.rebalance_no
 WHERE p.security_id IS NULL OR c.security_id IS NULL""",
+    "fx_bulk": _bulk_view(),
+    "fx_sma_panel": """
+SELECT security_id, date, CASE WHEN count(*) OVER w >= 50 THEN avg(close) OVER w END AS sma50 FROM fx_bars
+WINDOW w AS (PARTITION BY security_id ORDER BY date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""",
+    "fx_bulk_base": "SELECT b.*, s.sma50 FROM fx_base b LEFT JOIN fx_sma_panel s ON s.security_id = b.security_id AND s.date = b.price_date",
     "fx_long": " UNION ALL ".join(
-        f"SELECT security_id, ticker, '{f}' AS field, CAST({screen.METRIC_COLUMN[f]} AS DOUBLE) AS v FROM fx_base"
-        for f in FIELDS
+        f"SELECT security_id, ticker, exchange, '{f}' AS field, CAST({screen.METRIC_COLUMN[f]} AS DOUBLE) AS v FROM fx_bulk_base"
+        for f in ["PeRatio", "PbRatio", "ClosePrice", "Volume", "DebtToEquity", "Sma50", "GrossMargin", "ReturnOnEquity", "PsRatio"]
     ),
+    "fx_bulk_hits": """
+SELECT c.criteria_key, 'hit' AS kind, '' AS code, a.security_id, row_number() OVER (PARTITION BY c.criteria_key ORDER BY
+  CASE WHEN sort_field = '' THEN 0 WHEN sort_field = 'PeRatio' THEN CASE WHEN s.v IS NULL THEN 1 ELSE 0 END ELSE CASE WHEN s.v IS NULL THEN 0 ELSE 1 END END,
+  CASE WHEN sort_field = 'PeRatio' THEN -s.v ELSE s.v END NULLS FIRST, CASE WHEN sort_field = '' THEN a.ticker END, a.security_id) AS rank, n_strategies
+FROM fx_bulk c JOIN fx_long a ON a.field = c.f1
+LEFT JOIN fx_long b ON b.field = c.f2 AND b.security_id = a.security_id AND c.shape <> 'bare'
+LEFT JOIN fx_long s ON s.field = c.sort_field AND s.security_id = a.security_id
+WHERE c.shape <> 'or' AND (c.shape = 'bare' OR b.v > v2) AND (place = '' OR a.exchange = place) AND NOT out_of_range
+  AND CASE o1 WHEN 'LessThan' THEN a.v < v1 WHEN 'LessThanOrEqual' THEN a.v <= v1 WHEN 'GreaterThan' THEN a.v > v1 ELSE a.v >= v1 END
+QUALIFY rank <= coalesce(lim, 200)""",
+    "fx_bulk_refused": """
+SELECT criteria_key, 'refused' AS kind, 'OperatorNotSupportedInV1' AS code, CAST(NULL AS BIGINT) AS security_id, CAST(NULL AS BIGINT) AS rank,
+  n_strategies FROM fx_bulk WHERE shape = 'or'
+UNION ALL SELECT criteria_key, 'refused', 'ValueOutOfRange', NULL, NULL, n_strategies FROM fx_bulk WHERE out_of_range""",
 }
 
 
@@ -478,7 +556,7 @@ def _full_sql() -> str:
 ORACLES = {
     "screen_full": _full_sql(),
     "screen_predicate": v("SELECT security_id, close < 2000 AS lessthan, close <= 2000 AS lessthanorequal, "
-                          "close > 2000 AS greaterthan, close >= 2000 AS greaterthanorequal FROM fx_base WHERE close > 500"),
+                          "close > 2000 AS greaterthan, close >= 2000 AS greaterthanorequal, close = 2000 AS equal, close <> 2000 AS notequal FROM fx_base WHERE close > 500"),
     "screen_group_and": v("SELECT security_id, ticker, close FROM fx_base WHERE close > 500 AND pb < 15 AND volume > 5000"),
     "screen_null_semantics": v("SELECT count(*) AS n, count(*) FILTER (pe < 20) AS below, "
                                "count(*) FILTER (pe >= 20) AS at_or_above, count(*) FILTER (pe IS NULL) AS unknown FROM fx_base"),
@@ -529,14 +607,7 @@ ORACLES = {
     "fetch_priority": v(
         "SELECT security_id, ticker, CAST(CASE WHEN security_id IN (SELECT security_id FROM fx_fundamentals_v1 WHERE revenue > 750000) "
         "THEN 1 ELSE 0 END AS INT) AS was_fetched FROM fx_securities ORDER BY 3, 2 LIMIT 30"),
-    "screen_bulk": v(
-        "SELECT criteria_key, security_id, row_number() OVER (PARTITION BY criteria_key ORDER BY ticker, security_id) AS rank, n_strategies "
-        "FROM (SELECT substr(sha256(criteria_json), 1, 32) AS criteria_key, count(*) AS n_strategies, any_value(f1) AS f1, any_value(o1) AS o1, "
-        "any_value(v1) AS v1, any_value(f2) AS f2, any_value(v2) AS v2 FROM fx_strategies GROUP BY 1) c "
-        "JOIN fx_long a ON a.field = c.f1 JOIN fx_long b ON b.field = c.f2 AND b.security_id = a.security_id "
-        "WHERE CASE o1 WHEN 'LessThan' THEN a.v < v1 WHEN 'LessThanOrEqual' THEN a.v <= v1 WHEN 'GreaterThan' THEN a.v > v1 "
-        "ELSE a.v >= v1 END AND b.v > v2 QUALIFY rank <= 20".replace("security_id, row_number", "a.security_id, row_number")
-        .replace("ORDER BY ticker, security_id", "ORDER BY a.ticker, a.security_id")),
+    "screen_bulk": v("SELECT * FROM fx_bulk_hits UNION ALL SELECT * FROM fx_bulk_refused"),
     "alert_diff": v("SELECT strategy_id, security_id, event_type FROM fx_events WHERE as_of_date = DATE '2000-10-02'"),
     "alert_diff_history": v("SELECT * FROM fx_events"),
     "alerts_latest_n": v("SELECT * FROM fx_events WHERE strategy_id = 1 ORDER BY as_of_date DESC, security_id, event_type LIMIT 100"),

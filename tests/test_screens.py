@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,16 +38,60 @@ def test_a_null_metric_passes_no_comparison(spark):
         assert 1 not in [r.security_id for r in hits]
 
 
-def test_screen_many_equals_single_screens(spark):
-    df = spark.createDataFrame([(i, float(i), None if i % 3 == 0 else i / 2) for i in range(20)], "security_id long, close double, pe double")
-    crit = spark.createDataFrame(
-        [("a", [("ClosePrice", "GreaterThan", 5.0), ("PeRatio", "LessThanOrEqual", 6.0)]), ("b", [("PeRatio", "LessThan", 4.0)]), ("c", [("Unknown", "LessThan", 4.0)])],
-        "criteria_key string, comparisons array<struct<field:string,operator:string,value:double>>")
-    want = {("a", r.security_id) for r in df.filter("close > 5 and pe <= 6").collect()} | {("b", r.security_id) for r in df.filter("pe < 4").collect()}
-    one = screen.screen_many(df, crit, ["security_id"], ["ClosePrice", "PeRatio"])
-    assert {tuple(r) for r in one.collect()} == want
-    sliced = [screen.screen_many(df, c, ["security_id"], ["ClosePrice", "PeRatio"]) for c in screen.slice_criteria(crit, 3)]
-    assert {tuple(r) for part in sliced for r in part.collect()} == want
+def _json(root, **more):
+    return json.dumps({"universe": {}, "root": root, **more})
+
+
+def _node(field, op, value):
+    return {"kind": "comparison", "field": field, "operator": op, "value": value}
+
+
+def _group(*children, op="And"):
+    return {"kind": "group", "op": op, "children": list(children)}
+
+
+def test_bulk_screens_take_universe_nesting_sort_and_default_limit(spark):
+    df = spark.createDataFrame(
+        [(i, f"T{i:04d}", "ASIA" if i % 2 else "EUROPE", float(i), None if i % 3 == 0 else i / 2, 50.0) for i in range(300)],
+        "security_id long, ticker string, exchange string, close double, pe double, rsi14 double")
+    low = _node("ClosePrice", "GreaterThan", 5)
+    saved = spark.createDataFrame([
+        ("flat", _json(_group(low, _node("PeRatio", "LessThanOrEqual", 6)))), ("bare", _json(_node("PeRatio", "LessThan", 4))),
+        ("asia", _json(_group(low), universe={"exchange": "ASIA"}, limit=3)), ("nested", _json(_group(_group(_group(_node("Rsi14", "LessThan", 90)))), limit=1000)),
+        ("desc", _json(_group(low), sort={"field": "PeRatio", "direction": "Desc"}, limit=2)), ("or", _json(_group(low, op="Or"))),
+        ("asc", _json(_group(low), sort={"field": "PeRatio", "direction": "Asc"}, limit=2)), ("wide", _json(_group(low))),
+        ("index", _json(_group(low), universe={"index": "X"})), ("lacking", _json(_group(_node("Sma50", "LessThan", 9)))),
+    ], "strategy_id string, criteria_json string")
+    valid = concepts.parsed_criteria(saved).withColumnRenamed("strategy_id", "criteria_key")
+    got = {}
+    for r in screen.screen_many(df, valid, ["security_id"]).orderBy("criteria_key", "rank").collect():
+        got.setdefault(r["criteria_key"], []).append(r["security_id"])
+    assert got["flat"] == [7, 8, 10, 11] and got["bare"] == [1, 2, 4, 5, 7] and got["asia"] == [7, 9, 11]
+    assert len(got["nested"]) == 300 and got["desc"] == [299, 298] and got["asc"] == [6, 9] and len(got["wide"]) == 200
+    assert "or" not in got and "index" not in got and "lacking" not in got
+    refused = {(r["strategy_id"], r["code"]) for r in concepts.refused_criteria(saved).collect()}
+    assert refused == {("or", "OperatorNotSupportedInV1"), ("index", "IndexNotSupported")}
+
+
+def test_many_criteria_in_several_buckets_and_no_hidden_bound(spark):
+    df = spark.createDataFrame([(i, f"T{i}", float(i)) for i in range(40)], "security_id long, ticker string, close double")
+    saved = spark.createDataFrame([(str(k), _json(_node("ClosePrice", "LessThan", k % 40))) for k in range(1300)], "strategy_id string, criteria_json string")
+    valid = concepts.parsed_criteria(saved).withColumnRenamed("strategy_id", "criteria_key")
+    counts = {r["criteria_key"]: r["count"] for r in screen.screen_many(df, valid, ["security_id"]).groupBy("criteria_key").count().collect()}
+    assert counts == {str(k): k % 40 for k in range(1300) if k % 40}
+    many = spark.range(1500).selectExpr("1 AS g", "id", "1200 AS n")
+    assert screen.top_per_group(many, ["g"], ["id"], F.col("n")).count() == 1200
+    with pytest.raises(Exception, match="more than 1000"):
+        screen.top_per_group(many, ["g"], ["id"], F.col("n"), at_most=1000).count()
+
+
+def test_deep_trees_report_their_own_errors_only(spark):
+    node = _node("Bogus", "LessThan", 1)
+    for _ in range(9):
+        node = _group(node)
+    saved = spark.createDataFrame([("deep", _json(node)), ("text", _json(_node("PeRatio", "LessThan", 1), name="[[[[[["))], "strategy_id string, criteria_json string")
+    got = sorted((r["strategy_id"], r["code"], r["path"].count("children")) for r in concepts.validate_criteria(saved).collect())
+    assert got == [("deep", "TreeTooDeep", 0), ("deep", "UnknownConcept", 9)]
 
 
 def test_longer_alias_consumes_its_words(spark):
