@@ -102,14 +102,19 @@ def reconcile_securities(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def detect_delistings(securities: DataFrame, bars: DataFrame, gap_days: int = DELISTING_GAP_DAYS) -> DataFrame:
-    """Active securities whose last bar lies more than ``gap_days`` calendar days before the market's last one."""
+    """Active securities whose last bar lies more than ``gap_days`` calendar days before the market's last one are delisted.
+
+    Only newly found ones are touched, so a run over its own result changes nothing and earlier dates and reasons stay.
+    """
     last = bars.groupBy("security_id").agg(F.max("date").alias("last_date"))
     market = bars.agg(F.max("date"))
     gone = F.col("is_active") & (F.col("last_date") < F.date_sub(market.scalar(), gap_days))
     flag = F.coalesce(gone, F.lit(False))
+    own = ["is_active", "delisted_date", "delisting_reason"]
+    known = {c: F.col(c) if c in securities.columns else F.lit(None) for c in own[1:]}
     return securities.join(last, "security_id", "left").select(
-        *[c for c in securities.columns if c != "is_active"],
+        *[c for c in securities.columns if c not in own],
         (F.col("is_active") & ~flag).alias("is_active"),
-        F.when(flag, F.col("last_date")).alias("delisted_date"),
-        F.when(flag, F.lit("Unknown")).alias("delisting_reason"),
+        F.when(flag, F.col("last_date")).otherwise(known["delisted_date"].cast("date")).alias("delisted_date"),
+        F.when(flag, F.lit("Unknown")).otherwise(known["delisting_reason"].cast("string")).alias("delisting_reason"),
     )

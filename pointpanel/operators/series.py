@@ -23,6 +23,10 @@ def running():
 
 
 def numbered(bars: DataFrame) -> DataFrame:
+    """Rows numbered by date. A bar whose price is not a finite number is no bar: one NaN would spoil every later running sum."""
+    prices = [c for c, kind in bars.dtypes if c in ("close", "adj_close") and kind in ("double", "float")]
+    for c in prices:
+        bars = bars.filter(F.col(c).isNull() | (~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))))
     return bars.withColumn("rn", F.row_number().over(by_date()))
 
 
@@ -163,8 +167,18 @@ def rsi(bars: DataFrame, value: str, n: int = 14, out: str = "rsi14") -> DataFra
     df = df.withColumns({"_dg": seeded(F.col("_g"), n, 2, 1 / n), "_dl": seeded(F.col("_l"), n, 2, 1 / n)})
     d = 1 - 1 / n
     df = unblocked(decayed_sums(blocked(df, block_rows(d)), {"_ag": (F.col("_dg"), d), "_al": (F.col("_dl"), d)}))
+    return df.withColumn(out, strength_index(n, running())).drop("_c", "_g", "_l", "_dg", "_dl", "_ag", "_al")
+
+
+def strength_index(n: int, over) -> Column:
+    """Wilder's index from the averages ``_ag`` and ``_al`` and the moves ``_g`` and ``_l``.
+
+    Where the price stands still both averages shrink alike, so the index is that of the last move. It is carried rather than computed
+    anew, because the averages themselves vanish on a long flat stretch and their quotient with them.
+    """
     index = F.when(F.col("_al") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_ag") / F.col("_al")))
-    return df.withColumn(out, F.when(F.col("rn") > n, index)).drop("_c", "_g", "_l", "_dg", "_dl", "_ag", "_al")
+    moved = (F.col("rn") == n + 1) | ((F.col("rn") > n) & ((F.col("_g") != 0) | (F.col("_l") != 0)))
+    return F.last(F.when(moved, index), ignorenulls=True).over(over)
 
 
 def atr(bars: DataFrame, close: str = "close", n: int = 14, out: str = "atr14") -> DataFrame:
@@ -212,7 +226,7 @@ def indicators(bars: DataFrame, value: str = "adj_close", keep: tuple[str, ...]
         "_ef": (F.col("_df"), 11 / 13), "_es": (F.col("_ds"), 25 / 27), "_ag": (F.col("_dg"), d14),
         "_al": (F.col("_dl"), d14), "_at": (F.col("_dt"), d14),
     })
-    df = _macd(df, 12, 26, 9)
+    df = _macd(df, 12, 26, 9).withColumn("_index", strength_index(14, running_block()))
     m1 = (F.col("_r1") - F.col("_q1")) / 30
     m2 = (F.col("_r2") - F.col("_q2")) / 30
     rn = F.col("rn")
@@ -220,7 +234,7 @@ def indicators(bars: DataFrame, value: str = "adj_close", keep: tuple[str, ...]
         "security_id", "date", *keep,
         F.when(rn >= 50, (F.col("_s") - F.coalesce("_s50", F.lit(0.0))) / 50).alias("sma50"),
         F.when(rn >= 200, (F.col("_s") - F.coalesce("_s200", F.lit(0.0))) / 200).alias("sma200"),
-        F.when(rn > 14, F.when(F.col("_al") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_ag") / F.col("_al")))).alias("rsi14"),
+        F.col("_index").alias("rsi14"),
         "macd",
         "macd_signal",
         F.when(rn > 14, F.col("_at")).alias("atr14"),

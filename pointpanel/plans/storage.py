@@ -6,12 +6,13 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointpanel.fixtures import Fixtures
 from pointpanel.functions.rounding import half_up
-from pointpanel.operators import calendar, screen, series
+from pointpanel.functions.vocabulary import DEFAULT_LIMIT
+from pointpanel.operators import calendar, series
 from pointpanel.plans import screens
 from pointpanel.plans.oracle_views import rnd, with_views
 from pointpanel.session import scratch_path, stored
@@ -247,10 +248,9 @@ def q_snapshot_seal_history(spark, sf):
 def q_append_run_log(spark, sf):
     """Two appended batches of screen runs; only saved strategies keep their members."""
     path = scratch_path(spark, "runs")
-    ranked = screen.top_per_group(
-        screens.membership(Fixtures(spark, sf)), ["strategy_id", "as_of_date"], ["security_id"], 50
-    )
-    runs = sinks.members_json(ranked, ["strategy_id", "as_of_date"], 50).withColumn(
+    in_run = Window.partitionBy("strategy_id", "as_of_date").orderBy("security_id")
+    ranked = screens.membership(Fixtures(spark, sf)).withColumn("rank", F.row_number().over(in_run))
+    runs = sinks.members_json(ranked, ["strategy_id", "as_of_date"], DEFAULT_LIMIT).withColumn(
         "members_json", F.when(F.col("strategy_id") % 2 == 1, F.col("members_json"))
     )
     early = F.col("as_of_date") < F.lit("1999-07-01").cast("date")
@@ -363,8 +363,8 @@ ORACLES = {
                                "(SELECT as_of_date FROM fx_snapshots WHERE sealed_at IS NOT NULL) GROUP BY 1"),
     "append_run_log": v(
         "SELECT strategy_id, as_of_date, count(*) AS result_count, CASE WHEN strategy_id % 2 = 1 THEN concat('[', string_agg(concat('{\"security_id\":', security_id, '}'), ',' "
-        "ORDER BY security_id), ']') END AS members_json FROM (SELECT * FROM fx_members QUALIFY row_number() OVER (PARTITION BY strategy_id, as_of_date ORDER BY security_id) <= 50) t "
-        "GROUP BY 1, 2"),
+        "ORDER BY security_id) FILTER (WHERE rank <= 200), ']') END AS members_json FROM (SELECT *, row_number() OVER (PARTITION BY strategy_id, as_of_date "
+        "ORDER BY security_id) AS rank FROM fx_members) t GROUP BY 1, 2"),
     "json_roundtrip": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') AS k_text, "
                       "concat('{\"k\":', json_extract_string(props, '$.k'), '}') AS json FROM events",
     "stream_daily_bars": "SELECT user_id, CAST(ts AS DATE) AS date, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, "

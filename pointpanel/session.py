@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,14 +29,18 @@ def local_session(cores: int | str = "*", app: str = "pointpanel") -> SparkSessi
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a single machine) a fresh local folder is made and set.
+    Where ``spark.checkpoint.dir`` is unset, a fresh local folder is made and set on a single machine, and removed when Python ends. On a
+    cluster a local folder would hold other rows on each machine, so the setting is required there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         current = spark.sparkContext.getCheckpointDir()
+        if not current and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = current or tempfile.mkdtemp(prefix="spark-")
         if not current:
             spark.sparkContext.setCheckpointDir(root)
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
     return root
 
 

@@ -42,9 +42,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: More columns than any known layout has.
+MAX_CELLS = 64
+
+
 def _cells(line: Column) -> Column:
-    quoted = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(F.when(line.contains('"'), quoted).otherwise(F.split(line, ",")), lambda c: F.trim(c))
+    """The cells of a line without quotes and outer blanks. Only lines with a quote need the CSV reader."""
+    plain = F.transform(F.split(line, ","), lambda c: F.trim(c))
+    schema = ", ".join(f"c{i} string" for i in range(MAX_CELLS))
+    read = F.from_csv(line, schema, {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    count = F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), ","))
+    quoted = F.slice(F.array(*[F.coalesce(F.trim(read[f"c{i}"]), F.lit("")) for i in range(MAX_CELLS)]), 1, F.least(count, F.lit(MAX_CELLS)))
+    return F.when(line.contains('"'), quoted).otherwise(plain)
 
 
 def headers(lines: DataFrame) -> DataFrame:
@@ -74,8 +83,9 @@ def unknown_layouts(lines: DataFrame) -> DataFrame:
     return lines.select("file").distinct().join(headers(lines), "file", "left_anti")
 
 
-def parse_eod(lines: DataFrame) -> DataFrame:
-    """Equity rows of all files. Other series, trailers and unreadable rows are skipped, never the whole file."""
+def parse_eod(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Equity rows of all files. Other series, trailers and unreadable rows are skipped, never the whole file. ``keep`` names columns of
+    ``lines`` to carry along."""
     joined = lines.join(headers(lines), "file").withColumn("c", _cells(F.col("value")))
 
     def cell(field):
@@ -93,6 +103,7 @@ def parse_eod(lines: DataFrame) -> DataFrame:
         *[number(f).alias(f) for f in ("open", "high", "low", "close")],
         F.when(number("prev_close") != 0, number("prev_close")).alias("prev_close"),
         F.coalesce(number("volume", "bigint"), F.lit(0)).alias("volume"),
+        *keep,
     )
     return rows.filter(is_equity(F.col("series"))).dropna(subset=["date", "open", "high", "low", "close"])
 

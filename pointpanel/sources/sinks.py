@@ -83,8 +83,10 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def members_json(members: DataFrame, group: list[str], limit: int) -> DataFrame:
-    """The members of each run as JSON. A run's result is limited by its screen, so the list is bounded by ``limit``."""
-    return members.filter(F.col("rank") <= limit).groupBy(*group).agg(
+    """The members of each run as JSON, by rank, and how many there were. A run keeps at most its screen's ``limit`` as members; the
+    count is that of all its results."""
+    shown = F.collect_list(F.when(F.col("rank") <= limit, F.struct("rank", "security_id")))
+    return members.groupBy(*group).agg(
         F.count(F.lit(1)).alias("result_count"),
-        F.to_json(F.sort_array(F.collect_list(F.struct("security_id")))).alias("members_json"),
+        F.to_json(F.transform(F.sort_array(shown), lambda m: F.struct(m["security_id"].alias("security_id")))).alias("members_json"),
     )

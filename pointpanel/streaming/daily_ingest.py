@@ -8,28 +8,40 @@ from pyspark.sql import functions as F
 from pointpanel.sources import eod_files, sinks, snapshots
 
 
-def ingest_batch(spark: SparkSession, lines: DataFrame, bars_path: str, manifest: str, batch_id: int) -> None:
-    """Parse, upsert on (symbol, date), then seal the load's new days; a repeated batch changes nothing."""
+def ingest_batch(spark: SparkSession, lines: DataFrame, bars_path: str) -> None:
+    """Parse and upsert on (symbol, date); a repeated batch changes nothing.
+
+    Of several files with one symbol and day, one that bears the identifier wins, then the later file name.
+    """
     lines = lines.persist()
     try:
         if not eod_files.unknown_layouts(lines).isEmpty():
             raise ValueError("a daily file has an unknown layout")
-        rows = eod_files.parse_eod(lines).withColumn("_seq", F.lit(batch_id))
-        load = sinks.latest_rows(rows, ["symbol", "date"], "_seq")
-        sinks.upsert(spark, bars_path, load, ["symbol", "date"], F.year("date"))
-        days = load.groupBy("date").agg(F.count(F.lit(1)).alias("price_row_count")).select(
-            F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long").alias("snapshot_id"),
-            F.col("date").alias("as_of_date"), "price_row_count",
-        )
-        fresh = days.join(snapshots.read_manifest(spark, manifest), "snapshot_id", "left_anti")
-        if not fresh.isEmpty():
-            snapshots.seal(spark, manifest, fresh)
+        rows = eod_files.parse_eod(lines, keep=("file",))
+        ranked = rows.withColumn("_seq", F.struct((F.col("isin") != "").alias("identified"), F.col("file").alias("file"))).drop("file")
+        sinks.upsert(spark, bars_path, sinks.latest_rows(ranked, ["symbol", "date"], "_seq"), ["symbol", "date"], F.year("date"))
     finally:
         lines.unpersist()
 
 
+def seal_landed(spark: SparkSession, bars_path: str, manifest: str) -> None:
+    """Seal the days that no snapshot holds yet, with the counts of the table itself.
+
+    It runs once all landed files are drained, so a day whose files fell into several batches is whole.
+    """
+    if not sinks._exists(spark, bars_path):
+        return
+    days = sinks.read_table(spark, bars_path).groupBy("date").agg(F.count(F.lit(1)).alias("price_row_count")).select(
+        F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long").alias("snapshot_id"),
+        F.col("date").alias("as_of_date"), "price_row_count",
+    )
+    fresh = days.join(snapshots.read_manifest(spark, manifest), "snapshot_id", "left_anti")
+    if not fresh.isEmpty():
+        snapshots.seal(spark, manifest, fresh)
+
+
 def run_ingest(spark: SparkSession, landing: str, bars_path: str, manifest: str, checkpoint: str, files: int = 1000) -> None:
-    """Drain what has landed and stop; the checkpoint remembers which files were taken."""
+    """Drain what has landed, seal the new days and stop; the checkpoint remembers which files were taken."""
     lines = (
         spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files)
         .schema("value string").format("text").load(landing)
@@ -37,8 +49,9 @@ def run_ingest(spark: SparkSession, landing: str, bars_path: str, manifest: str,
     )
     query = (
         lines.writeStream.foreachBatch(
-            lambda batch, i: ingest_batch(batch.sparkSession, batch, bars_path, manifest, i)
+            lambda batch, _: ingest_batch(batch.sparkSession, batch, bars_path)
         )
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    seal_landed(spark, bars_path, manifest)

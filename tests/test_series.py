@@ -136,3 +136,38 @@ def test_panel_keeps_the_last_known_row_per_date(spark):
     rows = asof.panel_as_of(facts, schedule, ["close"]).collect()
     got = {(r.security_id, (r.signal_date - DAY).days): r.close for r in rows}
     assert got == {(1, 1): 2.0, (1, 20): 3.0, (1, 50): 3.0, (2, 50): 9.0}
+
+
+def walk_rsi(xs, n=14):
+    out, gain, loss = [None] * len(xs), 0.0, 0.0
+    for i in range(1, len(xs)):
+        g, l = max(xs[i] - xs[i - 1], 0.0), max(xs[i - 1] - xs[i], 0.0)
+        if i <= n:
+            gain, loss = gain + g / n, loss + l / n
+        else:
+            gain, loss = (gain * (n - 1) + g) / n, (loss * (n - 1) + l) / n
+        if i >= n:
+            out[i] = 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
+    return out
+
+
+def test_rsi_stays_on_a_long_flat_stretch(spark):
+    rng = random.Random(7)
+    closes = [100.0]
+    for _ in range(299):
+        closes.append(closes[-1] + rng.choice([-1, 0, 1, 2, -2]) * 0.5)
+    closes += [closes[-1]] * 1500
+    closes += [closes[-1] + 1, closes[-1] - 2]
+    frame = bars(spark, closes)
+    want = walk_rsi(closes)
+    for got in (values(series.rsi(series.numbered(frame), "close"), "rsi14"), values(series.indicators(frame.withColumn("adj_close", F.col("close"))), "rsi14")):
+        assert got[:14] == [None] * 14 and got[14:] == pytest.approx(want[14:], abs=1e-6)
+    assert abs(want[1700] - 100) > 1
+
+
+def test_a_price_that_is_no_number_is_no_bar(spark):
+    closes = [float(100 + i % 7) for i in range(300)]
+    clean = values(series.rolling_mean(series.numbered(bars(spark, closes)), "close", 50, "m"), "m")
+    spoilt = bars(spark, closes[:100] + [float("nan")] + closes[100:])
+    got = values(series.rolling_mean(series.numbered(spoilt), "close", 50, "m"), "m")
+    assert got[:49] == [None] * 49 and got[49:] == pytest.approx(clean[49:])

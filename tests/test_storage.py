@@ -31,7 +31,7 @@ def test_three_layouts(spark, tmp_path):
     lines = eod_files.read_lines(spark, str(tmp_path / "plain"))
     got = {(r.symbol, r.date.day): (r.isin, r.series, r.close, r.prev_close, r.volume) for r in eod_files.parse_eod(lines).collect()}
     assert got == {
-        ("AAA", 3): ("INE1", "EQ", 1.5, 1.4, 100), ('"B, Co"', 3): ("INE2", "BE", 2.0, None, 5), ("AAA", 6): ("", "EQ", 1.65, 1.5, 200),
+        ("AAA", 3): ("INE1", "EQ", 1.5, 1.4, 100), ("B, Co", 3): ("INE2", "BE", 2.0, None, 5), ("AAA", 6): ("", "EQ", 1.65, 1.5, 200),
     }
     zipped = eod_files.parse_eod(eod_files.read_archives(spark, str(tmp_path))).collect()
     assert [(r.symbol, r.date, r.close, r.isin) for r in zipped] == [("AAA", dt.date(2020, 1, 7), 1.7, "INE1")]
@@ -61,6 +61,58 @@ def test_streamed_ingest_takes_each_file_once_and_refuses_unknown_layouts(spark,
         run_ingest(spark, str(inbox), *paths)
 
 
+def test_a_day_over_several_batches_is_sealed_once_with_the_count_of_the_table(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    paths = [str(tmp_path / x) for x in ("bars", "manifest", "checkpoint")]
+    for k in range(3):
+        (inbox / f"{k}.csv").write_text(FULL + f"\nS{k}, EQ, 06-Jan-2020, 1.5, 1.6, 1.7, 1.5, 1.65, 200\n")
+    run_ingest(spark, str(inbox), *paths, files=1)
+    n = sinks.read_table(spark, paths[0]).count()
+    assert n >= 3 and [r.price_row_count for r in snapshots.read_manifest(spark, paths[1]).where("as_of_date = '2020-01-06'").collect()] == [n]
+
+
+def test_quotes_are_removed_from_rows_and_headers(spark, tmp_path):
+    header = "SYMBOL,SERIES,OPEN,HIGH,LOW,CLOSE,PREVCLOSE,TOTTRDQTY,TIMESTAMP,ISIN"
+    quote = lambda line: ",".join(f'"{c}"' for c in line.split(","))
+    (tmp_path / "q.csv").write_text("\n".join([
+        quote(header), quote("AAA,EQ,1,2,1,2,1,10,03-JAN-2020,INE1"), '"BBB",EQ,1,2,1,2,1,"1",03-JAN-2020,INE2',
+        'CCC,EQ,1,2,1,2,1,10,03-JAN-2020,INE3']) + "\n")
+    lines = eod_files.read_lines(spark, str(tmp_path))
+    assert eod_files.unknown_layouts(lines).isEmpty()
+    got = sorted((r.symbol, r.isin, r.close) for r in eod_files.parse_eod(lines).collect())
+    assert got == [("AAA", "INE1", 2.0), ("BBB", "INE2", 2.0), ("CCC", "INE3", 2.0)]
+
+
+def test_a_run_counts_all_results_and_keeps_its_limit_of_members(spark):
+    members = spark.createDataFrame([(1, k, k) for k in range(1, 8)], "run long, security_id long, rank int")
+    row = sinks.members_json(members, ["run"], 3).first()
+    assert row["result_count"] == 7 and row["members_json"] == '[{"security_id":1},{"security_id":2},{"security_id":3}]'
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from pointpanel.session import shared_root
+
+    context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://m:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
+def test_delistings_found_earlier_stay(spark):
+    from pointpanel.operators.identity import detect_delistings
+
+    day = lambda d: dt.date(2020, 1, 1) + dt.timedelta(d)
+    bars = spark.createDataFrame([(1, day(0)), (2, day(200)), (3, day(10))], "security_id long, date date")
+    known = spark.createDataFrame([(1, False, day(5), "Merger"), (2, True, None, None), (3, True, None, None)],
+                                  "security_id long, is_active boolean, delisted_date date, delisting_reason string")
+    once = detect_delistings(known, bars)
+    rows = lambda f: {r["security_id"]: (r["is_active"], r["delisted_date"], r["delisting_reason"]) for r in f.collect()}
+    assert rows(once) == {1: (False, day(5), "Merger"), 2: (True, None, None), 3: (False, day(10), "Unknown")}
+    assert rows(detect_delistings(once, bars)) == rows(once)
+
+
 def test_upsert_rewrites_only_touched_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
     cols = "security_id long, date date, close double"
