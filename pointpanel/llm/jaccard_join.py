@@ -82,9 +82,9 @@ def _summaries(docs: DataFrame) -> DataFrame:
 
 def _order_counts(summaries: DataFrame) -> np.ndarray:
     """Shingles of all documents in each bucket: at most 2 ** ORDER_BITS numbers, whatever the size of the corpus."""
-    found = summaries.where("bucket is not null").groupBy("bucket").agg(F.sum("freq").alias("freq")).toPandas()
+    found = summaries.where("bucket is not null").groupBy("bucket").agg(F.sum("freq").alias("freq")).toArrow()
     counts = np.zeros(1 << ORDER_BITS, np.int64)
-    counts[found["bucket"].to_numpy(np.int64)] = found["freq"].to_numpy(np.int64)
+    counts[found["bucket"].to_numpy()] = found["freq"].to_numpy()
     return counts
 
 
@@ -123,9 +123,9 @@ def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id may be among ``ids``: a bit set of fixed size drops most others before their texts are shuffled."""
     bits = (F.xxhash64(F.col("id")).bitwiseAND(F.lit((1 << WANTED_BITS) - 1))).alias("bit")
     words = ids.select(bits).groupBy((F.col("bit") / 32).cast("long").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("mask")).toPandas()
+        F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("mask")).toArrow()
     table = np.zeros(1 << (WANTED_BITS - 5), np.int64)
-    table[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
+    table[words["word"].to_numpy()] = words["mask"].to_numpy()
     held = ids.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
