@@ -218,7 +218,7 @@ def fit_sample(measured: DataFrame, labels: DataFrame, learn, sample_rows: int =
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max("quality").cast("int").alias("y"))
     rows = measured.where(learn).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).select("x", "y")
-    sample = rows.limit(sample_rows).toPandas()
+    sample = rows.limit(sample_rows).toArrow().to_pandas()
     x = np.array(sample["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return fit(x, sample["y"].to_numpy(dtype=float))
 

@@ -87,7 +87,7 @@ def _known_counts(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([[-1], hit])), pa.array(np.concatenate([[total], counts[hit]]))], names=["k", "c"])
 
-    found = docs.select("text").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toPandas()
+    found = docs.select("text").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow().to_pandas()
     counts = np.zeros(len(known) + 1, np.int64)
     counts[found["k"].to_numpy(np.int64)] = found["c"].to_numpy(np.int64)  # -1 is the last place
     return counts[:-1], int(counts[-1])
@@ -147,7 +147,7 @@ def learn(docs: DataFrame, sample: DataFrame) -> ToxicModel:
     continued = bigrams.groupBy("w").agg(F.sum(seen("t")).alias("t"), F.sum(seen("o")).alias("o"))
     totals = continued.agg(*(f(k).alias(f"{n}_{k}") for k in "to" for n, f in (
         ("all", F.sum), ("cut", lambda k: F.sum(F.least(F.col(k), F.lit(d1))))))).first().asDict()
-    kept = continued.where(f"t > {d1} or o > {d1}").toPandas()
+    kept = continued.where(f"t > {d1} or o > {d1}").toArrow().to_pandas()
     if not totals["all_t"] or not totals["all_o"]:
         none, pair = np.zeros(0, np.uint64), np.zeros((2, 0))
         return ToxicModel(none, pair, np.ones(2), none, pair, none, pair)
@@ -161,13 +161,13 @@ def learn(docs: DataFrame, sample: DataFrame) -> ToxicModel:
     unigram = np.maximum(n - d1, 0) / all_ + rare * shared
     strong = bigrams.where(f"t > {d2} or o > {d2}").select("v", "w", "t", "o")
     sums = bigrams.join(strong.select("v").distinct(), "v", "left_semi").groupBy("v").agg(
-        *(F.sum(k).alias(f"n_{k}") for k in "to"), *(F.sum(F.least(F.col(k), F.lit(d2))).alias(f"cut_{k}") for k in "to")).toPandas()
+        *(F.sum(k).alias(f"n_{k}") for k in "to"), *(F.sum(F.least(F.col(k), F.lit(d2))).alias(f"cut_{k}") for k in "to")).toArrow().to_pandas()
     contexts = sums["v"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(contexts)
     contexts, sums = contexts[order], sums.iloc[order]
     counts, cut = sums[["n_t", "n_o"]].to_numpy(float).T, sums[["cut_t", "cut_o"]].to_numpy(float).T
     weights = np.where(counts > 0, cut / np.maximum(counts, 1), 1.0)
-    pairs = strong.toPandas()
+    pairs = strong.toArrow().to_pandas()
     v, w = (pairs[k].to_numpy(np.int64).view(np.uint64) for k in "vw")
     at, _ = _find(contexts, v)
     lift = np.maximum(pairs[["t", "o"]].to_numpy(float).T - d2, 0) / np.maximum(counts[:, at], 1)
@@ -215,7 +215,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS)
     sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(rows.where("not tune")), "doc_id")
     found = stored(measured(docs, learn(docs, sample)), "toxicity")
     tuned = found.join(F.broadcast(rows.where("tune")), "doc_id").orderBy(draw, "doc_id", "ratio").limit(2 * sample_docs).select(
-        "ratio", "y").toPandas()
+        "ratio", "y").toArrow().to_pandas()
     unit, slope, offset = calibrate(tuned["ratio"].to_numpy(float), tuned["y"].to_numpy(float))
     score = 1 / (1 + F.exp(-(F.lit(offset) + F.lit(slope) * F.asinh(F.col("ratio") / F.lit(unit)))))
     return found.withColumn("score", score).select(
