@@ -4,7 +4,8 @@ Lines are normalised, hashed to 128 bits and counted once per document; only has
 the documents share arrives pre-aggregated. The frequent hashes return to their documents by doc_id, and the texts are shuffled once.
 
 Defined results: a null or empty text is one empty line; rows that repeat a doc_id count as one document, and all rows of the largest
-doc_id keep the line; a null doc_id counts for nothing and loses nothing; further columns pass through.
+doc_id keep the line; a null doc_id counts for nothing and loses nothing; further columns pass through, those named like the results
+are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ def _hash(key: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``; a key of at least ``min_chars`` code points found in at least
     ``min_docs`` documents loses its lines everywhere but in the largest doc_id."""
+    docs = docs.drop("_doc", "_gone", "_stays")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     hashes = F.transform(lines, lambda line: F.when(F.length(line) >= min_chars, F.transform(
         F.array(line_key(line)), lambda key: F.when(F.length(key) >= min_chars, _hash(key)))[0]))

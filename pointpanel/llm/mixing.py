@@ -9,7 +9,8 @@ rows on average, so that running sums need one pass over block totals and one ov
 ends. The decision on a row then is a comparison with its source's cut: one row for each source is joined, texts are not shuffled.
 
 Defined results: a null source is a source of its own; null or empty texts have no tokens and cost nothing; identical rows of a source
-stand or fall together in the last epoch; a null doc_id is an id like others; other columns pass through. The budget of a source is
+stand or fall together in the last epoch; a null doc_id is an id like others; other columns pass through, those named like the
+results are replaced. The budget of a source is
 never exceeded, and what is left of it is smaller than its next group of identical rows. One row for each source reaches the driver.
 """
 
@@ -131,8 +132,10 @@ def mix(
         F.max(F.when(F.col("up_to") <= F.col("left"), F.col("place"))).alias("last")).select(
         F.col("source").alias("s"), F.coalesce("last", F.col("block") * F.lit(width) - 1).alias("cut"))
     cuts = {r["s"]: r["cut"] for r in cut.collect()}
-    final = spark.createDataFrame([(s, w, n, int(cuts.get(s, TOP))) for s, w, n, _ in rows], "s string, weight double, whole int, cut long")
-    times = F.col("whole") + (_place(F.col("whole")) <= F.col("cut")).cast("int")
-    dealt = docs.join(final, final["s"].eqNullSafe(docs["source"])).where(times > 0)
+    final = spark.createDataFrame(
+        [(s, w, n, int(cuts.get(s, TOP))) for s, w, n, _ in rows], "_source string, weight double, _whole int, _cut long")
+    docs = docs.drop("weight", "epoch", "place", *final.columns)
+    times = F.col("_whole") + (_place(F.col("_whole")) <= F.col("_cut")).cast("int")
+    dealt = docs.join(final, final["_source"].eqNullSafe(docs["source"])).where(times > 0)
     dealt = dealt.withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    return dealt.withColumn("place", _place(F.col("epoch")) / F.lit(float(TOP))).drop("s", "whole", "cut")
+    return dealt.withColumn("place", _place(F.col("epoch")) / F.lit(float(TOP))).drop("_source", "_whole", "_cut")
