@@ -12,8 +12,6 @@ DATE_FORMATS = ["dd-MMM-yyyy", "yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "yyyyMM
 ANNUAL_LAG_DAYS = 60
 QUARTERLY_LAG_DAYS = 45
 
-# Months between rebalances and rebalances per year.
-REBALANCE_MONTHS = {"Monthly": 1, "Quarterly": 3, "Annual": 12}
 
 
 def _shape(fmt: str) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 # Metric name, column, source, minimum, maximum, unit.
 METRICS = [
     ("PeRatio", "pe", "ratio", 0.0, 1000.0, None),
@@ -26,9 +24,8 @@ METRICS = [
     ("Volume", "volume", "bar", 0.0, 1000000000000.0, "shares"),
 ]
 
-# Operators every numeric metric allows, and all operators of the filter language.
+# Operators every numeric metric allows.
 ALLOWED_OPERATORS = ["LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual"]
-OPERATORS = ALLOWED_OPERATORS + ["Equal", "NotEqual"]
 
 # Concept name, aliases, definition as (field, operator, value).
 CONCEPTS = [
@@ -66,18 +63,3 @@ MAX_ALIASES = 12
 MAX_NAME_LENGTH = 64
 
 METRIC_COLUMN = {name: column for name, column, *_ in METRICS}
-METRIC_SOURCE = {name: source for name, _, source, *_ in METRICS}
-
-
-def metrics_df(spark: SparkSession) -> DataFrame:
-    """The metric vocabulary, one row per field (18 rows, so it may be broadcast)."""
-    return spark.createDataFrame(
-        METRICS, "name string, column_name string, source string, min_value double, max_value double, unit string"
-    )
-
-
-def concepts_df(spark: SparkSession) -> DataFrame:
-    """The system strategy concepts, one row per concept (18 rows)."""
-    return spark.createDataFrame(
-        CONCEPTS, "name string, aliases array<string>, definition array<struct<field:string,op:string,value:double>>"
-    )

@@ -74,16 +74,18 @@ class Run:
         rows = panel.filter(F.col("close") > 0).join(
             F.broadcast(self.legs.select("as_of_date", "rebalance_no")), "as_of_date"
         )
-        # every strategy ranks every row of the panel: a literal array, exploded in place
+        # rows are ranked once per distinct rule, up to the largest number of positions; strategies then take their share of the ranks
+        most = {rule: max(n for _, r, n, *_ in self.definitions if r == rule) for _, rule, *_ in self.definitions}
+        rules = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(n).alias("most")) for rule, n in most.items()])
+        rows = rows.withColumn("_s", F.explode(rules)).select("*", "_s.*").drop("_s").withColumn("_key", key)
+        ranked = screen.top_per_group(rows, ["rule", "rebalance_no"], ["_key", "security_id"], F.col("most"), at_most=max(most.values()))
         wanted = F.array(*[
             F.struct(F.lit(i).cast("long").alias("strategy_id"), F.lit(rule).alias("rule"), F.lit(n).alias("positions"))
             for i, rule, n, *_ in self.definitions
         ])
-        rows = rows.withColumn("_s", F.explode(wanted)).select("*", "_s.*").drop("_s").withColumn("_key", key)
-        return screen.top_per_group(
-            rows, ["strategy_id", "rebalance_no"], ["_key", "security_id"], F.col("positions"),
-            at_most=max(n for _, _, n, *_ in self.definitions),
-        ).select("strategy_id", "rebalance_no", "security_id", F.col("rank").cast("long").alias("rank"))
+        own = F.filter(wanted, lambda s: (s["rule"] == F.col("rule")) & (F.col("rank") <= s["positions"]))
+        return ranked.withColumn("strategy_id", F.explode(F.transform(own, lambda s: s["strategy_id"]))).select(
+            "strategy_id", "rebalance_no", "security_id", F.col("rank").cast("long").alias("rank"))
 
     @cached_property
     def fills(self) -> DataFrame:

@@ -229,10 +229,13 @@ def q_snapshot_seal(spark, sf):
     data = spark.read.parquet(data_path).withColumn("snapshot_id", F.col("snapshot_id").cast("long"))
     counts = data.filter(F.col("snapshot_id") % 2 == 0).groupBy("snapshot_id").agg(
         F.max("date").alias("as_of_date"), F.count(F.lit(1)).alias("price_row_count")
-    )
+    ).withColumn("provider_version", F.concat(F.lit("eod-"), F.col("snapshot_id").cast("string")))
     snapshots.seal(spark, manifest, counts)
     seen = snapshots.sealed_rows(data, snapshots.read_manifest(spark, manifest))
-    return seen.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last_date"))
+    rows = seen.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last_date"))
+    fields = snapshots.read_manifest(spark, manifest).filter("sealed_at IS NOT NULL AND created_at IS NOT NULL").select(
+        "snapshot_id", "as_of_date", "price_row_count", "fundamental_row_count", "provider_version")
+    return rows.join(fields, "snapshot_id")
 
 
 def q_snapshot_latest_sealed(spark, sf):
@@ -241,8 +244,12 @@ def q_snapshot_latest_sealed(spark, sf):
 
 
 def q_snapshot_seal_history(spark, sf):
-    fx = Fixtures(spark, sf)
-    return snapshots.unsealed_days(fx.bars, fx.snapshots, "1996-01-01", "2000-12-31")
+    """The unsealed days of five years, sealed in one write and read back from the manifest."""
+    fx, manifest = Fixtures(spark, sf), scratch_path(spark, "manifest")
+    snapshots.seal_history(spark, manifest, fx.bars, fx.snapshots, "1996-01-01", "2000-12-31", provider_version=F.lit("eod-1"))
+    return snapshots.read_manifest(spark, manifest).select(
+        F.col("as_of_date").alias("date"), "snapshot_id", "price_row_count", "fundamental_row_count", "provider_version",
+        (F.col("sealed_at") >= F.col("created_at")).alias("in_order"))
 
 
 def q_append_run_log(spark, sf):
@@ -356,10 +363,12 @@ ORACLES = {
         f"UNION ALL SELECT b.security_id, b.fiscal_period_end, b.revenue, DATE '{LOADED}', DATE '9999-12-31' FROM fx_fundamentals_v2 b LEFT JOIN fx_fundamentals_v1 a "
         "USING (security_id, fiscal_period_end) WHERE a.security_id IS NULL OR (a.revenue, a.net_income, a.total_debt, a.shareholders_equity, a.shares_outstanding, "
         "a.cost_of_revenue) IS DISTINCT FROM (b.revenue, b.net_income, b.total_debt, b.shareholders_equity, b.shares_outstanding, b.cost_of_revenue)"),
-    "snapshot_seal": v("SELECT year(date) AS snapshot_id, count(*) AS n, max(date) AS last_date FROM fx_bars WHERE year(date) % 2 = 0 GROUP BY 1"),
+    "snapshot_seal": v("SELECT year(date) AS snapshot_id, count(*) AS n, max(date) AS last_date, max(date) AS as_of_date, count(*) AS price_row_count, "
+                       "CAST(0 AS BIGINT) AS fundamental_row_count, concat('eod-', CAST(year(date) AS VARCHAR)) AS provider_version FROM fx_bars WHERE year(date) % 2 = 0 GROUP BY 1"),
     "snapshot_latest_sealed": v("SELECT o.d AS order_date, s.as_of_date, s.snapshot_id FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) o "
                                 "ASOF LEFT JOIN (SELECT * FROM fx_snapshots WHERE sealed_at IS NOT NULL) s ON o.d >= s.as_of_date"),
-    "snapshot_seal_history": v("SELECT date, count(*) AS price_row_count FROM fx_bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND date NOT IN "
+    "snapshot_seal_history": v("SELECT date, CAST(date - DATE '1970-01-01' AS BIGINT) AS snapshot_id, count(*) AS price_row_count, "
+                               "CAST(0 AS BIGINT) AS fundamental_row_count, 'eod-1' AS provider_version, true AS in_order FROM fx_bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND date NOT IN "
                                "(SELECT as_of_date FROM fx_snapshots WHERE sealed_at IS NOT NULL) GROUP BY 1"),
     "append_run_log": v(
         "SELECT strategy_id, as_of_date, count(*) AS result_count, CASE WHEN strategy_id % 2 = 1 THEN concat('[', string_agg(concat('{\"security_id\":', security_id, '}'), ',' "

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointpanel.session import stored
+
 
 def latest_rows(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """Within one load the row with the highest sequence per key."""
@@ -28,7 +30,7 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str],
     The load's partition values prune the read (dynamic partition pruning) and a dynamic overwrite replaces just those
     folders, so a repeated load ends in the same table.
     """
-    load = incoming.withColumn("_part", partition)
+    load = stored(incoming.withColumn("_part", partition), "load")  # read three times below
     if _exists(spark, path):
         table = spark.read.parquet(path).select(*load.columns)
         touched = table.join(F.broadcast(load.select("_part").distinct()), "_part", "left_semi").select(*load.columns)

@@ -136,7 +136,7 @@ def test_unchanged_filing_writes_no_version(spark):
 
 
 def test_seal_refuses_empty_and_repeated_snapshots(spark, tmp_path):
-    row = lambda n: spark.createDataFrame([(1, dt.date(2020, 1, 1), n)], snapshots.MANIFEST)
+    row = lambda n: spark.createDataFrame([(1, dt.date(2020, 1, 1), n)], "snapshot_id long, as_of_date date, price_row_count long")
     path = str(tmp_path / "m")
     with pytest.raises(ValueError, match="without price rows"):
         snapshots.seal(spark, path, row(0))
