@@ -60,16 +60,28 @@ def test_sequences_hold_the_ids(spark):
 
 
 def test_local_search_empties_sequences():
-    rng = np.random.default_rng(2)
-    for capacity in (100, 2048):
-        lengths = rng.integers(capacity // 10, capacity // 2, 600)
+    saved = 0
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        capacity = 100 if seed % 2 else 2048
+        lengths = rng.integers(capacity // 10, capacity * 6 // 10, 60)
         block = packing.Block(lengths, capacity)
-        before = sum(1 for own in block.items if own)
+        squares = sum(f * f for f in block.fill)
+        before = len(block.items)
         block.search()
         after = [own for own in block.items if own]
-        assert sorted(i for own in after for _, i in own) == list(range(600))
-        assert all(sum(s for s, _ in own) <= capacity for own in after)
-        assert len(after) <= before and len(after) <= -(-int(lengths.sum()) // capacity) + 1
+        assert sorted(i for own in after for _, i in own) == list(range(60))
+        assert all(sum(s for s, _ in own) == f <= capacity for own, f in zip(block.items, block.fill))
+        assert len(after) <= before and sum(f * f for f in block.fill) >= squares
+        saved += before - len(after)
+    assert saved > 0
+
+
+def test_best_fit_alone_reaches_the_bound_with_small_pieces():
+    lengths = np.concatenate([np.random.default_rng(1).integers(100, 2048, 3000), np.random.default_rng(2).integers(1, 60, 1500)])
+    block = packing.Block(lengths, 2048)
+    block.search()
+    assert sum(1 for own in block.items if own) <= -(-int(lengths.sum()) // 2048) + 1
 
 
 def test_weights_meet_their_targets():
