@@ -2,7 +2,8 @@
 
 Texts become pieces of at most ``capacity`` ids inside tasks. From then on only the pieces' lengths travel: they are dealt into blocks
 of bounded size, and each block is packed by itself, best fit decreasing first. Then the emptiest sequence is dissolved: its pieces
-move into gaps, or change places one for one or two for one with shorter pieces of fuller sequences. Each exchange raises the sum of
+move into gaps, or change places one for one or two for one with shorter pieces of fuller sequences; if it resists, the next ones are
+tried. Each exchange raises the sum of
 squared fills, so the search ends; a sequence that ends empty is saved.
 
 Defined results: a null or empty text is the end id alone; rows that repeat a doc_id are packed one by one; no row is lost; the input
@@ -15,6 +16,7 @@ import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -92,11 +94,17 @@ class WordTokenizer:
         return self.flat[at], ends[bounds]
 
 
+@lru_cache(maxsize=1)
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer for all tasks that a worker process runs, with the words it knows."""
+    return WordTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row for each piece of each text; ``with_ids`` adds the ids themselves."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordTokenizer(tokenizer_path)
+        encoder = shared_tokenizer(tokenizer_path)
         for batch in slices(batches, ROWS_AT_ONCE):
             ids, bounds = encoder.ids(batch.column(1))
             rows: list[tuple] = []
@@ -140,16 +148,22 @@ class Block:
             by_room[room - size].append(k)
             rooms |= 1 << (room - size)
 
-    def search(self) -> None:
-        """Dissolve underfull sequences, emptiest first, until one resists."""
+    def search(self, sources: int = 32) -> None:
+        """Dissolve underfull sequences, emptiest first. The search ends when the ids need as many sequences as are left, or when none of
+        the ``sources`` emptiest ones yields."""
+        used = sum(1 for own in self.items if own)
+        least = -(-sum(self.fill) // self.capacity)
         open_ = sorted((k for k in range(len(self.items)) if self.fill[k] < self.capacity), key=lambda k: (self.fill[k], k))
-        while len(open_) > 1:
-            source = open_.pop(0)
-            while self.items[source] and self._improve(source, open_):
+        tried = 0
+        while used > least and tried < min(sources, len(open_) - 1):
+            source = open_[tried]
+            while self.items[source] and self._improve(source, [k for k in open_ if k != source and self.fill[k] < self.capacity]):
                 pass
             if self.items[source]:
-                break
-            open_ = [k for k in open_ if self.fill[k] < self.capacity]
+                tried += 1
+            else:
+                used, tried = used - 1, 0
+                open_ = sorted((k for k in open_ if self.items[k] and self.fill[k] < self.capacity), key=lambda k: (self.fill[k], k))
 
     def _improve(self, source: int, targets: list[int]) -> bool:
         """One round over the targets, fullest first; whether any exchange was made."""
