@@ -50,6 +50,16 @@ def test_ring_members_link_where_heads_do_not(spark):
     check_components(docs(spark, rows))
 
 
+def test_a_tree_of_copies_in_dense_lists(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "DENSE", 3)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 1)
+    rng = random.Random(4)
+    texts = [prose(150, 77)]
+    while len(texts) < 50:
+        texts.append(edited(rng.choice(texts), rng.randrange(1, 6), len(texts)))
+    check_components(docs(spark, list(enumerate(texts))))
+
+
 def test_awkward_rows(spark):
     got = jaccard_join.similar_components(awkward(spark)).collect()
     assert len(got) == 13
@@ -69,10 +79,13 @@ def test_graph_components_of_a_path(spark):
     assert got == {**{k: 0 for k in range(1, 41)}, 101: 100}
 
 
-def test_prefix_lengths_never_miss():
-    for n in range(1, 300):
-        probe, index = jaccard_join.prefix_lengths(np.int64(n), 80)
-        assert 1 <= index <= probe <= n and probe == n - (80 * n + 99) // 100 + 1
+def test_prefixes_and_positions_never_miss():
+    """Of linked sets of n and m shingles sharing k, the first shared one stands in both prefixes and leaves room for the rest."""
+    for n in range(1, 120):
+        for m in range(n, 160):
+            least = -(-80 * (n + m) // 180)  # shingles a link must share
+            if least <= n:
+                assert n - least <= jaccard_join.prefix_length(n, 80) - 1 and m - least <= jaccard_join.prefix_length(m, 80) - 1
 
 
 def vectors(spark, rows):
