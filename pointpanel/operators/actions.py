@@ -9,6 +9,7 @@ from pointpanel.functions import corporate
 from pointpanel.functions.rounding import half_even
 from pointpanel.operators.asof import asof_join
 
+# Actions that move prices, how far a bar may lie from its action, and the accepted deviation.
 PRICE_ACTIONS = ("Split", "Bonus", "Rights")
 MAX_BAR_DISTANCE_DAYS = 10
 TOLERANCE = 0.05

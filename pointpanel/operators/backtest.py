@@ -47,8 +47,10 @@ def targets_with_fills(signals: DataFrame, fills: DataFrame) -> DataFrame:
 
 def leg_days(legs: DataFrame, days: DataFrame) -> DataFrame:
     """Trading days after the execution up to the leg's end, as one array per leg. Both inputs are calendars."""
+    spans = legs.filter(F.col("period_end") > F.col("execution_date")).select(
+        "rebalance_no", F.explode(F.sequence(F.date_add("execution_date", 1), F.col("period_end"))).alias("date"))
     return (
-        legs.join(F.broadcast(days), (F.col("date") > F.col("execution_date")) & (F.col("date") <= F.col("period_end")))
+        spans.join(days, "date")
         .groupBy("rebalance_no")
         .agg(F.sort_array(F.collect_list("date")).alias("days"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: trading days on which an order may fill.
 MAX_FILL_ATTEMPTS = 5
 
 

@@ -182,6 +182,7 @@ def q_equal_weight(spark, sf):
     return equal_weights(numbered_selection(Fixtures(spark, sf).with_stored_bars()))
 
 
+# Fixed value: smaller differences in weight are not traded.
 MIN_DELTA = 0.0001
 
 
