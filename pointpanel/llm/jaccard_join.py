@@ -6,13 +6,15 @@ A set is the distinct five-word shingles of a text. Two sets link when their Jac
 2. Each set looks for a *head*: the smallest set that shares one of its three least shingles. Those within the threshold of
    their head form the head's block. Blocks are the highly similar sets whose answers derive from the head's.
 3. Index lists: every set posts the prefix of its shingles in one global order (rarest first, by counts over all documents in a
-   bounded number of hash buckets). A list holds one entry for each block, with the range of sizes and whether a posting stands
-   early enough to be found by a larger set; blocks that sizes or positions rule out are skipped without looking at their members.
-4. Pairs of blocks that meet in a list have only their heads compared. Jaccard distance is a metric: with head distance d and radii
+   bounded number of hash buckets). A list holds one entry for each block, with the range of sizes and the first position; blocks that
+   sizes or positions rule out are skipped without looking at their members.
+4. In dense lists all blocks are first compared with the heads of the largest few, which joins most of a large group of near copies by
+   a number of comparisons in proportion to its size. What then meets in a list within one component needs no comparison.
+5. Other pairs of blocks that meet in a list have only their heads compared. Jaccard distance is a metric: with head distance d and radii
    r, s no members can link beyond d > r + s + t, and heads within t link both blocks at once.
-5. Only the ring between needs members, derived in two steps: members against the other head, then member pairs whose distances to
+6. Only the ring between needs members, derived in two steps: members against the other head, then member pairs whose distances to
    the heads differ by no more than t. Blocks that are already in one component are left out.
-6. Components of head-member, head-head and ring links are found by star contraction.
+7. Components of head-member, head-head and ring links are found by star contraction.
 
 Every link lies inside a component that results, because two linked sets share a posted shingle, so their blocks meet in a list.
 
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pointpanel.llm.graph import components
 from pointpanel.llm.words import mix, shingle_sets, slices
@@ -40,6 +43,8 @@ ORDER_BITS = 20
 #: Buckets of the set of documents whose texts a comparison needs, as a power of two (one bit each).
 WANTED_BITS = 22
 ROWS_AT_ONCE = 1000
+#: Lists of so many blocks are dense; their blocks first meet the heads of the largest ones, so many in each of some rounds.
+DENSE, LEADERS, ROUNDS = 16, 3, 2
 SEEDS = np.array([0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95], dtype=np.uint64)
 
 
@@ -88,35 +93,28 @@ def _order_counts(summaries: DataFrame) -> np.ndarray:
     return counts
 
 
-def prefix_lengths(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(probing, indexing) prefix lengths of sets of n shingles: of two linked sets the larger or equal one shares a shingle of its
-    probing prefix with the indexing prefix of the smaller one."""
-    probe = n - -(-percent * n // 100) + 1
-    index = n - -(-2 * percent * n // (100 + percent)) + 1
-    return probe, index
+def prefix_length(n: int, percent: int) -> int:
+    """Shingles a set of n posts: two linked sets share one among them, since a link needs ``percent`` of either set to be shared."""
+    return n - -(-percent * n // 100) + 1 if n else 0
 
 
 def _postings(docs: DataFrame, counts, percent: int) -> DataFrame:
-    """(sid, n, prefix shingles in the global order, how many of them are the indexing prefix) of every document."""
+    """(sid, n, prefix shingles in the global order) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = counts.value
         for batch in slices(batches, ROWS_AT_ONCE):
-            kept, early, sizes = [], [], []
+            kept, sizes = [], []
             for own in shingle_sets(batch.column(1), WIDTH):
-                probe, index = prefix_lengths(np.int64(len(own)), percent)
                 order = np.lexsort((own, load[(own >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]))
-                kept.append(own[order[: probe if len(own) else 0]])
-                early.append(int(index))
+                kept.append(own[order[: prefix_length(len(own), percent)]])
                 sizes.append(len(own))
             lengths = np.fromiter(map(len, kept), np.int64, len(kept))
             flat = _signed(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(sizes, np.int64)), lists, pa.array(np.array(early, np.int64))],
-                names=["sid", "n", "prefix", "early"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sizes, np.int64)), lists], names=["sid", "n", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "sid long, n long, prefix array<long>, early long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "sid long, n long, prefix array<long>")
 
 
 def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -172,7 +170,8 @@ def _distance():
 
 
 def _blocks(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(sid, n, head, gap): every set in one block, ``gap`` its distance to the block's head (0 for a head of its own)."""
+    """(sid, n, head, gap, linked): every set in one block, ``gap`` its distance to the block's head (0 for a head of its own), and the
+    heads it was found to link with."""
     least = sets.select("sid", "n", F.explode(F.array(
         *(F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("m")) for k in range(len(SEEDS))))).alias("s")).select("sid", "n", "s.*")
     heads = least.groupBy("k", "m").agg(F.min(F.struct("n", "sid")).alias("h"), F.count("*").alias("c")).where("c > 1")
@@ -181,23 +180,53 @@ def _blocks(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .select(F.col("sid").alias("a"), F.col("h.sid").alias("b")).distinct()
     )
     compared = _compare(docs, stored(tried, "tried")).where(_near(percent))
-    best = compared.groupBy("a").agg(F.min(F.struct(F.col("nb"), F.col("b"), _distance().alias("gap"))).alias("best"))
-    return sets.select("sid", "n").join(best.select(F.col("a").alias("sid"), "best"), "sid", "left").select(
-        "sid", "n", F.coalesce("best.b", "sid").alias("head"), F.coalesce("best.gap", F.lit(0.0)).alias("gap"))
+    best = compared.groupBy("a").agg(
+        F.min(F.struct(F.col("nb"), F.col("b"), _distance().alias("gap"))).alias("best"), F.collect_set("b").alias("linked"))
+    return sets.select("sid", "n").join(best.withColumnRenamed("a", "sid"), "sid", "left").select(
+        "sid", "n", F.coalesce("best.b", "sid").alias("head"), F.coalesce("best.gap", F.lit(0.0)).alias("gap"), "linked")
 
 
-def _meetings(docs: DataFrame, blocks: DataFrame, counts, percent: int) -> DataFrame:
-    """Pairs (a, b) of blocks that meet in a list and that neither sizes nor positions rule out."""
+def _lists(docs: DataFrame, blocks: DataFrame, counts, percent: int) -> DataFrame:
+    """The index lists that hold several blocks: (token, head, lo, hi, pos, heads), an entry for each block with the range of its sizes
+    and its first position."""
     posted = (
         _postings(docs, counts, percent).join(blocks.select("sid", "head"), "sid")
-        .select("head", "n", "early", F.posexplode("prefix").alias("pos", "token"))
+        .select("head", "n", F.posexplode("prefix").alias("pos", "token"))
     )
-    lists = posted.groupBy("token", "head").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max((F.col("pos") < F.col("early")).cast("int")).alias("early"))
-    l, r = lists.alias("l"), lists.alias("r")
-    met = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.head") < F.col("r.head"))
-                 & (100 * F.col("l.hi") >= percent * F.col("r.lo")) & (100 * F.col("r.hi") >= percent * F.col("l.lo"))
-                 & (F.col("l.early") + F.col("r.early") > 0))
+    entries = posted.groupBy("token", "head").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"))
+    return entries.withColumn("heads", F.count("*").over(Window.partitionBy("token"))).where("heads > 1")
+
+
+def _fitting(percent: int):
+    """Whether blocks l and r of one list may hold members of linked sizes whose first shared shingle stands there: what is left from its
+    position on must be as many as a link needs to share."""
+    needed = F.ceil(percent * (F.col("l.lo") + F.col("r.lo")) / (100 + percent) - 1e-9)
+    return ((100 * F.col("l.hi") >= percent * F.col("r.lo")) & (100 * F.col("r.hi") >= percent * F.col("l.lo"))
+            & (F.col("l.hi") - F.col("l.pos") >= needed) & (F.col("r.hi") - F.col("r.pos") >= needed))
+
+
+def _labelled(lists: DataFrame, found: DataFrame) -> DataFrame:
+    own = found.select(F.col("id").alias("head"), "component")
+    return lists.join(own, "head", "left").withColumn("label", F.coalesce("component", "head")).drop("component")
+
+
+def _leading(docs: DataFrame, lists: DataFrame, found: DataFrame, blocks: DataFrame, percent: int, part: int) -> DataFrame:
+    """Links of blocks in dense lists with the heads of each list's largest blocks, ranks ``part * LEADERS`` and following."""
+    dense = _labelled(lists.where(F.col("heads") >= DENSE), found)
+    weighed = dense.join(blocks.groupBy("head").agg(F.count("*").alias("members")), "head")
+    rank = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("members"), "head"))
+    top = weighed.withColumn("rank", rank).where(F.col("rank") <= (part + 1) * LEADERS).where(F.col("rank") > part * LEADERS)
+    tried = dense.alias("l").join(top.alias("r"), "token").where((F.col("l.label") != F.col("r.label")) & _fitting(percent))
+    pairs = tried.select(F.col("l.head").alias("a"), F.col("r.head").alias("b")).distinct()
+    return _compare(docs, stored(pairs, "leading")).where(_near(percent)).select("a", "b")
+
+
+def _meetings(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of blocks of different components that meet in a list and that neither sizes nor positions rule out."""
+    own = _labelled(lists, found)
+    met = own.alias("l").join(own.alias("r"), "token").where(
+        (F.col("l.head") < F.col("r.head")) & (F.col("l.label") != F.col("r.label")) & _fitting(percent))
     return met.select(F.col("l.head").alias("a"), F.col("r.head").alias("b")).distinct()
 
 
@@ -219,6 +248,14 @@ def _ring_links(docs: DataFrame, ring: DataFrame, blocks: DataFrame, percent: in
     return links.union(last.select("a", "b"))
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links: the earlier ones stand for all links they came from."""
+    links = stored(links, "further")
+    if links.isEmpty():
+        return found
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+
+
 def similar_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id, head_id) of every row of ``docs``; ``set_id`` is the smallest document with the
     identical set, ``head_id`` the head of its block."""
@@ -231,22 +268,26 @@ def similar_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     sets = stored(sets, "sets")
     blocks = stored(_blocks(docs, sets, percent), "blocks")
     counts = spark.sparkContext.broadcast(_order_counts(summaries))
-    met = stored(_meetings(docs, blocks, counts, percent), "met")
+    lists = stored(_lists(docs, blocks, counts, percent), "lists")
+    links = blocks.where("linked is not null").select(F.col("sid").alias("a"), F.explode("linked").alias("b"))
+    found = components(links)
+    for part in range(ROUNDS):
+        found = _joined(found, _leading(docs, lists, found, blocks, percent, part))
+    met = stored(_meetings(lists, found, percent), "met")
     radius = blocks.groupBy("head").agg(F.max("gap").alias("r"))
     compared = stored(
         _compare(docs, met)
         .join(radius.select(F.col("head").alias("a"), F.col("r").alias("ra")), "a")
         .join(radius.select(F.col("head").alias("b"), F.col("r").alias("rb")), "b")
         .where(_near(percent) | (_distance() <= F.col("ra") + F.col("rb") + (1 - percent / 100 + 1e-12))), "compared")
-    links = blocks.select(F.col("sid").alias("a"), F.col("head").alias("b")).union(compared.where(_near(percent)).select("a", "b"))
-    found = components(links)
+    found = _joined(found, compared.where(_near(percent)).select("a", "b"))
     ring = compared.where(~_near(percent)).select("a", "b")
     of = lambda k: found.select(F.col("id").alias(k), F.col("component").alias(f"c_{k}"))
     ring = ring.join(of("a"), "a", "left").join(of("b"), "b", "left").where(
         F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
     ring = stored(ring, "ring")
     if not ring.isEmpty():
-        found = components(links.union(_ring_links(docs, ring, blocks, percent)))
+        found = _joined(found, _ring_links(docs, ring, blocks, percent))
     named = sets.select("fa", "fb", "n", "sid").join(blocks.select("sid", "head"), "sid").join(
         found.select(F.col("id").alias("sid"), "component"), "sid", "left")
     joined = rows.where("doc_id is not null").select("doc_id", "n", "fa", "fb").join(
