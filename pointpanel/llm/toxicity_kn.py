@@ -4,7 +4,8 @@ Two word models, toxic and ordinary, are counted on a bounded sample of labelled
 continuation counts, and below both the shared backoff, the frequency of a word in all documents. Rare expressions therefore fall back
 to the same probability in both models and say nothing. A toxic text is read as ordinary words with a small share of toxic ones, so the
 log-likelihood ratio of a word is that of the mixture; its mean over the words of the text is the length-normalised comparison, and a
-logistic curve fitted on a quarter of the sample, which is not counted, turns it into a score.
+logistic curve fitted on a quarter of the sample, which is not counted, turns it into a score. The curve weighs each class by its count
+among all learnable labels, so a score is at the rate of toxic labels of the whole table, however many of a class were drawn.
 
 Bounds: at most ``SAMPLE_DOCS`` labelled rows of each class are learned from (chosen by a hash of the id), and the model holds their
 words only. Backoff counts and scores cover all documents.
@@ -188,18 +189,23 @@ def measured(docs: DataFrame, model: ToxicModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ratio double, words long")
 
 
-def calibrate(ratio: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """(unit, slope, offset) of the curve 1 / (1 + exp(-(offset + slope * asinh(ratio / unit))))."""
+def calibrate(ratio: np.ndarray, y: np.ndarray, counts: tuple[int, int]) -> tuple[float, float, float]:
+    """(unit, slope, offset) of the curve 1 / (1 + exp(-(offset + slope * asinh(ratio / unit)))).
+
+    ``counts`` are the ordinary and toxic labels of the whole table, which the rows of each class stand for together.
+    """
     if len(y) == 0 or y.min() == y.max():
-        share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 1e-6
+        share = float(np.clip(counts[1] / max(sum(counts), 1), 1e-6, 1 - 1e-6))
         return 1.0, 0.0, float(np.log(share / (1 - share)))
+    here = np.array([(y == 0).sum(), (y == 1).sum()])
+    weight = (np.array(counts) / here * len(y) / sum(counts))[y.astype(int)]
     unit = max(float(np.quantile(np.abs(ratio[y == 0]), 0.9)), 1e-9)
     x = np.column_stack([np.ones(len(y)), np.arcsinh(ratio / unit)])
     beta = np.zeros(2)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2) * 0.01
-        beta += np.linalg.solve(hess, x.T @ (y - p) - 0.01 * beta)
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(2) * 0.01
+        beta += np.linalg.solve(hess, x.T @ (weight * (y - p)) - 0.01 * beta)
     return unit, float(beta[1]), float(beta[0])
 
 
@@ -216,7 +222,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS)
     found = stored(measured(docs, learn(docs, sample)), "toxicity")
     tuned = found.join(F.broadcast(rows.where("tune")), "doc_id").orderBy(draw, "doc_id", "ratio").limit(2 * sample_docs).select(
         "ratio", "y").toArrow().to_pandas()
-    unit, slope, offset = calibrate(tuned["ratio"].to_numpy(float), tuned["y"].to_numpy(float))
+    counts = known.agg(*(F.count_if(F.col("y") == y) for y in (0, 1))).first()
+    unit, slope, offset = calibrate(tuned["ratio"].to_numpy(float), tuned["y"].to_numpy(float), tuple(counts))
     score = 1 / (1 + F.exp(-(F.lit(offset) + F.lit(slope) * F.asinh(F.col("ratio") / F.lit(unit)))))
     return found.withColumn("score", score).select(
         "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "ratio", "words")

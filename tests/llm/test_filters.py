@@ -82,6 +82,16 @@ def test_toxicity_held_out_accuracy_and_awkward_rows(spark):
     assert toxicity_kn.classify(docs(spark, []), labels).count() == 0
 
 
+def test_toxicity_of_a_small_sample_keeps_the_rate_of_the_table(spark):
+    # A third of all texts hold the word, one in five of those is toxic: none is more likely toxic than not.
+    rows = [(k, prose(20, k, 30) + " darn".join(["", " w1", " w2", " w3", " w4"]) * (k % 3 == 0)) for k in range(1200)]
+    labels = labelled(spark, [(k, 1, int(k % 15 == 0)) for k in range(1200)])
+    got = {n: {r["doc_id"]: r for r in toxicity_kn.classify(docs(spark, rows), labels, n).collect()} for n in (6000, 60)}
+    assert all(sum(r["predicted"] for r in rows.values()) < 24 for rows in got.values())
+    assert sum(got[60][k]["predicted"] != got[6000][k]["predicted"] for k in range(1200)) < 24
+    assert abs(np.mean([r["score"] for r in got[60].values()]) - 1 / 15) < 0.04
+
+
 def brute_rules(text):
     import re
 
