@@ -112,7 +112,7 @@ class ToxicModel:
         at, hit = _find(self.words, words)
         p[:, hit] = self.unigram[:, at[hit]]
         at, hit = _find(self.contexts, previous)
-        # Words outside the model keep the shared probability as a common factor, so strong bigrams, which hold model words, add to p alone.
+        # Words outside the model keep the shared probability as a common factor, so strong bigrams, whose second words are all in the model, add to p alone.
         p[:, hit] *= self.weights[:, at[hit]]
         at, hit = _find(self.bigrams, bigram_key(previous, words))
         p[:, hit] += self.strong[:, at[hit]]
@@ -145,10 +145,12 @@ def learn(docs: DataFrame, sample: DataFrame) -> ToxicModel:
     bigrams = stored(_bigrams(sample), "bigrams")
     d1, d2 = UNIGRAM_DISCOUNT, BIGRAM_DISCOUNT
     seen = lambda k: (F.col(k) > 0).cast("long")
-    continued = bigrams.groupBy("w").agg(F.sum(seen("t")).alias("t"), F.sum(seen("o")).alias("o"))
+    strong = f"t > {d2} or o > {d2}"
+    continued = bigrams.groupBy("w").agg(F.sum(seen("t")).alias("t"), F.sum(seen("o")).alias("o"), F.bool_or(F.expr(strong)).alias("second"))
     totals = continued.agg(*(f(k).alias(f"{n}_{k}") for k in "to" for n, f in (
         ("all", F.sum), ("cut", lambda k: F.sum(F.least(F.col(k), F.lit(d1))))))).first().asDict()
-    kept = continued.where(f"t > {d1} or o > {d1}").toArrow().to_pandas()
+    # A word that follows one other word only has no count left here, but is held if that pair is strong: both terms then have one scale.
+    kept = continued.where(f"t > {d1} or o > {d1} or second").select("w", "t", "o").toArrow().to_pandas()
     if not totals["all_t"] or not totals["all_o"]:
         none, pair = np.zeros(0, np.uint64), np.zeros((2, 0))
         return ToxicModel(none, pair, np.ones(2), none, pair, none, pair)
@@ -160,7 +162,7 @@ def learn(docs: DataFrame, sample: DataFrame) -> ToxicModel:
     known, total = _known_counts(docs, words)
     shared = (known + 1) / (total + len(words) + 1)
     unigram = np.maximum(n - d1, 0) / all_ + rare * shared
-    strong = bigrams.where(f"t > {d2} or o > {d2}").select("v", "w", "t", "o")
+    strong = bigrams.where(strong).select("v", "w", "t", "o")
     sums = bigrams.join(strong.select("v").distinct(), "v", "left_semi").groupBy("v").agg(
         *(F.sum(k).alias(f"n_{k}") for k in "to"), *(F.sum(F.least(F.col(k), F.lit(d2))).alias(f"cut_{k}") for k in "to")).toArrow().to_pandas()
     contexts = sums["v"].to_numpy(np.int64).view(np.uint64)

@@ -92,6 +92,18 @@ def test_toxicity_of_a_small_sample_keeps_the_rate_of_the_table(spark):
     assert abs(np.mean([r["score"] for r in got[60].values()]) - 1 / 15) < 0.04
 
 
+def test_toxicity_of_a_fixed_expression(spark):
+    """A word that always follows the same one is as telling as the count of the pair."""
+    import pyarrow as pa
+
+    rows = [(k, prose(60, k, 200).lower() + (" wa0 numskull" if k % 2 else " wa0 neighbour")) for k in range(80)]
+    frame = docs(spark, rows)
+    model = toxicity_kn.learn(frame, frame.select("text", (F.col("doc_id") % 2).cast("int").alias("y")))
+    words, bounds = toxicity_kn.plain_words(pa.array(["wa0 numskull", "wa0 neighbour", "wb1 numskull"]))
+    ratios = model.ratios(words, toxicity_kn._before(words, bounds))
+    assert ratios[1] > 1000 and ratios[3] < 0.001 and 0.1 < ratios[5] < 10
+
+
 def brute_rules(text):
     import re
 
