@@ -1,7 +1,9 @@
 """Secret scans: a random forest that removes false positives from candidate strings.
 
-Built from DataFrame functions only. Candidates are long runs of key characters in words of the whole text. Their features are length,
-character transitions and classes, coverage by a dictionary that is counted over all documents, path signs, and the words beside them.
+Built from DataFrame functions only. Candidates are long runs of key characters in words of the whole text, values of at least six
+printable characters that are assigned to a keyword (to the closing quote, or else to the next blank, quote, or separator that another
+assignment follows), and passwords of any length in addresses. Their features are length, character transitions and classes, coverage by a
+dictionary that is counted over all documents, path signs, and the words beside them.
 The forest is trained from labelled findings, level by level for all trees at once: a level is one histogram over (tree, node,
 feature, bin), one window over bins, and one step of every training row to its child. Trees differ by the findings they see (two of
 three bags, by a hash of the id) and by the features each node may use. The finished forest has a bounded number of nodes, which score
@@ -28,7 +30,14 @@ TREES, DEPTH, TRIED, BAGS = 16, 5, 5, 60
 BINS = 15
 DICTIONARY_DOCS = 5
 CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
-KEYWORD = "(?i)(secret|token|passw|pwd|api_?key|apikey|access_?key|private_?key|auth|credential)"
+KEYWORD = "(?i)(secret|token|passw|pwd|api_?key|apikey|access_?key|private_?key|auth(?!or(?!i[sz]))|credential)"
+#: What names a value: a keyword, the rest of its name, closing marks, and a sign of assignment with at most one blank on either side.
+NAMED = f"{KEYWORD}[A-Za-z0-9_.-]*[\"'`\\])]* ?(?::=|=>|={{1,3}}|:) ?"
+#: Values that end in the last word of a text: quoted, the start of a quoted one that goes on, and unquoted.
+QUOTED = {q: f"{NAMED}{q}([^{q} ]{{6,}}){q}(?=[^ ]*$)" for q in "\"'`"}
+OPENED = {q: f"{NAMED}{q}([^{q} ]+)$" for q in "\"'`"}
+BARE = f"{NAMED}(?!//)([^ \"'`]{{6,}}?)(?=[;&,][A-Za-z_][A-Za-z0-9_.-]*=[^ ]*$|[.,;:)\\]}}>]*$|[\"'`][^ ]*$)"
+LOGIN = "://[^/:@]*:([^/]+)@"
 #: Formats of issued keys, fixed by those who issue them.
 ISSUED = "^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_(live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})$"
 FEATURES = [
@@ -37,15 +46,45 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, found, word, before, before2): each candidate with the place of its word and the two words before it."""
-    def long_words(words: Column) -> Column:
-        beside = F.transform(words, lambda w, i: F.when(F.length(w) >= 16, F.struct(
-            i.alias("at"), w.alias("word"), F.get(words, i - 1).alias("before"), F.get(words, i - 2).alias("before2"))))
-        return F.filter(beside, lambda x: x.isNotNull() & x["word"].rlike(CANDIDATE))
+    """(doc_id, at, found, named, word, before, before2): each candidate with the place of its word and the two words before it.
 
-    hits = docs.select("doc_id", F.explode(let(words_of(F.col("text")), long_words)).alias("h")).select("doc_id", "h.*")
-    return hits.select("doc_id", "at", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1))).alias("found"),
-                       "word", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("before2", F.lit("")).alias("before2"))
+    ``named`` tells the values of keywords and passwords in addresses from other runs.
+    """
+    none = F.array().cast("array<string>")
+
+    def all_of(text: Column, pattern: str, group: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), group)
+
+    def opened(near: Column, rest: Column, quote: str) -> Column:
+        """The quoted value that begins at the end of ``near`` and ends in ``rest``, the words that follow."""
+        value = F.concat_ws(" ", F.regexp_extract(near, OPENED[quote], 2), F.substring_index(rest, quote, 1))
+        return F.when(near.rlike(OPENED[quote]) & F.contains(rest, F.lit(quote)) & (F.length(value) >= 6), F.array(value)).otherwise(none)
+
+    def named(words: Column, w: Column, i: Column) -> Column:
+        near = F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1), w)
+        rest = F.array_join(F.slice(words, i + 2, F.size(words)), " ")
+        goes_on = lambda t: F.when(t.rlike("|".join(OPENED.values())), let(
+            rest, lambda r: F.concat(*(opened(t, r, q) for q in OPENED)))).otherwise(none)
+        values = let(near, lambda t: F.when(t.rlike(KEYWORD), F.concat(
+            *(all_of(t, p, 2) for p in QUOTED.values()), all_of(t, BARE, 2), goes_on(t))).otherwise(none))
+        return F.concat(values, F.when(F.contains(w, F.lit("://")), all_of(w, LOGIN, 1)).otherwise(none))
+
+    def likely(words: Column) -> Column:
+        def of(w: Column, i: Column) -> Column:
+            sign = lambda x: F.contains(x, F.lit("=")) | F.contains(x, F.lit(":"))
+            # A value of a keyword has a sign of assignment in its own word or in the one before.
+            values = F.when(sign(w) | F.coalesce(sign(F.get(words, i - 1)), F.lit(False)), named(words, w, i)).otherwise(none)
+            runs = F.when(F.length(w) >= 16, all_of(w, f"({CANDIDATE})", 1)).otherwise(none)
+            return F.struct(i.alias("at"), w.alias("word"), F.get(words, i - 1).alias("before"), F.get(words, i - 2).alias("before2"),
+                            values.alias("values"), runs.alias("runs"))
+
+        return F.filter(F.transform(words, of), lambda x: (F.size(x["values"]) > 0) | (F.size(x["runs"]) > 0))
+
+    hits = docs.select("doc_id", F.explode(let(words_of(F.col("text")), likely)).alias("h")).select("doc_id", "h.*")
+    both = F.concat(F.transform(F.array_distinct("values"), lambda v: F.struct(v.alias("found"), F.lit(True).alias("named"))),
+                    F.transform(F.array_except("runs", "values"), lambda v: F.struct(v.alias("found"), F.lit(False).alias("named"))))
+    return hits.select("doc_id", "at", F.explode(both).alias("f"), "word", "before", "before2").select(
+        "doc_id", "at", "f.found", "f.named", "word", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("before2", F.lit("")).alias("before2"))
 
 
 def dictionary(docs: DataFrame, min_docs: int = DICTIONARY_DOCS) -> DataFrame:
@@ -74,8 +113,8 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
         kinds = F.regexp_replace(kinds, pattern, kind)
     count = lambda p: size - F.length(F.regexp_replace("found", p, ""))
     keyword = F.when(F.col("word").rlike(KEYWORD), 3).when(F.col("before").rlike(KEYWORD), 2).when(
-        F.col("before2").rlike(KEYWORD), 1).otherwise(0)
-    assigned = F.col("before").rlike("^(=|:|=>|:=)$") | F.col("before").rlike("[=:]$") | F.col("word").rlike("[=:][\"']?[A-Za-z0-9+/_-]{16,}")
+        F.col("before2").rlike(KEYWORD), 1).when(F.col("named"), 3).otherwise(0)
+    assigned = F.col("named") | F.col("before").rlike("^(=|:|=>|:=)$") | F.col("before").rlike("[=:]$") | F.col("word").rlike("[=:][\"']?[A-Za-z0-9+/_-]{16,}")
     slashes = F.length("word") - F.length(F.regexp_replace("word", "/", ""))
     x = F.array(
         F.least(F.floor(size / 4), F.lit(BINS)).cast("int"), _binned((F.length(kinds) - 1) / F.greatest(size - 1, F.lit(1))),
@@ -87,13 +126,16 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def rule_labels(findings: DataFrame) -> DataFrame:
-    """``findings`` with ``y`` where a rule is sure: 1 for issued formats and mixed strings assigned to a keyword; 0 for strings of one
-    kind of character, or in a path or address, without keyword or assignment; null otherwise."""
+    """``findings`` with ``y`` where a rule is sure: 1 for issued formats and mixed strings assigned to a keyword, but for calls and
+    references; 0 for strings of one kind of character, or in a path or address, without keyword or assignment, and for words of the
+    dictionary; null otherwise."""
     near = (F.element_at("x", 8) > 0) & (F.element_at("x", 9) > 0)
     apart = (F.element_at("x", 8) == 0) & (F.element_at("x", 9) == 0)
     plain = F.col("found").rlike("^([a-z]+|[A-Z]+|[A-Z]?[a-z]+|[0-9]+|[_=+/-]+)$")
     mixed = F.col("found").rlike("[0-9]") & F.col("found").rlike("[A-Za-z]")
-    y = F.when(F.col("found").rlike(ISSUED) | near & mixed, 1).when(apart & (plain | (F.element_at("x", 7) > 5)), 0)
+    refers = F.col("found").rlike("[(\\[{<]|^[$%]")
+    known = F.col("named") & F.col("found").rlike("^[A-Za-z-]+[.,;:!?]*$") & (F.element_at("x", 5) >= BINS * 4 // 5)
+    y = F.when(F.col("found").rlike(ISSUED) | near & mixed & ~refers, 1).when(apart & (plain | (F.element_at("x", 7) > 5)) | known, 0)
     return findings.withColumn("y", y)
 
 
@@ -158,7 +200,7 @@ def forest_score(x: Column, nodes: list[dict], depth: int = DEPTH) -> Column:
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """(doc_id, at, found, word, before, before2, x, y, score, is_secret) of every candidate.
+    """(doc_id, at, found, named, word, before, before2, x, y, score, is_secret) of every candidate.
 
     ``labelled`` (doc_id, found, x, y) are findings that were judged; without it the sure rules label the findings themselves.
     """

@@ -169,6 +169,29 @@ def test_secret_scan_finds_keys_and_leaves_words(spark):
     assert secret_scan.scan(docs(spark, [])).count() == 0
 
 
+def test_secret_candidates_of_any_marks_and_length(spark):
+    texts = {
+        'password = "Tr0ub4dor&3" end': (2, "Tr0ub4dor&3"), "pwd=hunter2x": (0, "hunter2x"), "Server=db;Pwd=Zx9!qwer;User=me": (0, "Zx9!qwer"),
+        "see postgres://user:p@ss@host/db now": (1, "p@ss"), '{"api_key": "a.b!c@d$e%", "x": 1}': (1, "a.b!c@d$e%"),
+        "x password='correct horse battery staple' ok": (1, "correct horse battery staple"), "token : abc.def.123, and": (2, "abc.def.123"),
+        'auth="' + "q1!" * 20_000 + '"': (0, "q1!" * 20_000), "Author: Johnson99x": None, "a password never: set": None, "pwd = ab": None}
+    got = secret_scan.candidates(docs(spark, list(enumerate(texts)))).collect()
+    assert {(r["doc_id"], r["at"], r["found"]) for r in got} == {(k, *x) for k, x in enumerate(texts.values()) if x}
+    assert all(r["named"] for r in got)
+
+
+def test_secret_scan_tells_short_secrets_from_words(spark):
+    rows = []
+    for k in range(120):
+        key = hashlib.sha1(str(k).encode()).hexdigest()
+        line = [f'password = "{key[:5]}&{key[5:9]}Z9"', "the token: patience, they say", f"at postgres://user:{key[:4]}x7@host/db",
+                "unbelievablylongordinaryword 4994226020900891 here"][k % 4]
+        rows.append((k, prose(40, k) + "\n" + line + " patience"))
+    got = {(r["doc_id"], r["found"]): r["is_secret"] for r in secret_scan.scan(docs(spark, rows)).collect()}
+    assert {k for (k, _), secret in got.items() if secret} == {k for k in range(120) if k % 4 in (0, 2)}
+    assert not got[1, "patience"] and len(got) == 150
+
+
 def test_forest_learns_a_split_without_the_rule(spark):
     rows = [(k, f"f{k}", [k % 16] + [0] * 9, int(k % 16 > 7)) for k in range(400)]
     nodes = secret_scan.train(spark.createDataFrame(rows, "doc_id long, found string, x array<int>, y int"), trees=12, tried=10)
