@@ -7,7 +7,9 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointpanel.llm import jaccard_join, line_dedup, line_rules, mixing, packing, projection_search, quality_gam, secret_scan, toxicity_kn, warc_derive
+from pointpanel.llm import (
+    jaccard_join, line_dedup, line_rules, minhash_tensor, mixing, packing, projection_search, quality_gam, secret_scan, toxicity_kn, warc_derive,
+)
 
 
 #: A document of a small source is seen at most so many times as often as one of the largest source.
@@ -71,6 +73,10 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), repetition=MIX_REPETITION).select("doc_id", "source", "epoch", "place", "weight")
 
 
+def op11_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_tensor.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_secret_scan": op2_secret_scan,
@@ -82,6 +88,7 @@ QUERIES = {
     "op8_jaccard_components": op8_jaccard_components,
     "op9_toxicity_kn": op9_toxicity_kn,
     "op10_temperature_mix": op10_temperature_mix,
+    "op11_minhash_tensor": op11_minhash_tensor,
 }
 ORACLES: dict[str, str] = {}
 

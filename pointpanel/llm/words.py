@@ -26,11 +26,27 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``, which bounds what a task holds at once."""
+#: Bytes of text that a task looks at together; a longer text is looked at alone.
+BYTES_AT_ONCE = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int, most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and, beyond the first row, ``most`` bytes of strings and lists."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        if not batch.num_rows:
+            continue
+        sizes = np.full(batch.num_rows, 16, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            elif pa.types.is_list(column.type):
+                sizes += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(sizes), 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + most, side="right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def coded_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
