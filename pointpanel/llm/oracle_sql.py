@@ -101,4 +101,44 @@ select page_id, kind as warc_type, {_urn("ih")} as warc_record_id, rid as warc_r
   strlen(block)::varchar as content_length, block from h
 """
 
-ORACLES = {"op3_warc_derivatives": OP3, "op4_line_first": OP4, "op6_line_dedup": OP6}
+OP12 = """
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+  row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+  from conversations where conv_id is not null),
+-- crc32 of the decimal digits, byte by byte and bit by bit
+crc as (select conv_id, list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda d: ascii(d)::bigint)),
+  lambda c, d: list_reduce([xor(c, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v // 2, (v % 2) * 3988292384))) as c
+  from (select distinct conv_id from t)),
+h as (select conv_id, conv_id - conv_id % 5 as origin, xor(c, 4294967295) % 9 as h from crc),
+held as (select conv_id, origin, h, least(h, coalesce((select count(*) from t where t.conv_id = h.origin), 0)) as k from h),
+rebuilt as (select held.conv_id, k + pos - h as depth, role, text from held join t on t.conv_id = held.conv_id where pos > h
+  union all select held.conv_id, pos, role, text from held join t on t.conv_id = origin where pos <= k),
+marked as (select conv_id, depth, strlen(text) as size, md5(concat(length(role), ':', role, text)) as m from rebuilt),
+prefixes as (select conv_id, depth, size, string_agg(m, '') over (partition by conv_id order by depth) as p from marked
+  union all select conv_id, 0, 0, '' from h),
+nodes as (select p, depth, min(size) as size, min(conv_id) as conv_id, count(*) as n from prefixes group by p, depth),
+lengths as (select conv_id, max(depth) as len from prefixes group by conv_id),
+ends as (select p, depth, string_agg(x.conv_id::varchar, ',' order by x.conv_id) as ids from prefixes x join lengths l on x.conv_id = l.conv_id and depth = len
+  group by p, depth),
+kids as (select left(p, length(p) - 32) as p, count(*) as c from nodes where depth > 0 group by 1),
+below as (select v.p, sum((u.n - 1) * u.size) as saved, sum(case when kids.c is null then 1 else 0 end) as leaves
+  from nodes v join nodes u on starts_with(u.p, v.p) left join kids on kids.p = u.p group by v.p)
+select v.conv_id, v.depth::bigint as depth, up.conv_id as parent_conv_id, v.n as n_convs, coalesce(kids.c, 0) as n_children,
+  below.leaves::bigint as n_leaves, below.saved::bigint as saved_tokens, sha256(coalesce(ends.ids, '')) as ends_sha256
+from nodes v left join nodes up on v.depth > 0 and up.p = left(v.p, length(v.p) - 32) left join kids on kids.p = v.p
+join below on below.p = v.p left join ends on ends.p = v.p
+"""
+
+OP13 = """
+with e as (select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, embedding::double[] as v from embeddings),
+p as (select id, label, list_transform(v, lambda x: floor(256 * x)) as v from e
+  where id is not null and label is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.id as anchor_id, a.label as own, b.id, b.label, list_dot_product(a.v, b.v)::bigint as score from p a join p b on a.id <> b.id where a.id % 100 = 0),
+near as (select * from (select *, row_number() over (partition by anchor_id order by score desc, id) as k from s where label = own) where k <= 5),
+hard as (select near.anchor_id, near.id as positive_id, s.id as negative_id, near.score as positive_score, s.score as negative_score,
+  row_number() over (partition by near.anchor_id, near.id order by s.score desc, s.id) as rank
+  from near join s on s.anchor_id = near.anchor_id and s.label <> s.own and 80 * near.score <= 100 * s.score and s.score <= near.score)
+select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score from hard where rank <= 5
+"""
+
+ORACLES = {"op3_warc_derivatives": OP3, "op4_line_first": OP4, "op6_line_dedup": OP6, "op12_prefix_trie": OP12, "op13_tree_negatives": OP13}

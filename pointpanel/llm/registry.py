@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointpanel.llm import (
-    jaccard_join, line_dedup, line_rules, minhash_tensor, mixing, packing, projection_search, quality_gam, secret_scan, toxicity_kn, warc_derive,
+    jaccard_join, line_dedup, line_rules, minhash_tensor, mixing, packing, prefix_trie, projection_search, quality_gam, secret_scan, toxicity_kn,
+    tree_negatives, warc_derive,
 )
 
 
@@ -77,6 +78,16 @@ def op11_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_tensor.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, origin = F.expr("crc32(cast(cast(conv_id as string) as binary)) % 9"), F.expr("conv_id - conv_id % 5")
+    return prefix_trie.prefix_trie(prefix_trie.forked(table(spark, sf_dir, "conversations"), kept, origin))
+
+
+def op13_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return tree_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_secret_scan": op2_secret_scan,
@@ -89,6 +100,8 @@ QUERIES = {
     "op9_toxicity_kn": op9_toxicity_kn,
     "op10_temperature_mix": op10_temperature_mix,
     "op11_minhash_tensor": op11_minhash_tensor,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_tree_negatives": op13_tree_negatives,
 }
 ORACLES: dict[str, str] = {}
 
