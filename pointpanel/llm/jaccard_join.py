@@ -29,10 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pointpanel.llm.among import among
 from pointpanel.llm.graph import components
 from pointpanel.llm.words import mix, shingle_sets, slices
 from pointpanel.session import stored
@@ -40,8 +42,8 @@ from pointpanel.session import stored
 WIDTH = 5
 #: Buckets of the shingle counts, as a power of two. The counts of all documents reach the tasks as one array of that size.
 ORDER_BITS = 20
-#: Buckets of the set of documents whose texts a comparison needs, as a power of two (one bit each).
-WANTED_BITS = 22
+#: Rows that hold the counts of a task.
+COUNT_PARTS = 16
 ROWS_AT_ONCE = 1000
 #: Lists of so many blocks are dense; their blocks first meet the heads of the largest ones, so many in each of some rounds.
 DENSE, LEADERS, ROUNDS = 16, 3, 2
@@ -53,12 +55,12 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _summaries(docs: DataFrame) -> DataFrame:
-    """A row for each document (size, 128-bit fingerprint of its set, three least shingles) and, with ``bucket`` set, for each task the
-    number of its shingles in each bucket of the global order."""
+    """A row for each document (size, 128-bit fingerprint of its set, three least shingles) and, with ``part`` set, for each task a few rows
+    with the number of its shingles in each bucket of the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << ORDER_BITS, np.int64)
-        names = ["doc_id", "n", "fa", "fb", "m0", "m1", "m2", "bucket", "freq"]
+        names = ["doc_id", "n", "fa", "fb", "m0", "m1", "m2", "part", "counts"]
         for batch in slices(batches, ROWS_AT_ONCE):
             sets = shingle_sets(batch.column(1), WIDTH)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -74,23 +76,36 @@ def _summaries(docs: DataFrame) -> DataFrame:
                     out[2, full] = _signed(np.bitwise_xor.reduceat(mix(everything + SEEDS[0]), starts))
                     for k, seed in enumerate(SEEDS):
                         out[3 + k, full] = _signed(np.minimum.reduceat(mix(everything ^ seed), starts))
-            none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in out), none, none], names=names)
-        at = np.flatnonzero(counts)
-        for part in np.array_split(at, max(1, len(at) // 100_000)):
-            none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * 7 + [pa.array(part), pa.array(counts[part])], names=names)
-
-    schema = "doc_id long, n long, fa long, fb long, m0 long, m1 long, m2 long, bucket long, freq long"
+            none = [pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in out), *none], names=names)
+        for part, own in enumerate(np.split(counts, COUNT_PARTS)):
+            if own.any():
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([none] * 7 + [pa.array([part], pa.int64()), pa.array([own], pa.list_(pa.int64()))], names=names)
+
+    schema = "doc_id long, n long, fa long, fb long, m0 long, m1 long, m2 long, part long, counts array<long>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def _order_counts(summaries: DataFrame) -> np.ndarray:
-    """Shingles of all documents in each bucket: at most 2 ** ORDER_BITS numbers, whatever the size of the corpus."""
-    found = summaries.where("bucket is not null").groupBy("bucket").agg(F.sum("freq").alias("freq")).toArrow()
-    counts = np.zeros(1 << ORDER_BITS, np.int64)
-    counts[found["bucket"].to_numpy()] = found["freq"].to_numpy()
-    return counts
+    """Shingles of all documents in each bucket: 2 ** ORDER_BITS numbers, whatever the size of the corpus. Tasks' rows are added up as
+    they stream by."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = own.values.to_numpy()
+                sums[part] = sums[part] + own if part in sums else own
+        for part, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([own], pa.list_(pa.int64()))], names=["part", "counts"])
+
+    rows = summaries.where("part is not null").select("part", "counts")
+    found = rows.repartition(COUNT_PARTS, "part").mapInArrow(add, "part long, counts array<long>").toArrow()
+    counts = np.zeros((COUNT_PARTS, (1 << ORDER_BITS) // COUNT_PARTS), np.int64)
+    for part, own in zip(found["part"].to_pylist(), found["counts"]):
+        counts[part] += own.values.to_numpy()
+    return counts.reshape(-1)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -117,41 +132,25 @@ def _postings(docs: DataFrame, counts, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "sid long, n long, prefix array<long>")
 
 
-def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id may be among ``ids``: a bit set of fixed size drops most others before their texts are shuffled."""
-    bits = (F.xxhash64(F.col("id")).bitwiseAND(F.lit((1 << WANTED_BITS) - 1))).alias("bit")
-    words = ids.select(bits).groupBy((F.col("bit") / 32).cast("long").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("mask")).toArrow()
-    table = np.zeros(1 << (WANTED_BITS - 5), np.int64)
-    table[words["word"].to_numpy()] = words["mask"].to_numpy()
-    held = ids.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = held.value
-        for batch in batches:
-            bit = batch.column(2).to_numpy(zero_copy_only=False)
-            mask = (masks[bit >> 5] >> (bit & 31)) & 1
-            yield batch.filter(pa.array(mask.astype(bool))).select([0, 1])
-
-    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-    return keyed.select("id", "text", bits).mapInArrow(run, "id long, text string")
-
-
 def _compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, na, nb, both) for pairs (a, b) of document ids: sizes of the sets and of their intersection, from whole texts."""
-    texts = _wanted(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    """(a, b, na, nb, both) for pairs (a, b) of document ids: sizes of the sets and of their intersection, from whole texts.
+
+    Only texts that a pair asks for are shuffled. A task has one Python worker, which looks at a few megabytes of text at once and cuts the
+    set of a text that follows itself only once.
+    """
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    texts = among(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids)
     side = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
             left = shingle_sets(batch.column(2), WIDTH)
-            b = batch.column(1).to_numpy(zero_copy_only=False)
-            firsts, which = np.unique(b, return_index=True, return_inverse=True)[1:] if len(b) else (b, b)
-            # Rows that repeat an id may differ in text, so equal neighbours count only with equal texts.
-            right_texts = batch.column(3)
-            alike = len(b) == 0 or right_texts.take(pa.array(firsts[which])).equals(right_texts)
-            right = shingle_sets(right_texts.take(pa.array(firsts)) if alike else right_texts, WIDTH)
-            rows = [right[k] for k in which] if alike else right
+            right = batch.column(3)
+            # Rows that repeat an id may differ in text, so neighbours are one set only with equal texts.
+            again = pc.equal(right.slice(1), right.slice(0, len(right) - 1)).fill_null(False).to_numpy(zero_copy_only=False)
+            which = np.concatenate([[0], np.cumsum(~again)])
+            sets = shingle_sets(right.take(pa.array(np.flatnonzero(np.concatenate([[True], ~again])))), WIDTH)
+            rows = [sets[k] for k in which]
             both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(np.array(v, np.int64)) for v in (
@@ -195,7 +194,9 @@ def _lists(docs: DataFrame, blocks: DataFrame, counts, percent: int) -> DataFram
     )
     entries = posted.groupBy("token", "head").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"))
-    return entries.withColumn("heads", F.count("*").over(Window.partitionBy("token"))).where("heads > 1")
+    entries = stored(entries, "entries")
+    shared = entries.groupBy("token").agg(F.count("*").alias("heads")).where("heads > 1")
+    return entries.join(shared, "token")
 
 
 def _fitting(percent: int):
@@ -261,7 +262,7 @@ def similar_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     identical set, ``head_id`` the head of its block."""
     spark = docs.sparkSession
     summaries = stored(_summaries(docs), "summaries")
-    rows = summaries.where("bucket is null")
+    rows = summaries.where("part is null")
     full = rows.where("n > 0 and doc_id is not null")
     sets = full.groupBy("fa", "fb", "n").agg(
         F.min("doc_id").alias("sid"), *(F.min(f"m{k}").alias(f"m{k}") for k in range(len(SEEDS))))
@@ -300,7 +301,30 @@ def similar_components(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; documents without an id stay."""
-    found = similar_components(docs, percent)
-    gone = found.where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` with one row of each group of near duplicates, that of the smallest doc_id.
+
+    Decided by row: rows that repeat an id with other texts are documents of their own (the smaller hash of the text comes first), rows
+    that repeat an id and its text are one. Rows without an id stay.
+    """
+    keyed = docs.withColumns({"_text": F.xxhash64("text"), "_row": F.col("doc_id").cast("long")})
+    marks = stored(keyed.where("_row is not null").select("_row", "_text"), "marks")
+    repeated = stored(marks.groupBy("_row").agg(F.min("_text").alias("_lo"), F.max("_text").alias("_hi"), F.count("*").alias("_n")).where("_n > 1"), "repeated")
+    copied = not repeated.isEmpty()
+    if copied:
+        several = repeated.where("_lo < _hi").select("_row", F.lit(True).alias("_several"))
+        own = F.when(F.col("_several"), F.xxhash64("_row", "_text")).otherwise(F.col("_row"))
+        keyed = keyed.join(several, "_row", "left").withColumn("_row", own).drop("_several")
+    found = similar_components(keyed.select(F.col("_row").alias("doc_id"), "text"), percent)
+    found = found.where("doc_id is not null").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).distinct()
+    if copied:
+        ids = keyed.where("_row is not null").select("_row", F.col("doc_id").cast("long").alias("_id")).distinct()
+        first = stored(found.join(ids, "_row"), "found")
+        kept = first.groupBy("_group").agg(F.min(F.struct("_id", "_row")).alias("_k")).select("_group", F.col("_k._row").alias("_kept"))
+        gone = first.join(kept, "_group").where("_row != _kept").select("_row")
+    else:
+        gone = found.where("_group != _row").select("_row")
+    left = keyed.join(gone, "_row", "left_anti")
+    if copied:
+        twice = keyed.groupBy("_row").count().where("_row is not null and count > 1").select("_row")
+        left = left.join(twice, "_row", "left_anti").unionByName(left.join(twice, "_row", "left_semi").dropDuplicates(["_row"]))
+    return left.select(docs.columns)

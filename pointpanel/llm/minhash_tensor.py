@@ -7,13 +7,16 @@ A set is the distinct two-word shingles of a text; two sets link when their Jacc
    banding would compute SIDE times as many. Two sets of similarity s share a table with probability (1 - (1 - s^ROWS)^SIDE)^2, which is
    0.9985 at 0.8, 0.9998 at 0.85 and 0.999999 at 0.95.
 2. Identical sets are one set; only tables' entries that several sets share are kept.
-3. The sets of an entry are compared with its leader, by exact intersections of whole shingle sets. Entries whose sets are then in one
-   component are settled. The others get further leaders, four times as many in each round, until every pair of an entry has been
-   compared or is in one component: no cap, and an entry of near copies costs as many comparisons as it has sets.
-4. Components of the confirmed links give the smallest document id that links reach.
+3. Each set is compared with the leaders (the smallest fingerprint) of its entries, those first that it shares most tables with, by exact
+   intersections of whole shingle sets. That joins large groups of near copies by a few comparisons a set. An entry whose sets are then in
+   one component is settled.
+4. The sets of the other entries (stragglers of groups, and unlike sets that share a passage) are paired by an exact rule, so no entry is cut
+   however full it is: linked sets share a shingle among the rarest of each, at positions that leave room for what they must share. Pairs of
+   one component are skipped, and a list's largest component never meets itself.
+5. Components of the confirmed links give the smallest document id that links reach.
 
 A third of all rows may be copies of one text (the first aggregation, pre-aggregated in the tasks, makes them one set) or near copies (their
-entries are read by joins that the planner splits). Leaders are found by aggregates and pruned windows, never by collecting an entry.
+entries are read by joins that the planner splits). Leaders are found by aggregates, never by collecting an entry.
 Texts are read twice: for the sketches, and once more for the sets that share an entry.
 
 Defined results: null or wordless texts have an empty set and link with nothing; a text of one word has one shingle; each row is a document
@@ -30,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointpanel.llm.among import among
 from pointpanel.llm.graph import components
 from pointpanel.llm.words import mix, shingle_sets, slices
 from pointpanel.session import stored
@@ -38,10 +42,8 @@ WIDTH = 2
 #: Minhashes of half a key, and half keys in each of the two collections.
 ROWS, SIDE = 3, 10
 ROWS_AT_ONCE = 1000
-#: Ids that are sent to every task; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-#: Leaders are four times as many in each further round.
-GROWTH = 4
+#: Leaders that a set is compared with before the exact rule.
+LEADERS = 3
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -92,10 +94,8 @@ def _sketches(docs: DataFrame, rows: int, side: int) -> DataFrame:
 
 
 def _grams(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, grams): fingerprint and whole shingle set of the documents named by ``ids`` (sid)."""
-    ids = stored(ids, "ids")
-    named = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("sid"), "text").join(named, "sid", "left_semi")
+    """(id, grams): fingerprint and whole shingle set of at least the documents named by ``ids`` (sid)."""
+    texts = among(docs.select(F.col("doc_id").cast("long").alias("sid"), "text"), "sid", stored(ids, "ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS_AT_ONCE):
@@ -121,14 +121,26 @@ def _sized(percent: int, n, m):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components after further links: the earlier ones stand for all links they came from."""
-    links = stored(links, "links")
-    if found is None:
-        return components(links)
-    if links.isEmpty():
-        return found
-    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+def _exact_pairs(grams: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets (id, label) of different labels that may link: every pair that does is among them."""
+    tokens = open_.join(grams, "id").select("id", "label", F.size("grams").alias("n"), F.explode("grams").alias("token"))
+    tokens = stored(tokens, "tokens")
+    seen = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    rarest = Window.partitionBy("id").orderBy("c", "token")
+    posted = (
+        tokens.join(seen, "token").withColumn("pos", F.row_number().over(rarest) - 1)
+        .where(F.col("pos") <= F.expr(f"n - (({percent} * n + 99) div 100)")).where("lo < hi").select("token", "id", "label", "n", "pos")
+    )
+    posted = stored(posted, "posted")
+    sizes = posted.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(
+        F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("m.label").alias("major"))
+    listed = posted.join(sizes, "token")
+    x, y = listed.where("label != major").alias("x"), listed.alias("y")
+    needed = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
+    met = x.join(y, "token").where(
+        (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
+        & _sized(percent, F.col("x.n"), F.col("y.n")) & (F.col("x.n") - F.col("x.pos") >= needed) & (F.col("y.n") - F.col("y.pos") >= needed))
+    return met.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
 
 def _linked(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -137,28 +149,20 @@ def _linked(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.xxhash64("x", "y").alias("key"), "id", "n")
     heads = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
     live = stored(entries.join(heads, "key").where(F.col("id") != F.col("head.id")), "live")
-    tried = live.where(_sized(percent, F.col("n"), F.col("head.n"))).select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct()
+    shares = live.where(_sized(percent, F.col("n"), F.col("head.n"))).groupBy("id", F.col("head.id").alias("b")).agg(F.count("*").alias("c"))
+    most = Window.partitionBy("id").orderBy(F.desc("c"), "b")
+    tried = shares.withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= LEADERS).select(F.col("id").alias("a"), "b")
     sharing = live.select("id").union(live.select("head.id")).distinct()
     grams = _grams(docs, sets.join(sharing, "id", "left_semi").select("sid"))
-    found = _joined(None, _confirmed(stored(tried, "tried"), grams, percent))
-    rest, leaders = live.select("key", "id", "n"), GROWTH
-    while True:
-        labelled = rest.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
-        several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        rest = stored(labelled.join(several, "key", "left_semi"), "rest")
-        if rest.isEmpty():
-            return found
-        first = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("rank") <= leaders)
-        first = stored(first, "leaders")
-        tried = (
-            rest.join(first.select("key", *(F.col(c).alias(f"head_{c}") for c in ("id", "n", "label"))), "key")
-            .where((F.col("id") > F.col("head_id")) & (F.col("label") != F.col("head_label")) & _sized(percent, F.col("n"), F.col("head_n")))
-            .select(F.col("id").alias("a"), F.col("head_id").alias("b")).distinct()
-        )
-        found = _joined(found, _confirmed(stored(tried, "tried"), grams, percent))
-        last = first.groupBy("key").agg(F.max("id").alias("last"))
-        rest = rest.join(last, "key").where(F.col("id") > F.col("last")).select("key", "id", "n")
-        leaders *= GROWTH
+    found = components(stored(_confirmed(stored(tried, "tried"), grams, percent), "links"))
+    label = lambda k: found.select(F.col("id").alias(k), F.col("component").alias(f"{k}_label"))
+    lead = live.groupBy("key").agg(F.min("head.id").alias("head"))
+    members = live.select("key", "id").union(lead.select("key", "head"))
+    labelled = members.join(label("id"), "id", "left").select("key", "id", F.coalesce("id_label", "id").alias("label"))
+    several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    open_ = stored(labelled.join(several, "key", "left_semi").select("id", "label").distinct(), "open")
+    further = stored(_confirmed(stored(_exact_pairs(grams, open_, percent), "pairs"), grams, percent), "links")
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(further))
 
 
 def near_copies(docs: DataFrame, percent: int = 80, rows: int = ROWS, side: int = SIDE) -> DataFrame:

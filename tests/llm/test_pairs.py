@@ -70,7 +70,15 @@ def test_awkward_rows(spark):
     assert {c for _, c in by[1] + by[2]} == {1} and {c for _, c in by[None]} == {None}
     assert jaccard_join.similar_components(docs(spark, [])).count() == 0
     kept = jaccard_join.keep_first(awkward(spark))
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted([1, 1, 3, 4, 5, 0, 0, 6, 7, 8, 9, 10])
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted([1, 3, 4, 5, 0, 0, 6, 7, 8, 9, 10])
+
+
+def test_kept_rows_of_repeated_ids(spark):
+    """Decided by row: an unlike text stays though its id has a near copy too, and one row of each group stays."""
+    one, other = prose(80, 1), prose(80, 2)
+    rows = [(1, one), (1, one), (5, one), (5, other), (8, prose(80, 3)), (8, prose(80, 3)), (9, prose(80, 3) + " x"), (4, ""), (4, "")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_first(docs(spark, rows, clash=True)).collect()]
+    assert sorted(kept) == sorted([(1, one), (5, other), (8, prose(80, 3)), (4, "")])
 
 
 def test_graph_components_of_a_path(spark):
