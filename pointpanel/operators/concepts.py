@@ -17,11 +17,16 @@ from pointpanel.functions.vocabulary import (
 # --- criteria ---------------------------------------------------------------------------------------------------------
 
 _NODE = "kind:string,op:string,field:string,operator:string,value:double"
+#: Trees of up to so many levels are read with one schema; deeper ones are walked token by token, each at its own cost.
+LEVELS = 8
+#: A string, a mark or a bare value of a JSON text.
+_STRING = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
+_TOKEN = _STRING + r'|[\[\]{}:,]|[^\s\[\]{}:,"]+'
 
 
 def nesting(text: Column) -> Column:
     """How deeply arrays are nested in a JSON text; brackets inside strings do not count."""
-    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*"', ""), r"[^\[\]]", "")
+    bare = F.regexp_replace(F.regexp_replace(text, _STRING, ""), r"[^\[\]]", "")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -31,12 +36,7 @@ def nesting(text: Column) -> Column:
     return F.aggregate(F.split(bare, ""), start, step, lambda acc: acc["most"])
 
 
-def levels_of(criteria: DataFrame) -> int:
-    """Levels of the deepest tree in ``criteria_json``: the schema is built for the data, so no node is left out."""
-    return (criteria.agg(F.max(nesting(F.col("criteria_json"))).alias("n")).first()["n"] or 0) + 1
-
-
-def criteria_schema(levels: int) -> str:
+def criteria_schema(levels: int = LEVELS) -> str:
     node = f"struct<{_NODE}>"
     for _ in range(levels - 1):
         node = f"struct<{_NODE},children:array<{node}>>"
@@ -44,6 +44,67 @@ def criteria_schema(levels: int) -> str:
     return f"struct<universe:{universe},root:{node},sort:struct<field:string,direction:string>,limit:int>"
 
 
+def facts(text: Column) -> Column:
+    """(path, name, value) of every scalar member of every object in a JSON text, and (path, '{', null) for the object itself.
+
+    One fold over the tokens with the open objects and arrays as a stack, so the depth of one text costs no other text anything.
+    """
+    frame = "struct<path:string,at:int>"
+    start = F.struct(
+        F.array().cast(f"array<{frame}>").alias("stack"), F.lit("").alias("name"), F.lit("").alias("before"),
+        F.array().cast("array<struct<path:string,name:string,value:string>>").alias("out"))
+
+    def step(acc: Column, token: Column) -> Column:
+        stack, top, name = acc["stack"], F.try_element_at(acc["stack"], F.lit(-1)), acc["name"]
+        path = F.when(top.isNull(), "").when(top["at"] >= 0, F.concat(top["path"], F.lit("["), top["at"].cast("string"), F.lit("]"))).when(
+            top["path"] == "", name).otherwise(F.concat(top["path"], F.lit("."), name))
+        opened = F.struct(path.alias("path"), F.when(token == "[", 0).otherwise(-1).alias("at")).cast(frame)
+        shorter = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+        counted = F.struct(top["path"].alias("path"), (top["at"] + 1).alias("at")).cast(frame)
+        row = lambda p, n, v: F.struct(p.alias("path"), n.alias("name"), v.alias("value"))
+        value = ~token.isin("{", "}", "[", "]", ":", ",") & (acc["before"] == ":")
+        return F.struct(
+            F.when(token.isin("{", "["), F.array_append(stack, opened)).when(token.isin("}", "]"), shorter).when(
+                (token == ",") & (top["at"] >= 0), F.array_append(shorter, counted)).otherwise(stack).alias("stack"),
+            F.when(token == ":", F.regexp_replace(acc["before"], '^"|"$', "")).otherwise(name).alias("name"),
+            token.alias("before"),
+            F.when(token == "{", F.array_append(acc["out"], row(path, F.lit("{"), F.lit(None).cast("string")))).when(
+                value, F.array_append(acc["out"], row(top["path"], name, token))).otherwise(acc["out"]).alias("out"),
+        )
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), start, step, lambda acc: acc["out"])
+
+
+def _fact(found: Column, path, name: str) -> Column:
+    """The last value of a member; a JSON null is null."""
+    own = F.filter(found, lambda x: (x["path"] == path) & (x["name"] == name))
+    return F.get_json_object(F.concat(F.lit('{"v":'), F.try_element_at(own, F.lit(-1))["value"], F.lit("}")), "$.v")
+
+
+def _walked(found: Column) -> Column:
+    """The nodes of a tree of any depth, as ``_nodes`` gives them."""
+    objects = F.transform(F.filter(found, lambda x: (x["name"] == "{") & x["path"].rlike(r"^root(\.children\[\d+\])*$")), lambda x: x["path"])
+    return F.transform(objects, lambda p: F.struct(
+        p.alias("path"), _fact(found, p, "kind").alias("kind"), _fact(found, p, "op").alias("op"),
+        F.when(F.array_contains(objects, F.concat(p, F.lit(".children[0]"))), 1).otherwise(0).alias("n_children"),
+        _fact(found, p, "field").alias("field"), _fact(found, p, "operator").alias("operator"),
+        _fact(found, p, "value").try_cast("double").alias("value"),
+        F.size(F.split(p, r"\.children\[")).alias("depth")))
+
+
+def read_criteria(criteria: DataFrame) -> DataFrame:
+    """(strategy_id, nodes, exchange, sector, index, sort_field, direction, limit): the parts of each ``criteria_json``."""
+    read = criteria.select("strategy_id", "criteria_json", F.from_json("criteria_json", criteria_schema()).alias("c"), (
+        nesting(F.col("criteria_json")) >= LEVELS).alias("deep"))
+    read = read.withColumn("facts", F.when(F.col("deep"), facts(F.col("criteria_json"))))
+    own = lambda path, name, flat: F.when(F.col("deep"), _fact(F.col("facts"), F.lit(path), name)).otherwise(F.col(flat))
+    return read.select(
+        "strategy_id", F.when(F.col("deep"), _walked(F.col("facts"))).otherwise(_nodes(F.col("c.root"), LEVELS)).alias("nodes"),
+        *(own("universe", k, f"c.universe.{k}").alias(k) for k in ("exchange", "sector", "index")),
+        own("sort", "field", "c.sort.field").alias("sort_field"), own("sort", "direction", "c.sort.direction").alias("direction"),
+        F.when(F.col("deep"), _fact(F.col("facts"), F.lit(""), "limit").try_cast("int")).otherwise(F.col("c.limit")).alias("limit"))
+
+
 def _nodes(root: Column, levels: int) -> Column:
     """Every node of the tree with its path and depth, level by level."""
     level = F.array(F.struct(F.lit("root").alias("path"), root.alias("node")))
@@ -90,16 +151,17 @@ def _comparison_errors(path: Column, field: Column, op: Column, value: Column, r
 
 def validate_criteria(criteria: DataFrame) -> DataFrame:
     """(strategy_id, path, code) for every rule a criteria_json breaks; valid criteria yield no row."""
-    levels = levels_of(criteria)
-    parsed = criteria.select("strategy_id", F.from_json("criteria_json", criteria_schema(levels)).alias("c")).select(
-        "strategy_id", "c.sort", "c.limit", _nodes(F.col("c.root"), levels).alias("nodes")
-    ).withColumn("ranges", _metric_ranges())
+    return _broken(read_criteria(criteria))
+
+
+def _broken(read: DataFrame) -> DataFrame:
+    parsed = read.withColumn("ranges", _metric_ranges())
     n_cmp = F.size(F.filter("nodes", lambda n: n["kind"] == "comparison"))
     top = F.array(
         F.when(F.array_max(F.transform("nodes", lambda n: n["depth"])) > MAX_DEPTH, _error("root", "TreeTooDeep")),
         F.when(n_cmp > MAX_COMPARISONS, _error("root", "TooManyComparisons")),
         F.when(n_cmp == 0, _error("root", "NoComparisons")),
-        F.when(F.col("sort.field").isNotNull() & F.try_element_at("ranges", F.col("sort.field")).isNull(),
+        F.when(F.col("sort_field").isNotNull() & F.try_element_at("ranges", F.col("sort_field")).isNull(),
                _error("sort.field", "UnknownConcept")),
         F.when((F.col("limit") <= 0) | (F.col("limit") > MAX_LIMIT), _error("limit", "InvalidLimit")),
     )
@@ -125,20 +187,26 @@ def parsed_criteria(criteria: DataFrame) -> DataFrame:
     Only And groups are valid, so a tree of them is the list of its comparisons. A missing limit is the default one. Criteria with an
     error, or with an index in their universe, are left out; ``refused_criteria`` names them.
     """
-    levels = levels_of(criteria)
-    parsed = criteria.select("strategy_id", F.from_json("criteria_json", criteria_schema(levels)).alias("c")).join(
-        refused_criteria(criteria).select("strategy_id").distinct(), "strategy_id", "left_anti")
-    comparisons = F.transform(F.filter(_nodes(F.col("c.root"), levels), lambda n: n["kind"] == "comparison"), lambda n: F.struct(
+    return runnable(read_criteria(criteria))
+
+
+def runnable(read: DataFrame) -> DataFrame:
+    """``parsed_criteria`` of what ``read_criteria`` gave."""
+    valid = read.join(refused(read).select("strategy_id").distinct(), "strategy_id", "left_anti")
+    comparisons = F.transform(F.filter("nodes", lambda n: n["kind"] == "comparison"), lambda n: F.struct(
         n["field"].alias("field"), n["operator"].alias("operator"), n["value"].alias("value")))
-    return parsed.select(
-        "strategy_id", "c.universe.exchange", "c.universe.sector", comparisons.alias("comparisons"), F.col("c.sort.field").alias("sort_field"),
-        F.coalesce(F.col("c.sort.direction") == "Desc", F.lit(False)).alias("descending"), F.coalesce("c.limit", F.lit(DEFAULT_LIMIT)).alias("limit"))
+    return valid.select(
+        "strategy_id", "exchange", "sector", comparisons.alias("comparisons"), "sort_field",
+        F.coalesce(F.col("direction") == "Desc", F.lit(False)).alias("descending"), F.coalesce("limit", F.lit(DEFAULT_LIMIT)).alias("limit"))
 
 
 def refused_criteria(criteria: DataFrame) -> DataFrame:
     """(strategy_id, path, code) of what keeps criteria from running: broken rules, and an index, for which there is no membership data."""
-    index = F.get_json_object("criteria_json", "$.universe.index")
-    return validate_criteria(criteria).union(criteria.where(index.isNotNull()).select(
+    return refused(read_criteria(criteria))
+
+
+def refused(read: DataFrame) -> DataFrame:
+    return _broken(read).union(read.where(F.col("index").isNotNull()).select(
         "strategy_id", F.lit("universe.index").alias("path"), F.lit("IndexNotSupported").alias("code")))
 
 

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointpanel.functions.vocabulary import DEFAULT_LIMIT, MAX_LIMIT, METRIC_COLUMN
+from pointpanel.operators import predicate_index
 from pointpanel.operators.asof import latest_as_of
+from pointpanel.session import stored
 
 RATIO_COLUMNS = ["market_cap", "pe", "pb", "ps", "roe", "debt_to_equity", "gross_margin", "roic", "fcf_yield"]
 INDICATOR_COLUMNS = ["sma50", "sma200", "rsi14", "macd", "macd_signal", "atr14", "vol30"]
@@ -95,54 +97,26 @@ def screen(frame: DataFrame, criteria: dict) -> DataFrame:
     return top_rows(rows, criteria.get("sort"), criteria.get("limit"))
 
 
-def _satisfied(metrics: Column, c: Column) -> Column:
-    value = F.try_element_at(metrics, c["field"])
-    return F.coalesce(
-        F.when(c["operator"] == "LessThan", value < c["value"])
-        .when(c["operator"] == "LessThanOrEqual", value <= c["value"])
-        .when(c["operator"] == "GreaterThan", value > c["value"])
-        .when(c["operator"] == "GreaterThanOrEqual", value >= c["value"]),
-        F.lit(False),
-    )
-
-
-#: Criteria evaluated together: a row of the frame meets so many in one array on average.
-BUCKET_CRITERIA = 500
-
-
 def screen_many(frame: DataFrame, criteria: DataFrame, keep: list[str]) -> DataFrame:
     """Any number of criteria over one frame: rows (criteria_key, rank, *keep), each criteria with its own universe, order and limit.
 
     ``criteria`` has one row per *distinct* content key, as ``concepts.parsed_criteria`` gives them: criteria_key, exchange, sector,
-    comparisons array<struct<field, operator, value>>, sort_field, descending, limit. They are dealt into buckets of bounded size by a
-    hash of the key. The frame is joined with the buckets, each bucket being one array, so only matches are emitted and no list passes
-    through the driver. A metric the frame lacks is unknown, which selects nothing.
+    comparisons array<struct<field, operator, value>>, sort_field, descending, limit. Matches come from ``predicate_index``, so the work grows
+    with them and no list passes through the driver. ``frame`` has one row per security. A metric it lacks is unknown, which selects nothing.
     """
-    buckets = max(1, -(-criteria.count() // BUCKET_CRITERIA))
-    packed = criteria.groupBy(F.pmod(F.xxhash64("criteria_key"), F.lit(buckets)).cast("int").alias("_bucket")).agg(
-        F.collect_list(F.struct("criteria_key", "exchange", "sector", "comparisons", "sort_field", "descending", "limit")).alias("_some")
-    )
     have = [f for f, column in METRIC_COLUMN.items() if column in frame.columns]
-    metrics = F.create_map(*[x for f in have for x in (F.lit(f), F.col(METRIC_COLUMN[f]).cast("double"))])
-    place = {c: F.col(c) if c in frame.columns else F.lit(None).cast("string") for c in ("exchange", "sector")}
-
-    def inside(c: Column) -> Column:
-        return reduce(operator.and_, [c[k].isNull() | F.coalesce(place[k] == c[k], F.lit(False)) for k in place])
-
-    rows = frame.withColumns({"_m": metrics, "_bucket": F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))}).join(packed, "_bucket")
-    hits = F.filter("_some", lambda c: inside(c) & F.forall(c["comparisons"], lambda k: _satisfied(F.col("_m"), k)))
-    found = rows.select(F.explode(F.transform(hits, lambda c: F.struct(
-        c["criteria_key"].alias("criteria_key"), c["limit"].alias("limit"), c["sort_field"].alias("sort_field"),
-        c["descending"].alias("descending"), F.try_element_at(F.col("_m"), c["sort_field"]).alias("value"),
-    ))).alias("_c"), "ticker", *[c for c in dict.fromkeys([*keep, "security_id"]) if c != "ticker"])
-    c = F.col("_c")
+    frame = stored(frame, "frame")
+    found = predicate_index.matches(frame, criteria, "security_id", have)
+    sorts = F.create_map(*[x for f in have for x in (F.lit(f), F.col(METRIC_COLUMN[f]).cast("double"))])
+    rows = frame.select("security_id", "ticker", sorts.alias("_m"), *[c for c in dict.fromkeys(keep) if c not in ("security_id", "ticker")])
+    named = found.join(rows, "security_id").join(criteria.select("criteria_key", "sort_field", "descending", "limit"), "criteria_key").withColumn(
+        "_value", F.try_element_at("_m", F.col("sort_field"))).drop("_m")
     # as top_rows: nulls first when ascending and last when descending; the ticker orders where no field does
     order = [
-        F.when(c["sort_field"].isNull(), 0).otherwise((c["value"].isNull() == c["descending"]).cast("int")),
-        F.when(c["descending"], -c["value"]).otherwise(c["value"]),
-        F.when(c["sort_field"].isNull(), F.col("ticker")), F.col("security_id"),
+        F.when(F.col("sort_field").isNull(), 0).otherwise((F.col("_value").isNull() == F.col("descending")).cast("int")),
+        F.when(F.col("descending"), -F.col("_value")).otherwise(F.col("_value")),
+        F.when(F.col("sort_field").isNull(), F.col("ticker")), F.col("security_id"),
     ]
-    named = found.withColumns({"criteria_key": c["criteria_key"], "limit": c["limit"]})
     return top_per_group(named, ["criteria_key"], order, F.col("limit"), at_most=MAX_LIMIT).select("criteria_key", "rank", *keep)
 
 

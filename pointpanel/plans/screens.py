@@ -374,10 +374,11 @@ def q_screen_bulk(spark, sf):
     fx = Fixtures(spark, sf)
     keyed = stored(distinct_criteria(saved_criteria(fx)), "criteria")
     own = keyed.select(F.col("criteria_key").alias("strategy_id"), "criteria_json")
-    valid = stored(concepts.parsed_criteria(own).withColumnRenamed("strategy_id", "criteria_key"), "valid")
+    read = stored(concepts.read_criteria(own), "read")
+    valid = stored(concepts.runnable(read).withColumnRenamed("strategy_id", "criteria_key"), "valid")
     hits = screen.screen_many(bulk_frame(fx), valid, ["security_id"]).select(
         "criteria_key", F.lit("hit").alias("kind"), F.lit("").alias("code"), "security_id", F.col("rank").cast("long").alias("rank"))
-    refused = concepts.refused_criteria(own).select(
+    refused = concepts.refused(read).select(
         F.col("strategy_id").alias("criteria_key"), F.lit("refused").alias("kind"), "code", F.lit(None).cast("long").alias("security_id"),
         F.lit(None).cast("long").alias("rank"))
     return hits.union(refused).join(keyed.select("criteria_key", "n_strategies"), "criteria_key")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,56 @@ def test_deep_trees_report_their_own_errors_only(spark):
     assert got == [("deep", "TreeTooDeep", 0), ("deep", "UnknownConcept", 9)]
 
 
+def test_a_tree_of_any_depth_costs_its_neighbours_nothing(spark):
+    deep = _node("PeRatio", "LessThan", 10)
+    for k in range(500):
+        deep = _group(deep) if k % 2 else _group(deep, _node("Rsi14", "LessThan", 20))
+    odd = '{"universe":{"exchange":"A\\\\"},"name":"a \\"[{ b","root":%s}' % json.dumps(_group(_node("PeRatio", "LessThan", 1)))
+    deep_odd = json.dumps({"root": {**deep, "name": 'x"]}[{\\'}, "sort": {"field": "Bogus", "direction": "Asc"}, "limit": 0, "universe": {"index": "I"}})
+    saved = spark.createDataFrame([("deep", _json(deep)), ("odd", odd), ("deep odd", deep_odd), ("fine", _json(_node("PeRatio", "LessThan", 1)))],
+                                  "strategy_id string, criteria_json string")
+    got = sorted((r["strategy_id"], r["code"]) for r in concepts.refused_criteria(saved).collect())
+    trees = [(k, code) for k in ("deep", "deep odd") for code in ("TreeTooDeep", "TooManyComparisons")]
+    assert got == sorted([*trees, ("deep odd", "UnknownConcept"), ("deep odd", "InvalidLimit"), ("deep odd", "IndexNotSupported")])
+    valid = {r["strategy_id"]: r for r in concepts.parsed_criteria(saved).collect()}
+    assert valid.keys() == {"odd", "fine"} and valid["odd"]["exchange"] == "A\\"
+
+
+def test_walked_trees_equal_read_ones(spark, monkeypatch):
+    trees = [_group(_node("PeRatio", "LessThan", 1.5), _group(_node("Rsi14", "GreaterThan", -2), op="Or"), _group()), _node("Bogus", "Equal", 0),
+             _group(_group(_group(_group(_node("ClosePrice", "LessThan", 1e3)))), op="Not")]
+    saved = spark.createDataFrame([(str(k), _json(t, limit=k, sort={"field": "PeRatio", "direction": "Desc"})) for k, t in enumerate(trees)],
+                                  "strategy_id string, criteria_json string")
+    read = lambda: sorted(map(str, concepts.read_criteria(saved).withColumn(
+        "nodes", F.array_sort(F.transform("nodes", lambda n: n.withField("n_children", (n["n_children"] > 0).cast("int"))))).collect()))
+    whole = read()
+    monkeypatch.setattr(concepts, "LEVELS", 1)
+    assert read() == whole
+
+
+def test_index_equals_brute_force_on_many_criteria(spark, monkeypatch):
+    from pointpanel.operators import predicate_index
+
+    rng = random.Random(7)
+    draw = lambda: rng.choice([None, *range(8), round(rng.uniform(-1, 9), 2)])
+    rows = [(i, f"T{i:03d}", rng.choice(["ASIA", "EUROPE", None]), *(None if (v := draw()) is None else float(v) for _ in range(3))) for i in range(120)]
+    df = spark.createDataFrame(rows, "security_id long, ticker string, exchange string, close double, pe double, rsi14 double")
+    fields, ops = ["ClosePrice", "PeRatio", "Rsi14", "Sma50"], list(screen.COMPARE)[:4]
+    made = []
+    for k in range(5000):
+        own = [(rng.choice(fields[:3] if k % 50 else fields), rng.choice(ops), float(rng.choice([*range(9), round(rng.uniform(0, 8), 2)]))) for _ in range(rng.randrange(1, 4))]
+        made.append((f"k{k}", rng.choice([None, None, "ASIA"]), None, own, None, False, 1000))
+    criteria = spark.createDataFrame(made, "criteria_key string, exchange string, sector string, "
+                                     "comparisons array<struct<field:string,operator:string,value:double>>, sort_field string, descending boolean, limit int")
+    column = {"ClosePrice": 3, "PeRatio": 4, "Rsi14": 5}
+    want = {(key, r[0]) for key, place, _, own, *_ in made for r in rows if (place is None or r[2] == place) and all(
+        f in column and r[column[f]] is not None and screen.COMPARE[op](r[column[f]], value) for f, op, value in own)}
+    for part in (50_000, 700):
+        monkeypatch.setattr(predicate_index, "PART_CRITERIA", part)
+        got = [(r["criteria_key"], r["security_id"]) for r in screen.screen_many(df, criteria, ["security_id"]).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_longer_alias_consumes_its_words(spark):
     df = spark.createDataFrame([("Cheap, not OVERBOUGHT!",), ("cheapest",), ("low-debt & low   leverage",), ("low conservative balance sheet debt",)], "t string")
     got = [sorted(r.t) for r in df.select(concepts.tags(F.col("t")).alias("t")).collect()]
