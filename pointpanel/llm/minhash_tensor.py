@@ -12,7 +12,8 @@ A set is the distinct two-word shingles of a text; two sets link when their Jacc
    one component is settled.
 4. The sets of the other entries (stragglers of groups, and unlike sets that share a passage) are paired by an exact rule, so no entry is cut
    however full it is: linked sets share a shingle among the rarest of each, at positions that leave room for what they must share. Pairs of
-   one component are skipped, and a list's largest component never meets itself.
+   one component are skipped, and a list's largest component never meets itself. A set meets its nearest of a component first, and a pivot
+   of each component rules out most of the others by the triangle inequality.
 5. Components of the confirmed links give the smallest document id that links reach.
 
 A third of all rows may be copies of one text (the first aggregation, pre-aggregated in the tasks, makes them one set) or near copies (their
@@ -44,6 +45,8 @@ ROWS, SIDE = 3, 10
 ROWS_AT_ONCE = 1000
 #: Leaders that a set is compared with before the exact rule.
 LEADERS = 3
+#: How many sets of another component a set has met after each round, before it meets the rest.
+NEAREST = (5, 40)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -109,12 +112,16 @@ def _grams(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return stored(texts.select("text").mapInArrow(run, "id long, grams array<long>").dropDuplicates(["id"]), "grams")
 
 
+def _distances(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """The pairs (a, b) with both sizes and the size of the intersection of their whole sets."""
+    side = lambda k: grams.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select(
+        "a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("both"))
+
+
 def _confirmed(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
-    side = lambda k: grams.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(
-        100 * both >= percent * (F.size("ga") + F.size("gb") - both)).select("a", "b")
+    return _distances(pairs, grams).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
 def _sized(percent: int, n, m):
@@ -122,7 +129,8 @@ def _sized(percent: int, n, m):
 
 
 def _exact_pairs(grams: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets (id, label) of different labels that may link: every pair that does is among them."""
+    """The pairs (a, b) of sets (id, label) of different labels that may link, with their labels and the room their bound leaves: every pair
+    that does link is among them."""
     tokens = open_.join(grams, "id").select("id", "label", F.size("grams").alias("n"), F.explode("grams").alias("token"))
     tokens = stored(tokens, "tokens")
     seen = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -140,7 +148,46 @@ def _exact_pairs(grams: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
     met = x.join(y, "token").where(
         (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
         & _sized(percent, F.col("x.n"), F.col("y.n")) & (F.col("x.n") - F.col("x.pos") >= needed) & (F.col("y.n") - F.col("y.pos") >= needed))
-    return met.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    # Shingles in common up to the last one that both prefixes hold are counted; of those after it no more than the shorter rest can be.
+    rest = F.least(F.min(F.col("x.n") - F.col("x.pos")), F.min(F.col("y.n") - F.col("y.pos"))) - 1
+    together = met.groupBy(F.col("x.id").alias("a"), F.col("x.label").alias("la"), F.col("y.id").alias("b"), F.col("y.label").alias("lb")).agg(
+        (F.count("*") + rest).alias("most"), F.max(needed).alias("needed"))
+    return together.where("most >= needed").withColumn("room", F.col("most") - F.col("needed")).drop("most", "needed")
+
+
+def _further_links(grams: DataFrame, open_: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Components after the links among the sets (id, label) of unsettled entries.
+
+    Each set meets a few of another component at a time, those first whose bound leaves most room, which joins stragglers to their group: what is
+    then in one component is settled. For the rest, a pivot of each component rules out pairs without looking at them: Jaccard distance is a
+    metric, so two sets whose distances to the pivot differ by more than a link allows are no link.
+    """
+    sizes = open_.groupBy("label").agg(F.count("*").alias("n"))
+    size = lambda k: sizes.select(F.col("label").alias(f"l{k}"), F.struct("n", "label").alias(f"n{k}"))
+    met = _exact_pairs(grams, open_, percent).join(size("a"), "la").join(size("b"), "lb")
+    smaller = F.col("na") < F.col("nb")
+    pairs = stored(met.select(
+        F.when(smaller, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(smaller, F.col("b")).otherwise(F.col("a")).alias("b"),
+        F.when(smaller, F.col("lb")).otherwise(F.col("la")).alias("lb"), "room"), "pairs")
+    nearest = Window.partitionBy("a", "lb").orderBy(F.desc("room"), F.xxhash64("a", "b"))
+    left = stored(pairs.withColumn("rank", F.row_number().over(nearest)), "ranked")
+    pivots = left.where(F.col("rank") <= NEAREST[0]).groupBy("lb", "b").agg(F.count("*").alias("c")).groupBy("lb").agg(
+        F.max_by("b", F.struct("c", "b")).alias("pivot"))
+    left = stored(left.join(pivots, "lb"), "pairs")
+    for upto in NEAREST:
+        links = _confirmed(left.where(F.col("rank") <= upto), grams, percent)
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+        now = lambda k: found.select(F.col("id").alias(k), F.col("component").alias(f"now_{k}"))  # noqa: B023, E731
+        left = stored(left.where(F.col("rank") > upto).join(now("a"), "a", "left").join(now("b"), "b", "left").where(
+            F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).drop("now_a", "now_b"), "left")
+    ends = left.select("a", F.col("pivot").alias("b")).union(left.select("b", "pivot")).distinct()
+    away = stored(_distances(ends, grams).select(
+        "a", F.col("b").alias("pivot"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d")), "away")
+    near = left.join(away.withColumnRenamed("d", "da"), ["a", "pivot"]).join(
+        away.select(F.col("a").alias("b"), "pivot", F.col("d").alias("db")), ["b", "pivot"])
+    near = near.where(F.abs(F.col("da") - F.col("db")) <= 1 - percent / 100 + 1e-9)
+    last = _confirmed(stored(near.select("a", "b").distinct(), "pairs"), grams, percent)
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(last))
 
 
 def _linked(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,8 +208,7 @@ def _linked(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     labelled = members.join(label("id"), "id", "left").select("key", "id", F.coalesce("id_label", "id").alias("label"))
     several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     open_ = stored(labelled.join(several, "key", "left_semi").select("id", "label").distinct(), "open")
-    further = stored(_confirmed(stored(_exact_pairs(grams, open_, percent), "pairs"), grams, percent), "links")
-    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(further))
+    return _further_links(grams, open_, found, percent)
 
 
 def near_copies(docs: DataFrame, percent: int = 80, rows: int = ROWS, side: int = SIDE) -> DataFrame:
