@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointpanel.fixtures import Fixtures
@@ -11,8 +11,10 @@ from pointpanel.functions.text import content_key
 from pointpanel.operators import alerts, calendar, concepts, identity, screen, series, valuation
 from pointpanel.operators.asof import latest_as_of, panel_as_of
 from pointpanel.plans.oracle_views import rnd, rounded, with_views
-from pointpanel.plans.series import adjusted, indicator_ctes
-from pointpanel.session import stored
+from pointpanel.plans.series import factors, indicator_ctes
+from pointpanel.session import scratch_path, stored
+from pointpanel.sources import loads
+from pointpanel.sources import panel as store
 
 AS_OF = "2001-01-01"
 
@@ -227,17 +229,28 @@ FLAGSHIP = {
 }
 
 
+#: Where this session has stored the panel of each data folder.
+_PANELS: dict[tuple[str, str], str] = {}
+
+
+def stored_panel(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the panel that the ingest of ``sf_dir`` leaves: bars, factors, indicators and ratios. Stored once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PANELS:
+        fx, root = Fixtures(spark, sf_dir).with_stored_bars(), scratch_path(spark, "panel")
+        store.advance(spark, root, fx.bars, factors(fx))
+        loads.append(ratios_of(fx).select("security_id", "reported_date", *screen.RATIO_COLUMNS), f"{root}/ratios", ["security_id", "reported_date"], F.col("reported_date"))
+        _PANELS[key] = root
+    return _PANELS[key]
+
+
 def q_screen_full(spark, sf):
-    """The composed screen. Indicators and prices come from one pass over the bars, so nothing is joined back."""
-    fx = Fixtures(spark, sf).with_stored_bars()
-    # an indicator looks back only, so bars after the date are dropped before the windows; later actions still adjust
-    known_bars = adjusted(fx).filter(F.col("date") <= F.lit(AS_OF).cast("date"))
-    rows = series.indicators(known_bars, keep=("close", "adj_close", "volume"))
-    latest = latest_as_of(
-        rows, AS_OF, ["close", "adj_close", "volume", *screen.INDICATOR_COLUMNS], date_alias="price_date"
-    )
-    known = latest_as_of(ratios_of(fx), AS_OF, screen.RATIO_COLUMNS, date="reported_date")
-    frame = fx.securities.join(latest, "security_id").join(known, "security_id", "left")
+    """The composed screen over the stored panel: adjusted closes, indicators and ratios were derived when their bars came in."""
+    root = stored_panel(spark, sf)
+    day = F.lit(AS_OF).cast("date")
+    ratios = loads.read(spark, f"{root}/ratios", "rows", ["security_id", "reported_date"], F.col("_part") <= F.year(day) * 100 + F.month(day))
+    known = latest_as_of(ratios, AS_OF, screen.RATIO_COLUMNS, date="reported_date")
+    frame = Fixtures(spark, sf).securities.join(store.latest(spark, root, AS_OF), "security_id").join(known, "security_id", "left")
     out = screen.screen(frame, FLAGSHIP)
     return out.select(
         *[c for c in screen.PROJECTION if c != "adj_close"],

@@ -9,6 +9,8 @@ from pointpanel.functions.rounding import half_up
 from pointpanel.operators import actions as act
 from pointpanel.operators import series, valuation
 from pointpanel.plans.oracle_views import rnd, rounded, with_views
+from pointpanel.session import scratch_path, stored
+from pointpanel.sources import panel
 
 
 def _bars(spark, sf):
@@ -71,9 +73,18 @@ def q_adj_close(spark, sf):
 INDICATOR_COLUMNS = ["sma50", "sma200", "rsi14", "macd", "macd_signal", "atr14", "vol30"]
 
 
+#: The second load of the panel begins here.
+RESUMED = "2001-06-01"
+
+
 def q_indicators_all(spark, sf):
-    df = series.indicators(adjusted(Fixtures(spark, sf).with_stored_bars()))
-    return _out(df, *INDICATOR_COLUMNS)
+    """The indicator rows of a panel that took in its bars in two loads: the second one resumes from stored states, but for new factors."""
+    fx, root = Fixtures(spark, sf).with_stored_bars(), scratch_path(spark, "panel")
+    known = stored(factors(fx), "factors")
+    early = lambda c: F.col(c) < F.lit(RESUMED).cast("date")
+    panel.advance(spark, root, fx.bars.where(early("date")), known.where(early("effective_date")))
+    panel.advance(spark, root, fx.bars.where(~early("date")), known.where(~early("effective_date")))
+    return _out(panel.rows(spark, root), *INDICATOR_COLUMNS)
 
 
 def q_asof_price_at_report(spark, sf):
