@@ -239,7 +239,7 @@ def stored_panel(spark: SparkSession, sf_dir: str) -> str:
     if key not in _PANELS:
         fx, root = Fixtures(spark, sf_dir).with_stored_bars(), scratch_path(spark, "panel")
         store.advance(spark, root, fx.bars, factors(fx))
-        loads.append(ratios_of(fx).select("security_id", "reported_date", *screen.RATIO_COLUMNS), f"{root}/ratios", ["security_id", "reported_date"], F.col("reported_date"))
+        loads.append(ratios_of(fx).select("security_id", "reported_date", *screen.RATIO_COLUMNS), f"{root}/ratios", ["security_id", "reported_date"], F.col("reported_date"), yearly=True)
         _PANELS[key] = root
     return _PANELS[key]
 

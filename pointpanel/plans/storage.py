@@ -164,15 +164,15 @@ def _load(df: DataFrame, key: str, value: str) -> DataFrame:
     return late.unionByName(new)
 
 
-def _twice(spark, table: DataFrame, load: DataFrame, keys: list[str], day: str, label: str) -> DataFrame:
+def _twice(spark, table: DataFrame, load: DataFrame, keys: list[str], day: str, label: str, yearly: bool = False) -> DataFrame:
     """The table after a load that ran twice, with a load that failed half-way in between, folded at the end."""
     path = scratch_path(spark, label)
-    loads.append(table, path, keys, F.col(day))
-    loads.append(load, path, keys, F.col(day))
+    loads.append(table, path, keys, F.col(day), yearly=yearly)
+    loads.append(load, path, keys, F.col(day), yearly=yearly)
     _, lost = loads.begin(spark, path)
-    loads.put(table.limit(0), path, lost, "rows", keys, F.col(day))  # never sealed
-    loads.append(load, path, keys, F.col(day))
-    loads.fold(spark, path, {"rows": (keys, F.col(day))})
+    loads.put(load.limit(10), path, lost, "rows", keys, F.col(day), yearly=yearly)  # never sealed
+    loads.append(load, path, keys, F.col(day), yearly=yearly)
+    loads.fold(spark, path, {"rows": (keys, F.col(day), yearly)})
     return loads.read(spark, path, "rows", keys)
 
 
@@ -191,13 +191,13 @@ def q_sink_indicators_upsert(spark, sf):
 def q_sink_benchmark_upsert(spark, sf):
     b = stored(Fixtures(spark, sf).benchmark.withColumn("total_return_index_value", half_up("total_return_index_value", 6)), "benchmark")
     load = b.filter(F.col("date") >= F.lit(CHANGED_FROM).cast("date")).withColumn("total_return_index_value", F.lit(1.0))
-    return _twice(spark, b, load, ["ticker", "date"], "date", "benchmark")
+    return _twice(spark, b, load, ["ticker", "date"], "date", "benchmark", yearly=True)
 
 
 def q_sink_ratios_upsert(spark, sf):
     r = stored(screens.ratios_of(Fixtures(spark, sf)).select("security_id", "reported_date", half_up("pb", 6).alias("pb")), "ratios")
     load = r.filter(F.year("reported_date") == 2001).withColumn("pb", F.lit(0.5))
-    return _twice(spark, r, load, ["security_id", "reported_date"], "reported_date", "ratios")
+    return _twice(spark, r, load, ["security_id", "reported_date"], "reported_date", "ratios", yearly=True)
 
 
 def q_sink_actions_insert_new(spark, sf):

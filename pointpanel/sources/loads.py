@@ -36,14 +36,14 @@ def begin(spark: SparkSession, root: str) -> tuple[int, str]:
     return load, f"load-{load}-{uuid.uuid4().hex}"
 
 
-def put(rows: DataFrame, root: str, folder: str, table: str, keys: list[str], month: Column, order: list[str] | None = None) -> None:
-    """Write one table of a load, partitioned by the month of ``month``; of equal keys the row last in ``order`` stays (else the largest).
+def put(rows: DataFrame, root: str, folder: str, table: str, keys: list[str], month: Column, order: list[str] | None = None, yearly: bool = False) -> None:
+    """Write one table of a load, partitioned by the month of ``month`` (the first of its year if ``yearly``); of equal keys the row last in ``order`` stays (else the largest).
     A table without rows is no part of its load."""
     if rows.isEmpty():
         return
     values = [c for c in rows.columns if c not in keys]
     one = F.max_by(F.struct(*values), F.struct(*order)) if order else F.max(F.struct(*values))
-    part = (F.year(month) * 100 + F.month(month)).alias("_part")
+    part = (F.year(month) * 100 + (F.lit(1) if yearly else F.month(month))).alias("_part")
     each = rows.groupBy(*keys).agg(one.alias("_v")).select(*keys, "_v.*")
     each.select(*rows.columns, part).repartitionByRange("_part", keys[0]).sortWithinPartitions("_part", *keys).write.partitionBy("_part").parquet(f"{root}/{folder}/{table}")
 
@@ -67,17 +67,19 @@ def read(spark: SparkSession, root: str, table: str, keys: list[str], where: Col
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_load").alias("_v")).select(*keys, "_v.*")
 
 
-def append(rows: DataFrame, root: str, keys: list[str], month: Column, order: list[str] | None = None, table: str = "rows") -> None:
+def append(rows: DataFrame, root: str, keys: list[str], month: Column, order: list[str] | None = None, table: str = "rows", yearly: bool = False) -> None:
     """One load of one table, sealed."""
     load, folder = begin(rows.sparkSession, root)
-    put(rows, root, folder, table, keys, month, order)
+    put(rows, root, folder, table, keys, month, order, yearly)
     seal(rows.sparkSession, root, load, folder)
 
 
-def fold(spark: SparkSession, root: str, tables: dict[str, tuple[list[str], Column]]) -> None:
-    """Write the sealed loads as one; ``tables`` names the keys and the month of each table."""
+def fold(spark: SparkSession, root: str, tables: dict[str, tuple[list[str], Column, bool]]) -> None:
+    """Write the sealed loads as one; ``tables`` names the keys, the month and the yearly flag of each table."""
     number = max(n for n, _ in sealed(spark, root))
     folder = f"whole-{number}-{uuid.uuid4().hex}"
-    for table, (keys, month) in tables.items():
-        put(read(spark, root, table, keys), root, folder, table, keys, month)
+    for table, (keys, month, yearly) in tables.items():
+        rows = read(spark, root, table, keys)
+        if rows is not None:
+            put(rows, root, folder, table, keys, month, yearly=yearly)
     seal(spark, root, number, folder, whole=True)

@@ -17,6 +17,13 @@ BARS = ["security_id", "date", "open", "high", "low", "close", "volume"]
 KEYS = {"bars": ["security_id", "date"], "factors": ["security_id", "effective_date", "action_type"], "rows": ["security_id", "date"], "states": ["security_id"]}
 
 
+DAYS, YEARLY = {"bars": "date", "factors": "effective_date", "rows": "date"}, ("factors",)
+
+
+def _no_day():
+    return F.lit("1970-01-01").cast("date")
+
+
 def _with(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
     """All rows, those of the load in place of older ones of their keys."""
     return new if old is None else old.join(new.select(*keys), keys, "left_anti").unionByName(new)
@@ -37,9 +44,8 @@ def advance(spark: SparkSession, root: str, bars: DataFrame, factors: DataFrame)
     found = stored(resume.continued(actions.adjusted_bars(due, all_factors), states), "continued")
     load, folder = loads.begin(spark, root)
     rows = found.select("security_id", F.explode("rows").alias("r")).select("security_id", "r.*")
-    for table, frame, day in (("bars", bars, "date"), ("factors", factors, "effective_date"), ("rows", rows, "date")):
-        loads.put(frame, root, folder, table, KEYS[table], F.col(day))
-    loads.put(found.select("security_id", "state"), root, folder, "states", KEYS["states"], F.lit("1970-01-01").cast("date"))
+    for table, frame in (("bars", bars), ("factors", factors), ("rows", rows), ("states", found.select("security_id", "state"))):
+        loads.put(frame, root, folder, table, KEYS[table], F.col(DAYS[table]) if table in DAYS else _no_day(), yearly=table in YEARLY)
     loads.seal(spark, root, load, folder)
 
 
@@ -58,5 +64,4 @@ def latest(spark: SparkSession, root: str, as_of: str) -> DataFrame:
 
 
 def fold(spark: SparkSession, root: str) -> None:
-    days = {"bars": "date", "factors": "effective_date", "rows": "date"}
-    loads.fold(spark, root, {t: (KEYS[t], F.col(days[t]) if t in days else F.lit("1970-01-01").cast("date")) for t in KEYS})
+    loads.fold(spark, root, {t: (KEYS[t], F.col(DAYS[t]) if t in DAYS else _no_day(), t in YEARLY) for t in KEYS})

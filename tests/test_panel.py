@@ -87,7 +87,7 @@ def test_loads_are_seen_once_sealed_and_equal_keys_are_one_row(spark, tmp_path):
     for _ in range(2):
         loads.append(load((1, 2.0, 1), (3, 3.0, 1)), root, ["k", "day"], F.col("day"))
         assert read() == [(1, 2.0), (2, 5.0), (3, 3.0)]
-    loads.fold(spark, root, {"rows": (["k", "day"], F.col("day"))})
+    loads.fold(spark, root, {"rows": (["k", "day"], F.col("day"), False)})
     assert read() == [(1, 2.0), (2, 5.0), (3, 3.0)] and len(loads.sealed(spark, root)) == 1
     loads.append(load((2, 6.0, 1)), root, ["k", "day"], F.col("day"))
     assert read() == [(1, 2.0), (2, 6.0), (3, 3.0)]
