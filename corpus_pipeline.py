@@ -2,7 +2,11 @@
 
 Quality filter, line dedup, near duplicates (one document of each group stays), mixing of the sources to target weights, packing. The
 stages but the last return the columns of documents. The result cannot be written in SQL: the first stage fits a model and the last
-one tokenizes, so it is tested against a brute-force version.
+one tokenizes. Tests compare it with its operators called in turn, and each of these with its own oracle or brute force.
+
+Defined results: null texts become empty texts after line dedup and are kept, mixed and packed as such (one separator); rows that repeat an id and
+its text are one from the near-duplicate stage on, rows that repeat an id with other texts are documents of their own; rows without an id stay;
+an empty table gives no rows; columns besides those of documents pass through until the last stage.
 """
 
 from __future__ import annotations
@@ -12,11 +16,18 @@ from pyspark.sql import functions as F
 
 from pointpanel.llm import jaccard_join, line_dedup, mixing, packing, quality_gam
 from pointpanel.llm.registry import MIX_REPETITION, vocabulary
+from pointpanel.llm.words import ARROW_ROWS
 from pointpanel.session import scratch_path
 
 
+def _settings(spark: SparkSession) -> None:
+    """Whole texts reach the Python workers of a stage in batches of few rows, which bounds what an executor holds beside its heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least one half."""
+    _settings(spark)
     return quality_gam.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
 
 
@@ -28,6 +39,7 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near duplicates."""
+    _settings(spark)
     return jaccard_join.keep_first(docs).select(docs.columns)
 
 
@@ -38,6 +50,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences."""
+    _settings(spark)
     return packing.pack_documents(docs, vocabulary())
 
 

@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from pointpanel.llm.among import among
 from pointpanel.llm.graph import components
-from pointpanel.llm.words import mix, shingle_sets, slices
+from pointpanel.llm.words import mix, shingle_sets, slices, small_batches
 from pointpanel.session import stored
 
 WIDTH = 5
@@ -44,7 +44,7 @@ WIDTH = 5
 ORDER_BITS = 20
 #: Rows that hold the counts of a task.
 COUNT_PARTS = 16
-ROWS_AT_ONCE = 1000
+ROWS_AT_ONCE = 250
 #: Lists of so many blocks are dense; their blocks first meet the heads of the largest ones, so many in each of some rounds.
 DENSE, LEADERS, ROUNDS = 16, 3, 2
 SEEDS = np.array([0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95], dtype=np.uint64)
@@ -143,7 +143,7 @@ def _compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     side = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 500):
+        for batch in slices(batches, ROWS_AT_ONCE):
             left = shingle_sets(batch.column(2), WIDTH)
             right = batch.column(3)
             # Rows that repeat an id may differ in text, so neighbours are one set only with equal texts.
@@ -260,6 +260,11 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
 def similar_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id, head_id) of every row of ``docs``; ``set_id`` is the smallest document with the
     identical set, ``head_id`` the head of its block."""
+    with small_batches(docs.sparkSession):  # all work in Python workers is done in here, into stored tables
+        return _similar_components(docs, percent)
+
+
+def _similar_components(docs: DataFrame, percent: int) -> DataFrame:
     spark = docs.sparkSession
     summaries = stored(_summaries(docs), "summaries")
     rows = summaries.where("part is null")

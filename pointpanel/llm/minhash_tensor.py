@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 
 from pointpanel.llm.among import among
 from pointpanel.llm.graph import components
-from pointpanel.llm.words import mix, shingle_sets, slices
+from pointpanel.llm.words import mix, shingle_sets, slices, small_batches
 from pointpanel.session import stored
 
 WIDTH = 2
 #: Minhashes of half a key, and half keys in each of the two collections.
 ROWS, SIDE = 3, 10
-ROWS_AT_ONCE = 1000
+ROWS_AT_ONCE = 250
 #: Leaders that a set is compared with before the exact rule.
 LEADERS = 3
 #: How many sets of another component a set has met after each round, before it meets the rest.
@@ -213,6 +213,17 @@ def _linked(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_copies(docs: DataFrame, percent: int = 80, rows: int = ROWS, side: int = SIDE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    with small_batches(docs.sparkSession):  # all work in Python workers is done in here, into stored tables
+        sketches, known = _known(docs, percent, rows, side)
+    rows_ = sketches.select("doc_id", "n", "fa", "fb")
+    linked = rows_.where("doc_id is not null").join(known, ["fa", "fb", "n"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    alone = rows_.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _known(docs: DataFrame, percent: int, rows: int, side: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and (fa, fb, n, component) of each distinct set."""
     sketches = stored(_sketches(docs, rows, side), "sketches")
     full = sketches.where("n > 0 and doc_id is not null")
     sets = full.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("sid"), F.first("a").alias("a"), F.first("b").alias("b"))
@@ -225,8 +236,4 @@ def near_copies(docs: DataFrame, percent: int = 80, rows: int = ROWS, side: int
     least = named.join(least, "component").select("id", "fb", "n", "least")
     known = sets.select("id", "fb", "n", "sid").join(least, ["id", "fb", "n"], "left").select(
         F.col("id").alias("fa"), "fb", "n", F.coalesce("least", "sid").alias("component"))
-    rows_ = sketches.select("doc_id", "n", "fa", "fb")
-    linked = rows_.where("doc_id is not null").join(known, ["fa", "fb", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    alone = rows_.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return sketches, known

@@ -7,11 +7,13 @@ UTF-8, so a text is cut the same way as by code points.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 _U = np.uint64
 #: Odd multipliers of the positions in a shingle.
@@ -27,7 +29,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text that a task looks at together; a longer text is looked at alone.
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 2 << 20
+#: Rows of text that Spark hands to a Python worker at once. Its default of 10,000 whole texts is held several times, in buffers on both sides.
+ARROW_ROWS = 500
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Hand texts to Python workers in small batches meanwhile; for jobs that run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int, most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
