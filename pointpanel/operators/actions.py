@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointpanel.functions import corporate
@@ -20,10 +20,10 @@ def with_cum_close(actions: DataFrame, bars: DataFrame) -> DataFrame:
     return asof_join(actions, bars, "effective_date", "date", {"close": "cum_close"}, exact=False)
 
 
-def resolve_factors(actions: DataFrame, bars: DataFrame) -> DataFrame:
-    """Adds ``factor``: from the remark for splits and bonuses, from terms and cum price for rights, null otherwise."""
+def _factor() -> Column:
+    """From the remark for splits and bonuses, from terms and cum price for rights, null otherwise."""
     terms = corporate.rights_terms(F.col("raw_description"))
-    factor = (
+    return (
         F.when(F.col("action_type") == "Split", corporate.split_from_remark(F.col("raw_description")))
         .when(F.col("action_type") == "Bonus", corporate.bonus_from_remark(F.col("raw_description")))
         .when(
@@ -31,7 +31,11 @@ def resolve_factors(actions: DataFrame, bars: DataFrame) -> DataFrame:
             corporate.rights_factor(terms["offered"], terms["held"], terms["subscription"], F.col("cum_close")),
         )
     )
-    return with_cum_close(actions, bars).withColumn("factor", factor)
+
+
+def resolve_factors(actions: DataFrame, bars: DataFrame) -> DataFrame:
+    """Adds ``factor``."""
+    return with_cum_close(actions, bars).withColumn("factor", _factor())
 
 
 def factor_per_date(factors: DataFrame) -> DataFrame:
@@ -74,15 +78,42 @@ def surrounding_prices(actions: DataFrame, bars: DataFrame) -> DataFrame:
     )
 
 
-def reconcile(factors: DataFrame, bars: DataFrame) -> DataFrame:
-    """One row per action: its stored factor against the step the traded price made across the ex-date."""
+def with_steps(actions: DataFrame, bars: DataFrame) -> DataFrame:
+    """Each action with its factor and the closes around it, raw and adjusted, from one sort of bars and actions together.
+
+    Rows are numbered by twice their day, bars one more, so an action stands before the bar of its own day. The cum price and the product of
+    factors so far are running frames, the neighbours are frames of the days within reach: all share one order. A bar's adjusted close takes
+    the factors that come after it, which are all of the security's over those so far.
+    """
+    day = F.datediff("_on", F.lit("1970-01-01").cast("date")) * 2
+    left = actions.select("*", F.col("effective_date").alias("_on"), F.lit(True).alias("_action"))
+    right = bars.select("security_id", F.col("date").alias("_on"), F.col("close").alias("_close"))
+    rows = left.unionByName(right, allowMissingColumns=True).withColumn("_at", day + F.when(F.col("_action"), 0).otherwise(1))
+    w = Window.partitionBy("security_id").orderBy("_at")
+    reach = 2 * MAX_BAR_DISTANCE_DAYS
+    rows = rows.withColumn("cum_close", F.last("_close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("factor", F.when(F.col("_action"), _factor()))
+    step = F.when(F.col("factor") > 0, F.col("factor")).otherwise(1.0)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("_k", F.product(step).over(whole) / F.product(step).over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    bar = F.when(F.col("_close").isNotNull(), F.struct(F.col("_close").alias("c"), (F.col("_close") * F.col("_k")).alias("a")))
+    rows = rows.withColumn("_bar", bar).withColumns({
+        "_before": F.last("_bar", ignorenulls=True).over(w.rangeBetween(1 - reach, -1)),
+        "_after": F.first("_bar", ignorenulls=True).over(w.rangeBetween(1, reach + 1)),
+    })
+    return rows.where("_action").select(
+        *actions.columns, "cum_close", "factor", F.col("_before.c").alias("close_before"), F.col("_before.a").alias("adj_before"),
+        F.col("_after.c").alias("close_after"), F.col("_after.a").alias("adj_after"))
+
+
+def reconcile(actions: DataFrame, bars: DataFrame) -> DataFrame:
+    """One row per action: its factor against the step the traded price made across the ex-date."""
     per_date = Window.partitionBy("security_id", "effective_date")
     is_price = F.col("action_type").isin(*PRICE_ACTIONS)
-    rows = factors.withColumns({
+    rows = with_steps(actions, bars).withColumns({
         "actions_sharing_date": F.count(F.when(is_price, 1)).over(per_date),
         "_combined": F.product(F.when(is_price & (F.col("factor") > 0), F.col("factor"))).over(per_date),
     })
-    rows = surrounding_prices(rows, bars)
     usable = (F.col("close_before") > 0) & (F.col("close_after") > 0)
     implied = F.when(usable, F.col("close_after") / F.col("close_before"))
     compared = F.when(

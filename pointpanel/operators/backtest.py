@@ -171,9 +171,11 @@ def leg_values(strategies: DataFrame, trade_rows: DataFrame, growth: DataFrame,
     )
 
 
-def equity_curve(values: DataFrame, growth: DataFrame, strategies: DataFrame, start: str, end: str) -> DataFrame:
+def equity_curve(values: DataFrame, growth: DataFrame, strategies: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Net and gross value on the start, on every execution date and on every day of every leg, then on the end date.
 
+    Without ``start`` and ``end`` each strategy has its own start_date and end_date.
+
     Where an execution falls on the last day of the leg before, the earlier leg's mark stands.
     """
     cost_share = F.col("rate") * F.col("turnover")
@@ -189,7 +191,7 @@ def equity_curve(values: DataFrame, growth: DataFrame, strategies: DataFrame, st
         (F.col("value_before") * (F.col("growth") - cost_share)).alias("nav"), "cum_costs",
     )
     opening = strategies.select(
-        "strategy_id", F.lit(-1).alias("rebalance_no"), F.lit(start).cast("date").alias("date"),
+        "strategy_id", F.lit(-1).alias("rebalance_no"), (F.lit(start).cast("date") if start else F.col("start_date")).alias("date"),
         F.col("capital").alias("nav"), F.lit(0.0).alias("cum_costs"),
     )
     points = opening.unionByName(executed).unionByName(marked)
@@ -199,9 +201,8 @@ def equity_curve(values: DataFrame, growth: DataFrame, strategies: DataFrame, st
     last = curve.groupBy("strategy_id").agg(
         F.max("date").alias("_d"), F.max_by("nav", "date").alias("nav"), F.max_by("cum_costs", "date").alias("cum_costs")
     )
-    close = last.filter(F.col("_d") < F.lit(end).cast("date")).select(
-        "strategy_id", F.lit(end).cast("date").alias("date"), "nav", "cum_costs"
-    )
+    ends = strategies.select("strategy_id", (F.lit(end).cast("date") if end else F.col("end_date")).alias("date"))
+    close = last.join(ends, "strategy_id").filter(F.col("_d") < F.col("date")).select("strategy_id", "date", "nav", "cum_costs")
     return curve.unionByName(close).withColumn("gross_nav", F.col("nav") + F.col("cum_costs"))
 
 

@@ -53,8 +53,10 @@ def span(value: str) -> dict[str, Column]:
     }
 
 
-def summary(curve: DataFrame, values: DataFrame, per_year: int) -> DataFrame:
-    """One row per strategy: growth net and gross, risk, hit rate, turnover and costs."""
+def summary(curve: DataFrame, values: DataFrame, per_year: int | str) -> DataFrame:
+    """One row per strategy: growth net and gross, risk, hit rate, turnover and costs. ``per_year`` counts rebalances, or names the column of
+    ``values`` that does."""
+    yearly = F.lit(per_year) if isinstance(per_year, int) else F.max(per_year)
     rows = with_drawdown(with_returns(curve))
     net, gross = span("nav"), span("gross_nav")
     figures = rows.groupBy("strategy_id").agg(
@@ -66,7 +68,7 @@ def summary(curve: DataFrame, values: DataFrame, per_year: int) -> DataFrame:
         win_rate(F.col("ret")).alias("win_rate"),
     )
     turned = values.groupBy("strategy_id").agg(
-        (F.avg("turnover") * per_year).alias("annual_turnover"), F.sum("costs").alias("total_costs")
+        (F.avg("turnover") * yearly).alias("annual_turnover"), F.sum("costs").alias("total_costs")
     )
     return figures.join(turned, "strategy_id", "left")
 

@@ -11,20 +11,14 @@ from pointpanel.fixtures import Fixtures
 from pointpanel.functions.rounding import half_up
 from pointpanel.operators import actions as act
 from pointpanel.operators import backtest as bt
-from pointpanel.operators import calendar, identity, metrics, screen
+from pointpanel.operators import calendar, concepts, definitions, identity, metrics, screen
 from pointpanel.operators.asof import panel_as_of
-from pointpanel.plans.oracle_views import rnd, rounded, with_views
+from pointpanel.plans.oracle_views import VIEWS, actions_view, factors_view, rnd, rounded, with_views
 from pointpanel.session import stored
 
 START, END, CAPITAL = "1998-01-02", "2001-06-30", 300000.0
 # strategy_id, rule, positions, cost bps, slippage bps, capital
 STRATEGIES = [(1, "low_price", 5, 23.0, 5.0, CAPITAL), (2, "volume", 3, 23.0, 5.0, CAPITAL), (3, "high_price", 4, 23.0, 5.0, CAPITAL)]
-SWEEP = [
-    (100 * r + 10 * i + j, rule, n, cost, 5.0, CAPITAL)
-    for r, rule in enumerate(("low_price", "volume", "high_price"), 1)
-    for i, n in enumerate((2, 4, 6))
-    for j, cost in enumerate((0.0, 23.0, 95.0))
-]
 _SCHEMA = "strategy_id long, rule string, positions int, cost_bps double, slippage_bps double, capital double"
 
 
@@ -126,8 +120,72 @@ class Run:
         return bt.equity_curve(self.values, self.growth, self.strategies, START, END)
 
 
+_DEF_CLOSE, _DEF_VOLUME = "k % 4 * 0.01", "k % 3 * 4000"
+_DEFINITIONS = [
+    "k + 1 AS strategy_id", "CASE k % 3 WHEN 0 THEN 'Monthly' WHEN 1 THEN 'Quarterly' ELSE 'Annual' END AS frequency",
+    "CASE k % 2 WHEN 0 THEN DATE '1998-01-02' ELSE DATE '1998-03-31' END AS start_date",
+    "CASE k % 5 WHEN 0 THEN DATE '2000-12-29' ELSE DATE '2001-06-30' END AS end_date",
+    "CASE k % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 23.0 ELSE 95.0 END AS cost_bps", "2 + k % 5 AS positions", "k",
+]
+
+
+class Defined(Run):
+    """A run over the bars of every supplier, with a definition for each nation: criteria, dates, frequency, positions and costs of its own."""
+
+    def __init__(self, spark, sf):
+        self.fx = Fixtures(spark, sf)
+        self.carry = bt.MAX_CARRY_DAYS
+        rows = self.fx.table("nation").selectExpr("CAST(n_nationkey AS BIGINT) AS k").selectExpr(*_DEFINITIONS)
+        one = "{\"kind\":\"comparison\",\"field\":\"%s\",\"operator\":\"GreaterThan\",\"value\":"
+        text = F.concat(
+            F.lit("{\"root\":{\"kind\":\"group\",\"op\":\"And\",\"children\":[" + one % "ClosePrice"), F.expr(f"CAST({_DEF_CLOSE} AS STRING)"),
+            F.lit("}," + one % "Volume"), F.expr(f"CAST({_DEF_VOLUME} AS STRING)"),
+            F.lit("}]},\"sort\":{\"field\":\""), F.expr("CASE k % 4 WHEN 0 THEN 'Volume' ELSE 'ClosePrice' END"),
+            F.lit("\",\"direction\":\""), F.expr("CASE k % 4 WHEN 1 THEN 'Asc' ELSE 'Desc' END"), F.lit("\"}}"))
+        rows = rows.withColumn("criteria_json", text).withColumn("criteria_key", F.sha2("criteria_json", 256))
+        self.strategies = stored(rows.select(
+            "strategy_id", "frequency", "start_date", "end_date", "criteria_key", "criteria_json", F.col("positions").cast("int").alias("positions"),
+            F.col("cost_bps").cast("double").alias("cost_bps"), F.lit(5.0).alias("slippage_bps"), F.lit(CAPITAL).alias("capital"),
+            definitions.rebalances_per_year().alias("per_year")), "definitions")
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return stored(self.fx.bars, "bars")
+
+    @cached_property
+    def own_legs(self) -> DataFrame:
+        return stored(definitions.legs(self.strategies, self.fx._snapshots(self.bars), self.days), "own-legs")
+
+    @cached_property
+    def legs(self) -> DataFrame:
+        return stored(self.own_legs.groupBy("rebalance_no", "as_of_date", "execution_date", "period_end").agg(
+            F.min("signal_date").alias("signal_date")), "legs")
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        own = self.strategies.select(F.col("criteria_key").alias("strategy_id"), "criteria_json").distinct()
+        criteria = stored(concepts.parsed_criteria(own).withColumnRenamed("strategy_id", "criteria_key"), "criteria")
+        return stored(definitions.signals(self.strategies, criteria, self.own_legs, self.bars, ["ClosePrice", "Volume"]), "signals")
+
+    @cached_property
+    def fills(self) -> DataFrame:
+        return definitions.fills(self.signals, self.legs, self.bars)
+
+    @cached_property
+    def securities(self) -> DataFrame:
+        """Every twentieth supplier that stops has gone bankrupt."""
+        known = self.bars.select("security_id").distinct().withColumn("is_active", F.lit(True))
+        reason = F.when(F.col("delisted_date").isNotNull() & (F.col("security_id") % 20 == 3), "Bankruptcy").otherwise(F.col("delisting_reason"))
+        return identity.detect_delistings(known, self.bars).withColumn("delisting_reason", reason)
+
+    @cached_property
+    def curve(self) -> DataFrame:
+        return bt.equity_curve(self.values, self.growth, self.strategies)
+
+
 def q_signals(spark, sf):
-    return Run(spark, sf).signals
+    """Each definition's own screen at each of its own rebalances."""
+    return Defined(spark, sf).signals
 
 
 def q_fills(spark, sf):
@@ -146,8 +204,8 @@ def q_dividends(spark, sf):
     return _days(spark, sf, half_up("dividends", 4).alias("dividends"))
 
 
-def _exits(spark, sf, reason, carry=bt.MAX_CARRY_DAYS):
-    rows = Run(spark, sf, carry=carry).holding_days.filter((F.col("exit_reason") == reason) & (F.col("exit_date") == F.col("date")))
+def _exits(spark, sf, reason):
+    rows = Defined(spark, sf).holding_days.filter((F.col("exit_reason") == reason) & (F.col("exit_date") == F.col("date")))
     return rows.select("rebalance_no", "security_id", "exit_date", half_up("growth", 4).alias("exit_growth"))
 
 
@@ -156,8 +214,7 @@ def q_delist_exit(spark, sf):
 
 
 def q_missing_exit(spark, sf):
-    """With a cap of two carried days, so that near-daily bars exercise it too."""
-    return _exits(spark, sf, "missing", 2)
+    return _exits(spark, sf, "missing")
 
 
 def q_carry_forward_cap(spark, sf):
@@ -205,8 +262,8 @@ def q_rebalance_log(spark, sf):
 METRIC_COLUMNS = ["cagr_net", "cagr_gross", "max_drawdown", "sharpe", "sortino", "win_rate", "annual_turnover"]
 
 
-def _metrics(run: Run) -> DataFrame:
-    out = metrics.summary(run.curve, run.values, metrics.REBALANCES_PER_YEAR["Quarterly"])
+def _metrics(run: Run, per_year: int | str = metrics.REBALANCES_PER_YEAR["Quarterly"]) -> DataFrame:
+    out = metrics.summary(run.curve, run.values, per_year)
     return out.select(
         "strategy_id", *[half_up(c, 4).alias(c) for c in METRIC_COLUMNS], half_up("total_costs", 2).alias("total_costs")
     )
@@ -217,8 +274,11 @@ def q_metrics(spark, sf):
 
 
 def q_sweep(spark, sf):
-    """Every rule x size x cost in one job; the growth of a holding is shared by all of them."""
-    return _metrics(Run(spark, sf, SWEEP))
+    """Monthly, quarterly and annual definitions with their own criteria in one job; the growth of a holding is shared by all of them."""
+    run = Defined(spark, sf)
+    # A day on which nothing moves must not count as a gain for a last bit of its sum.
+    run.curve = run.curve.withColumns({c: half_up(c, 6) for c in ("nav", "gross_nav")})
+    return _metrics(run, "per_year")
 
 
 def q_benchmark(spark, sf):
@@ -385,6 +445,48 @@ def v(body: str, rows=STRATEGIES, carry: int = 5) -> str:
     return with_views(body, **_stages(rows, carry))
 
 
+def _of_suppliers(text: str) -> str:
+    return (text.replace("fx_bars_dense", "fx_bars").replace("fx_snapshots_dense", "fx_snapshots").replace("fx_actions_dense", "fx_actions")
+            .replace("fx_traded", "fx_own_traded").replace("fx_factors_traded", "fx_own_factors"))
+
+
+_DAYS = "CAST({} - DATE '1970-01-01' AS BIGINT)"
+
+
+def defined(body: str) -> str:
+    """The stages for definitions with their own dates, over the bars of every supplier."""
+    stages = {k: _of_suppliers(text) for k, text in _stages(STRATEGIES).items()}
+    stages |= {
+        "fx_own_traded": _of_suppliers(VIEWS["fx_traded"]), "fx_own_actions": actions_view("fx_own_traded"),
+        "fx_own_factors": factors_view("fx_own_actions", "fx_own_traded"),
+        "bt_str": f"SELECT *, 5.0::DOUBLE AS slippage_bps, {CAPITAL}::DOUBLE AS capital, CASE frequency WHEN 'Monthly' THEN 12 WHEN 'Quarterly' THEN 4 ELSE 1 END AS per_year "
+                  f"FROM (SELECT {', '.join(_DEFINITIONS)} FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation) a) b",
+        "bt_dates": "SELECT strategy_id, start_date AS d, 12 // per_year AS months, end_date FROM bt_str UNION ALL "
+                    "SELECT strategy_id, CAST(d + to_months(months) AS DATE), months, end_date FROM bt_dates WHERE CAST(d + to_months(months) AS DATE) <= end_date",
+        "bt_own": f"""
+SELECT *, {_DAYS.format('as_of_date')} * 100000 + {_DAYS.format('period_end')} AS rebalance_no FROM (
+  SELECT r.strategy_id, s.as_of_date, (SELECT min(date) FROM bt_day b WHERE b.date > s.as_of_date) AS execution_date, r.period_end, r.end_date
+  FROM (SELECT *, coalesce(lead(d) OVER (PARTITION BY strategy_id ORDER BY d), end_date) AS period_end FROM bt_dates) r
+  ASOF JOIN (SELECT * FROM fx_snapshots WHERE sealed_at IS NOT NULL) s ON r.d >= s.as_of_date) t WHERE execution_date <= end_date""",
+        "bt_leg": "SELECT DISTINCT rebalance_no, as_of_date, execution_date, period_end FROM bt_own",
+        "bt_asof": "SELECT x.as_of_date, s.security_id, b.close, b.volume FROM (SELECT DISTINCT as_of_date FROM bt_leg) x "
+                   "CROSS JOIN (SELECT DISTINCT security_id FROM fx_bars) s ASOF JOIN fx_own_traded b ON b.security_id = s.security_id AND x.as_of_date >= b.date",
+        "bt_sig": f"""
+SELECT o.strategy_id, o.rebalance_no, p.security_id, row_number() OVER (PARTITION BY o.strategy_id, o.rebalance_no ORDER BY
+  CASE k % 4 WHEN 0 THEN -p.volume WHEN 1 THEN p.close ELSE -p.close END, p.security_id) AS rank
+FROM bt_own o JOIN bt_str t USING (strategy_id) JOIN bt_asof p USING (as_of_date)
+WHERE p.close > {_DEF_CLOSE} AND p.volume > {_DEF_VOLUME} QUALIFY rank <= positions""",
+    }
+    stages["bt_held"] = stages["bt_held"].replace(
+        "share_factor * price + dividends AS worth", "CASE WHEN date = delisted_date AND security_id % 20 = 3 THEN 0 ELSE share_factor * price END + dividends AS worth")
+    stages["bt_pts"] = stages["bt_pts"].replace(f"DATE '{START}'", "start_date")
+    stages["bt_crv"] = """
+SELECT *, nav + cum_costs AS gross_nav FROM (
+  SELECT strategy_id, date, nav, cum_costs FROM bt_pts
+  UNION ALL SELECT strategy_id, end_date, max_by(nav, date), max_by(cum_costs, date) FROM bt_pts JOIN bt_str USING (strategy_id) GROUP BY 1, 2 HAVING max(date) < end_date) q"""
+    return with_views(body, **stages).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _ratio(b: str, e: str, d: str) -> str:
     return f"CASE WHEN {b} <= 0 OR {d} <= 0 THEN 0 WHEN {e} / {b} <= 0 THEN -1 ELSE pow({e} / {b}, 365.0::DOUBLE / {d}) - 1 END"
 
@@ -401,15 +503,14 @@ def _with_ret(src: str, key: str, value: str) -> str:
     return f"(SELECT *, CASE WHEN {p} = 0 THEN 0 ELSE {value} / {p} - 1 END AS ret, CASE WHEN {peak} > 0 THEN {value} / {peak} - 1 END AS dd FROM {src}) r"
 
 
-def _metrics_sql(rows) -> str:
+def _metrics_sql(views, per_year: str, curve: str = "bt_crv") -> str:
     net = _ratio("min_by(nav, date)", "max_by(nav, date)", "(max(date) - min(date))")
     gross = _ratio("min_by(gross_nav, date)", "max_by(gross_nav, date)", "(max(date) - min(date))")
-    return v(
+    return views(
         f"SELECT m.strategy_id, {rounded(*METRIC_COLUMNS, digits=4)}, {rnd('total_costs', 2)} AS total_costs FROM ("
         f"SELECT strategy_id, {net} AS cagr_net, {gross} AS cagr_gross, least(0, min(dd)) AS max_drawdown, {_SHARPE} AS sharpe, "
-        f"{_SORTINO} AS sortino, {_WIN} AS win_rate FROM {_with_ret('bt_crv', 'strategy_id', 'nav')} GROUP BY 1) m "
-        "LEFT JOIN (SELECT strategy_id, avg(turnover) * 4 AS annual_turnover, sum(costs) AS total_costs FROM bt_val GROUP BY 1) t USING (strategy_id)",
-        rows,
+        f"{_SORTINO} AS sortino, {_WIN} AS win_rate FROM {_with_ret(curve, 'strategy_id', 'nav')} GROUP BY 1) m "
+        f"LEFT JOIN (SELECT strategy_id, avg(turnover) * {per_year} AS annual_turnover, sum(costs) AS total_costs FROM bt_val JOIN bt_str USING (strategy_id) GROUP BY 1) t USING (strategy_id)",
     )
 
 
@@ -426,12 +527,12 @@ _BENCH = v(
 _EXIT = "SELECT rebalance_no, security_id, exit_date, " + rnd("growth", 4) + " AS exit_growth FROM bt_hd WHERE exit_date = date AND exit_reason = '{}'"
 
 ORACLES = {
-    "bt_signals": v("SELECT * FROM bt_sig"),
+    "bt_signals": defined("SELECT * FROM bt_sig"),
     "bt_fills": v("SELECT strategy_id, rebalance_no, security_id, weight, fill_date, " + rnd("fill_price", 8) + " AS fill_price FROM bt_tgt"),
     "bt_share_adjust": v(f"SELECT rebalance_no, security_id, date, {rnd('share_factor')} AS share_factor FROM bt_hd"),
     "bt_dividends": v(f"SELECT rebalance_no, security_id, date, {rnd('dividends', 4)} AS dividends FROM bt_hd"),
-    "bt_delist_exit": v(_EXIT.format("delisted")),
-    "bt_missing_exit": v(_EXIT.format("missing"), carry=2),
+    "bt_delist_exit": defined(_EXIT.format("delisted")),
+    "bt_missing_exit": defined(_EXIT.format("missing")),
     "carry_forward_cap": v("SELECT rebalance_no, security_id, date, " + rnd("price", 8) + " AS price, gap, gap > 5 AS forced_out FROM bt_hd"),
     "holding_growth": v(f"SELECT rebalance_no, security_id, max(date) AS date, {rnd('max_by(growth, date)', 4)} AS growth FROM bt_hd GROUP BY 1, 2"),
     "bt_trades": v(
@@ -449,8 +550,8 @@ ORACLES = {
         "SELECT strategy_id, rebalance_no, count(*) AS n, sum(weight) AS inv, concat('[', string_agg(concat('{\"security_id\":', security_id, "
         "',\"fill_date\":\"', strftime(fill_date, '%Y-%m-%d'), '\"}'), ',' ORDER BY security_id), ']') AS js FROM bt_tgt WHERE weight > 0 GROUP BY 1, 2) h "
         "USING (strategy_id, rebalance_no)"),
-    "bt_metrics": _metrics_sql(STRATEGIES),
-    "bt_sweep": _metrics_sql(SWEEP),
+    "bt_metrics": _metrics_sql(v, "4"),
+    "bt_sweep": _metrics_sql(defined, "max(per_year)", f"(SELECT strategy_id, date, {rounded('nav', 'gross_nav')} FROM bt_crv)"),
     "bt_benchmark": _BENCH,
     "rebase_benchmark": _BENCH,
     "cagr": _sec(_ratio("min_by(close, date)", "max_by(close, date)", "(max(date) - min(date))"), "cagr"),

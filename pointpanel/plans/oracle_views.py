@@ -68,6 +68,16 @@ FROM (SELECT *, TRY_CAST(regexp_extract(raw_description, 'ratio of 1 : ([0-9]+)'
       FROM {actions}) a
 ASOF LEFT JOIN {bars} c ON a.security_id = c.security_id AND a.effective_date > c.date"""
 
+
+
+def actions_view(bars: str) -> str:
+    return _ACTIONS.format(bars=bars)
+
+
+def factors_view(actions: str, bars: str) -> str:
+    return _FACTORS.format(actions=actions, bars=bars)
+
+
 VIEWS: dict[str, str] = {
     "fx_bars": _BARS.format(key="l_suppkey", stop="sid % 10 = 3"),
     "fx_bars_dense": _BARS.format(key="(l_suppkey % 10 + 1)", stop="sid = 3"),

@@ -127,13 +127,12 @@ def q_factor_product(spark, sf):
 
 def q_actions_sharing_date(spark, sf):
     fx = Fixtures(spark, sf).with_stored_bars()
-    checks = act.reconcile(factors(fx), fx.bars.withColumn("adj_close", F.col("close")))
-    return checks.select("security_id", "effective_date", "action_type", "actions_sharing_date")
+    return act.reconcile(fx.actions, fx.bars).select("security_id", "effective_date", "action_type", "actions_sharing_date")
 
 
 def q_action_reconcile(spark, sf):
     fx = Fixtures(spark, sf).with_stored_bars()
-    return act.reconcile(factors(fx), adjusted(fx))
+    return act.reconcile(fx.actions, fx.bars)
 
 
 def q_reconcile_report(spark, sf):
