@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointpanel.operators.asof import asof_join
+
 # Fixed values.
 EQUITY_SERIES = ["EQ", "BE"]
 LOCK_MOVE = 0.019
@@ -67,38 +69,72 @@ def upgrade_synthetic_ids(securities: DataFrame, learned: DataFrame) -> DataFram
     ).drop("learned_isin")
 
 
-def reconcile_securities(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The securities table after one file: matched by id, else by ticker, else inserted.
+# --- identity over time -----------------------------------------------------------------------------------------------
+
+
+def _islands(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, valid_from, valid_to, before): runs of equal values over the dates of each key; the last one is open."""
+    w = Window.partitionBy(key).orderBy("date")
+    first = rows.withColumn("before", F.lag(value).over(w)).where(F.col("before").isNull() | (F.col("before") != F.col(value)))
+    return first.select(key, value, F.col("date").alias("valid_from"), F.date_sub(F.lead("date").over(w), 1).alias("valid_to"), "before")
+
+
+def symbol_intervals(rows: DataFrame) -> DataFrame:
+    """(symbol, isin, valid_from, valid_to): who held a symbol when, from the rows (symbol, isin, date) that bear an identifier. A symbol that
+    another company takes over has an interval for each."""
+    known = rows.where("isin != ''").groupBy("symbol", "date").agg(F.max("isin").alias("isin"))
+    return _islands(known, "symbol", "isin").drop("before")
+
+
+def resolve_over_time(rows: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Adds ``provider_id``: the row's own identifier, else that of the holder of its symbol on its date, else of the first holder, else a
+    placeholder."""
+    held = asof_join(rows, intervals, "date", "valid_from", {"isin": "_held"}, key="symbol")
+    first = intervals.groupBy("symbol").agg(F.min_by("isin", "valid_from").alias("_first"))
+    own = F.when(F.col("isin") != "", F.col("isin"))
+    return held.join(first, "symbol", "left").withColumn(
+        "provider_id", F.coalesce(own, "_held", "_first", F.concat(F.lit(SYNTHETIC_PREFIX), F.col("symbol")))).drop("_held", "_first")
+
+
+def ticker_history(resolved: DataFrame) -> DataFrame:
+    """(provider_id, symbol, valid_from, valid_to, before): the symbols of each company over time; ``before`` is the one it gave up."""
+    daily = resolved.groupBy("provider_id", "date").agg(F.max("symbol").alias("symbol"))
+    return _islands(daily, "provider_id", "symbol")
+
+
+def reconcile_securities(existing: DataFrame, resolved: DataFrame, intervals: DataFrame) -> DataFrame:
+    """The securities table after rows (symbol, date, provider_id): matched by id, a placeholder by the first holder of its ticker, else inserted.
 
-    ``existing``: provider_id, ticker, name, exchange, is_active; ``incoming``: provider_id, symbol (one row per id).
-    Both sides are unique on their keys, so no join multiplies rows.
+    ``existing``: provider_id, ticker, name, exchange, is_active, delisted_date, delisting_reason. Companies that used one ticker at different
+    times stay apart. One seen after its delisting is active again, and its delisting is cleared. Of several rows that turn out to be one company
+    the one with a real id is kept up, the others stay untouched.
     """
-    by_id = existing.select("provider_id", F.col("provider_id").alias("m_id"), F.col("ticker").alias("m_ticker"))
-    by_ticker = existing.select(F.col("ticker").alias("symbol"), F.col("provider_id").alias("t_id"))
-    matched = incoming.join(by_id, "provider_id", "left").join(by_ticker, "symbol", "left").select(
-        "provider_id", "symbol", F.coalesce("m_id", "t_id").alias("target_id")
-    )
-    inserts = matched.filter(F.col("target_id").isNull()).select(
-        "provider_id", F.col("symbol").alias("ticker"), F.col("symbol").alias("name"),
-        F.lit(HOME_EXCHANGE).alias("exchange"), F.lit(True).alias("is_active"), F.lit("inserted").alias("change"),
-    )
-    # an id match outranks a ticker match when two rows of a file point at the same security
-    seen = matched.filter(F.col("target_id").isNotNull()).groupBy("target_id").agg(
-        F.min_by("symbol", F.struct((F.col("provider_id") != F.col("target_id")), F.col("symbol"))).alias("symbol")
-    )
-    kept = existing.join(seen, F.col("provider_id") == F.col("target_id"), "left").select(
-        "provider_id",
-        F.coalesce("symbol", "ticker").alias("ticker"),
-        "name",
-        "exchange",
-        (F.col("is_active") | F.col("symbol").isNotNull()).alias("is_active"),
-        F.when(F.col("symbol").isNull(), "untouched")
-        .when(F.col("symbol") != F.col("ticker"), "renamed")
-        .when(~F.col("is_active"), "reactivated")
-        .otherwise("seen")
-        .alias("change"),
+    first = intervals.groupBy(F.col("symbol").alias("ticker")).agg(F.min_by("isin", "valid_from").alias("_first"))
+    synthetic = F.col("provider_id").startswith(SYNTHETIC_PREFIX)
+    known = existing.join(first, "ticker", "left").withColumn("_id", F.coalesce(F.when(synthetic, F.col("_first")), F.col("provider_id")))
+    best = Window.partitionBy("_id").orderBy(synthetic.cast("int"), "provider_id")
+    known = known.withColumn("_id", F.when(F.row_number().over(best) == 1, F.col("_id")).otherwise(F.concat(F.lit("="), "provider_id")))
+    seen = resolved.groupBy(F.col("provider_id").alias("_id")).agg(F.max_by("symbol", "date").alias("_symbol"), F.max("date").alias("_last"))
+    both = known.join(seen, "_id", "full_outer")
+    new, gone = F.col("provider_id").isNull(), F.col("_symbol").isNull()
+    back = ~gone & ~F.col("is_active") & (F.col("_last") > F.coalesce("delisted_date", F.lit("0001-01-01").cast("date")))
+    change = (
+        F.when(new, "inserted").when(gone, "untouched").when(back, "reactivated").when(F.col("_symbol") != F.col("ticker"), "renamed")
+        .when(synthetic & (F.col("_id") != F.col("provider_id")), "identified").otherwise("seen")
     )
-    return kept.unionByName(inserts)
+    cleared = lambda c: F.when(~new & ~F.coalesce(back, F.lit(False)), F.col(c))
+    return both.select(
+        F.when(gone, F.col("provider_id")).otherwise(F.col("_id")).alias("provider_id"), F.coalesce("_symbol", "ticker").alias("ticker"),
+        F.coalesce("name", "_symbol").alias("name"), F.coalesce("exchange", F.lit(HOME_EXCHANGE)).alias("exchange"),
+        (new | F.coalesce(back, F.lit(False)) | F.coalesce("is_active", F.lit(True))).alias("is_active"),
+        cleared("delisted_date").alias("delisted_date"), cleared("delisting_reason").alias("delisting_reason"), change.alias("change"))
+
+
+def ticker_change_rows(history: DataFrame) -> DataFrame:
+    """The corporate actions of companies that changed their symbol."""
+    return history.where(F.col("before").isNotNull()).select(
+        "provider_id", F.col("valid_from").alias("effective_date"), F.lit("TickerChange").alias("action_type"), F.col("symbol").alias("new_ticker"),
+        F.concat(F.lit("Symbol changed from "), "before", F.lit(" to "), "symbol").alias("raw_description"))
 
 
 def detect_delistings(securities: DataFrame, bars: DataFrame, gap_days: int = DELISTING_GAP_DAYS) -> DataFrame:

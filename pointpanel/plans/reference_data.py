@@ -14,6 +14,7 @@ from pointpanel.operators import backtest, calendar, identity, quality
 from pointpanel.operators.asof import asof_join, latest_as_of
 from pointpanel.plans import screens
 from pointpanel.plans.oracle_views import rnd, with_views
+from pointpanel.session import stored
 
 D = "2000-03-01"
 
@@ -57,19 +58,31 @@ def known_securities(fx: Fixtures) -> DataFrame:
     )
 
 
-def incoming_file(fx: Fixtures) -> DataFrame:
-    """Each security's last symbol row before mid-2001, under the id a file of that day gives."""
-    last = latest_as_of(fx.symbols, "2001-06-30", ["symbol"])
-    return last.select(
-        F.when(F.col("security_id") % 3 == 0, F.concat(F.lit("NSE:"), F.col("symbol")))
-        .otherwise(F.concat(F.lit("INE"), F.col("security_id").cast("string"))).alias("provider_id"),
-        "symbol",
-    )
+def _reused(text: str) -> tuple[str, str]:
+    """Symbols and identifiers with takeovers: every fifth company leaves its symbol, and a year later its neighbour takes it."""
+    s = f"CAST({{}} AS {text})"
+    taken = "security_id % 5 = 1 AND date >= DATE '2000-01-01'"
+    symbol = (f"CASE WHEN security_id % 5 = 0 AND date >= DATE '1999-01-01' THEN concat('N', {s.format('security_id')}) "
+              f"WHEN {taken} THEN concat('S', {s.format('security_id - 1')}) ELSE concat('S', {s.format('security_id')}) END AS symbol")
+    isin = (f"CASE WHEN date < DATE '1998-01-01' OR ({taken} AND day(date) <= 15) THEN concat('INE', {s.format('security_id')}) ELSE '' END AS isin")
+    return symbol, isin
 
 
 def q_security_reconcile(spark, sf):
+    """Securities and TickerChange rows after all daily files, with symbols that other companies take over and delistings that end."""
     fx = Fixtures(spark, sf)
-    return identity.reconcile_securities(known_securities(fx), incoming_file(fx))
+    rows = stored(fx.bars.selectExpr("date", *_reused("STRING")), "symbols")
+    intervals = stored(identity.symbol_intervals(rows), "intervals")
+    resolved = stored(identity.resolve_over_time(rows, intervals).select("provider_id", "symbol", "date"), "resolved")
+    k = F.substring_index("ticker", "S", -1).cast("int")
+    gone = ~F.col("is_active")
+    known = known_securities(fx).withColumns({
+        "delisted_date": F.when(gone, F.when(k % 20 == 3, _date("1997-06-30")).otherwise(_date("2000-06-30"))),
+        "delisting_reason": F.when(gone, F.lit("Unknown"))})
+    securities = identity.reconcile_securities(known, resolved, intervals)
+    actions = identity.ticker_change_rows(identity.ticker_history(resolved))
+    return securities.withColumn("kind", F.lit("security")).unionByName(
+        actions.withColumn("kind", F.lit("action")), allowMissingColumns=True)
 
 
 def q_ticker_change_events(spark, sf):
@@ -359,12 +372,6 @@ _KNOWN = """
 SELECT concat(CASE WHEN s_suppkey % 4 = 1 THEN 'NSE:S' ELSE 'INE' END, CAST(s_suppkey AS VARCHAR)) AS provider_id,
        concat('S', CAST(s_suppkey AS VARCHAR)) AS ticker, s_name AS name, 'NSE' AS exchange, s_suppkey % 10 <> 3 AS is_active
 FROM supplier WHERE s_suppkey % 4 <> 2"""
-_INCOMING = """
-SELECT CASE WHEN security_id % 3 = 0 THEN concat('NSE:', symbol) ELSE concat('INE', CAST(security_id AS VARCHAR)) END AS provider_id, symbol
-FROM (SELECT security_id, max_by(symbol, date) AS symbol FROM fx_symbols WHERE date <= DATE '2001-06-30' GROUP BY 1) t"""
-_MATCH = """
-SELECT i.*, coalesce(a.provider_id, b.provider_id) AS target FROM fx_incoming i
-LEFT JOIN fx_known a ON a.provider_id = i.provider_id LEFT JOIN fx_known b ON b.ticker = i.symbol"""
 _DETECTED = """
 SELECT s.*  EXCLUDE (is_active), NOT coalesce(l.d < m.d - 60, false) AS is_active, CASE WHEN l.d < m.d - 60 THEN l.d END AS delisted_date,
        CASE WHEN l.d < m.d - 60 THEN 'Unknown' END AS delisting_reason
@@ -374,7 +381,7 @@ _TRADEABLE = f"""
 SELECT security_id, is_active, delisted_date FROM fx_detected WHERE (is_active OR delisted_date > DATE '{D}')
 AND security_id IN (SELECT security_id FROM fx_bars WHERE date <= DATE '{D}')"""
 X = {
-    **screens.X, "fx_learned": _LEARN, "fx_known": _KNOWN, "fx_incoming": _INCOMING, "fx_match": _MATCH,
+    **screens.X, "fx_learned": _LEARN, "fx_known": _KNOWN,
     "fx_detected": _DETECTED, "fx_tradeable": _TRADEABLE,
     "fx_orphan": f"""
 SELECT security_id, ticker FROM fx_securities s WHERE NOT EXISTS (SELECT 1 FROM fx_bars b WHERE b.security_id = s.security_id AND b.date >= DATE '{RETAIN_FROM}')
@@ -383,8 +390,8 @@ AND NOT EXISTS (SELECT 1 FROM fx_actions a WHERE a.security_id = s.security_id A
 }
 
 
-def v(body: str) -> str:
-    return with_views(body, **X)
+def v(body: str, **more: str) -> str:
+    return with_views(body, **X, **more)
 
 
 _A = "SELECT security_id, effective_date, action_type, "
@@ -398,10 +405,27 @@ ORACLES = {
     "identity_resolve": v("SELECT s.security_id, s.date, s.symbol, coalesce(nullif(s.isin, ''), l.learned_isin, 'NSE:' || s.symbol) AS provider_id "
                           "FROM fx_symbols s LEFT JOIN fx_learned l USING (symbol)"),
     "security_reconcile": v(
-        "SELECT k.provider_id, coalesce(m.symbol, k.ticker) AS ticker, k.name, k.exchange, k.is_active OR m.symbol IS NOT NULL AS is_active, "
-        "CASE WHEN m.symbol IS NULL THEN 'untouched' WHEN m.symbol <> k.ticker THEN 'renamed' WHEN NOT k.is_active THEN 'reactivated' ELSE 'seen' END AS change "
-        "FROM fx_known k LEFT JOIN (SELECT * FROM fx_match QUALIFY row_number() OVER (PARTITION BY target ORDER BY provider_id <> target, symbol) = 1) m "
-        "ON m.target = k.provider_id UNION ALL SELECT provider_id, symbol, symbol, 'NSE', true, 'inserted' FROM fx_match WHERE target IS NULL"),
+        "SELECT 'security' AS kind, provider_id, ticker, name, exchange, is_active, delisted_date, delisting_reason, change, CAST(NULL AS DATE) AS effective_date, "
+        "CAST(NULL AS VARCHAR) AS action_type, CAST(NULL AS VARCHAR) AS new_ticker, CAST(NULL AS VARCHAR) AS raw_description FROM ("
+        "SELECT CASE WHEN s.id IS NULL THEN k.provider_id ELSE s.id END AS provider_id, coalesce(s.symbol, k.ticker) AS ticker, coalesce(k.name, s.symbol) AS name, "
+        "coalesce(k.exchange, 'NSE') AS exchange, k.id IS NULL OR k.is_active OR (s.id IS NOT NULL AND s.last > k.delisted_date) AS is_active, "
+        "CASE WHEN s.id IS NULL OR k.is_active OR s.last <= k.delisted_date THEN k.delisted_date END AS delisted_date, "
+        "CASE WHEN s.id IS NULL OR k.is_active OR s.last <= k.delisted_date THEN k.delisting_reason END AS delisting_reason, "
+        "CASE WHEN k.id IS NULL THEN 'inserted' WHEN s.id IS NULL THEN 'untouched' WHEN NOT k.is_active AND s.last > k.delisted_date THEN 'reactivated' "
+        "WHEN s.symbol <> k.ticker THEN 'renamed' WHEN k.provider_id LIKE 'NSE:%' AND k.id <> k.provider_id THEN 'identified' ELSE 'seen' END AS change "
+        "FROM fx_known_ids k FULL OUTER JOIN (SELECT provider_id AS id, max_by(symbol, date) AS symbol, max(date) AS last FROM fx_over_time GROUP BY 1) s ON s.id = k.id) t "
+        "UNION ALL SELECT 'action', provider_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, date, 'TickerChange', symbol, concat('Symbol changed from ', p, ' to ', symbol) FROM ("
+        "SELECT *, lag(symbol) OVER (PARTITION BY provider_id ORDER BY date) AS p FROM (SELECT provider_id, date, max(symbol) AS symbol FROM fx_over_time GROUP BY 1, 2) d) e "
+        "WHERE p <> symbol",
+        fx_reused=f"SELECT date, {', '.join(_reused('VARCHAR'))} FROM fx_bars",
+        fx_held="SELECT symbol, isin, date FROM (SELECT *, lag(isin) OVER (PARTITION BY symbol ORDER BY date) AS p FROM ("
+                "SELECT symbol, date, max(isin) AS isin FROM fx_reused WHERE isin <> '' GROUP BY 1, 2) a) b WHERE p IS NULL OR p <> isin",
+        fx_over_time="SELECT r.symbol, r.date, coalesce(nullif(r.isin, ''), h.isin, f.isin, concat('NSE:', r.symbol)) AS provider_id FROM fx_reused r "
+                     "ASOF LEFT JOIN fx_held h ON h.symbol = r.symbol AND r.date >= h.date LEFT JOIN (SELECT symbol, min_by(isin, date) AS isin FROM fx_held GROUP BY 1) f ON f.symbol = r.symbol",
+        fx_known_ids="SELECT k.*, CASE WHEN k.provider_id LIKE 'NSE:%' THEN coalesce(f.isin, k.provider_id) ELSE k.provider_id END AS id, "
+                     "CASE WHEN NOT is_active THEN CASE WHEN CAST(substr(ticker, 2) AS INT) % 20 = 3 THEN DATE '1997-06-30' ELSE DATE '2000-06-30' END END AS delisted_date, "
+                     "CASE WHEN NOT is_active THEN 'Unknown' END AS delisting_reason "
+                     "FROM fx_known k LEFT JOIN (SELECT symbol, min_by(isin, date) AS isin FROM fx_held GROUP BY 1) f ON f.symbol = k.ticker"),
     "ticker_change_events": v(
         "SELECT security_id, date AS effective_date, 'TickerChange' AS action_type, symbol AS new_ticker, "
         "concat('Symbol changed from ', p, ' to ', symbol) AS raw_description FROM (SELECT *, lag(symbol) OVER (PARTITION BY security_id ORDER BY date) AS p "

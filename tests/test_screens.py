@@ -179,9 +179,27 @@ def test_lock_needs_one_price_and_a_move(spark):
     assert [r.is_circuit_locked for r in df.orderBy("date").collect()] == [False, False, True, False]
 
 
-def test_relisted_and_renamed_securities(spark):
-    old = spark.createDataFrame([("INE1", "AAA", "A", "NSE", True), ("NSE:BBB", "BBB", "B", "NSE", False), ("INE3", "CCC", "C", "NSE", True)],
-                                "provider_id string, ticker string, name string, exchange string, is_active boolean")
-    new = spark.createDataFrame([("INE1", "AAX"), ("INE2", "BBB"), ("INE4", "DDD")], "provider_id string, symbol string")
-    got = {r.provider_id: (r.ticker, r.is_active, r.change) for r in identity.reconcile_securities(old, new).collect()}
-    assert got == {"INE1": ("AAX", True, "renamed"), "NSE:BBB": ("BBB", True, "reactivated"), "INE3": ("CCC", True, "untouched"), "INE4": ("DDD", True, "inserted")}
+def test_relisted_renamed_and_reused_tickers(spark):
+    d = lambda n: dt.date(2020, 1, n)
+    rows = spark.createDataFrame([
+        (d(1), "AAA", "INE1"), (d(2), "AAA", ""), (d(3), "AAX", "INE1"), (d(4), "AAX", ""),  # renamed
+        (d(5), "AAA", "INE9"), (d(6), "AAA", ""),  # the symbol is taken over
+        (d(1), "BBB", ""), (d(2), "BBB", "INE2"), (d(3), "DDD", ""), (d(6), "EEE", "INE5"), (d(2), "FFF", "INE6"),
+    ], "date date, symbol string, isin string")
+    intervals = identity.symbol_intervals(rows)
+    assert sorted((r.symbol, r.isin, r.valid_from.day, r.valid_to and r.valid_to.day) for r in intervals.collect() if r.symbol == "AAA") == [
+        ("AAA", "INE1", 1, 4), ("AAA", "INE9", 5, None)]
+    resolved = identity.resolve_over_time(rows, intervals)
+    got = {(r.date.day, r.symbol): r.provider_id for r in resolved.collect()}
+    assert got[(2, "AAA")] == "INE1" and got[(6, "AAA")] == "INE9" and got[(1, "BBB")] == "INE2" and got[(3, "DDD")] == "NSE:DDD"
+    old = spark.createDataFrame([
+        ("INE1", "AAA", "A", "NSE", True, None, None), ("NSE:BBB", "BBB", "B", "NSE", True, None, None), ("INE3", "CCC", "C", "NSE", True, None, None),
+        ("INE5", "EEE", "E", "NSE", False, d(5), "Unknown"), ("INE6", "FFF", "F", "NSE", False, d(5), "Merger"), ("NSE:AAX", "AAX", "twin", "NSE", True, None, None),
+    ], "provider_id string, ticker string, name string, exchange string, is_active boolean, delisted_date date, delisting_reason string")
+    got = {r.provider_id: (r.ticker, r.is_active, r.delisted_date, r.change) for r in identity.reconcile_securities(old, resolved, intervals).collect()}
+    assert got == {
+        "INE1": ("AAX", True, None, "renamed"), "INE9": ("AAA", True, None, "inserted"), "INE2": ("BBB", True, None, "identified"),
+        "INE3": ("CCC", True, None, "untouched"), "NSE:DDD": ("DDD", True, None, "inserted"), "INE5": ("EEE", True, None, "reactivated"),
+        "INE6": ("FFF", False, d(5), "seen"), "NSE:AAX": ("AAX", True, None, "untouched")}
+    (change,) = identity.ticker_change_rows(identity.ticker_history(resolved)).collect()
+    assert (change.provider_id, change.effective_date, change.new_ticker) == ("INE1", d(3), "AAX")
