@@ -1,6 +1,7 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Every query runs once to warm up and then once timed, each time from the base tables to a full evaluation of all result columns.
+Every query runs once to warm up and then once timed, to a full evaluation of all result columns. All start from the base tables, but
+``screen_full`` reads the panel that its warm-up run has stored; ``indicators_all`` times the build of such a panel.
 """
 
 from __future__ import annotations
