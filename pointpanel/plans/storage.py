@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pointpanel.fixtures import Fixtures
 from pointpanel.functions.rounding import half_up
 from pointpanel.functions.vocabulary import DEFAULT_LIMIT
-from pointpanel.operators import calendar, series
+from pointpanel.operators import calendar, concepts, series
 from pointpanel.plans import screens
 from pointpanel.plans.oracle_views import rnd, with_views
 from pointpanel.session import scratch_path, stored
@@ -272,11 +272,18 @@ def q_append_run_log(spark, sf):
 
 
 def q_json_roundtrip(spark, sf):
-    e = Fixtures(spark, sf).table("events")
+    """Event properties and saved criteria, read into columns and written again."""
+    fx = Fixtures(spark, sf)
     parsed = F.from_json("props", "k long")
-    return e.select(
-        "event_id", parsed["k"].alias("k"), F.get_json_object("props", "$.k").alias("k_text"), F.to_json(parsed).alias("json")
-    )
+    events = fx.table("events").select(
+        F.lit("event").alias("kind"), F.col("event_id").alias("id"), parsed["k"].alias("k"), F.get_json_object("props", "$.k").alias("k_text"),
+        F.to_json(parsed).alias("json"))
+    c = F.from_json("criteria_json", concepts.criteria_schema())
+    children = c["root"]["children"]
+    saved = screens.strategies(fx).select(
+        F.lit("criteria").alias("kind"), F.col("strategy_id").alias("id"), F.size(children).cast("long").alias("k"), children[0]["field"].alias("k_text"),
+        F.to_json(c).alias("json"))
+    return events.unionByName(saved)
 
 
 # --- streams ---------------------------------------------------------------------------------------------------------
@@ -379,8 +386,12 @@ ORACLES = {
         "SELECT strategy_id, as_of_date, count(*) AS result_count, CASE WHEN strategy_id % 2 = 1 THEN concat('[', string_agg(concat('{\"security_id\":', security_id, '}'), ',' "
         "ORDER BY security_id) FILTER (WHERE rank <= 200), ']') END AS members_json FROM (SELECT *, row_number() OVER (PARTITION BY strategy_id, as_of_date "
         "ORDER BY security_id) AS rank FROM fx_members) t GROUP BY 1, 2"),
-    "json_roundtrip": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') AS k_text, "
-                      "concat('{\"k\":', json_extract_string(props, '$.k'), '}') AS json FROM events",
+    "json_roundtrip": v(
+        "SELECT 'event' AS kind, event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') AS k_text, "
+        "concat('{\"k\":', json_extract_string(props, '$.k'), '}') AS json FROM events UNION ALL "
+        "SELECT 'criteria', strategy_id, 2, f1, concat('{\"universe\":{},\"root\":{\"kind\":\"group\",\"op\":\"And\",\"children\":[{\"kind\":\"comparison\",\"field\":\"', f1, "
+        "'\",\"operator\":\"', o1, '\",\"value\":', CAST(CAST(v1 AS DOUBLE) AS VARCHAR), '},{\"kind\":\"comparison\",\"field\":\"', f2, "
+        "'\",\"operator\":\"GreaterThan\",\"value\":', CAST(CAST(v2 AS DOUBLE) AS VARCHAR), '}]},\"limit\":20}') FROM fx_strategies"),
     "stream_daily_bars": "SELECT user_id, CAST(ts AS DATE) AS date, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, "
                          "arg_max(value, (ts, event_id)) AS close, count(*) AS n FROM events GROUP BY 1, 2 "
                          "HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",

@@ -99,12 +99,13 @@ def q_concept_tagging(spark, sf):
 
 
 def q_eval_pass_rate(spark, sf):
-    """Tagged against intended concepts; a request holding a digit should have been asked back."""
+    """Concepts tagged in whole texts against those intended; a request whose opening line holds a digit should have been asked back."""
     p = prompts(Fixtures(spark, sf)).withColumn("head", F.split("prompt", "\n")[0])
     p = p.withColumn("head", F.when(F.col("id") % 10 == 0, F.concat("head", F.lit(" under 12"))).otherwise(F.col("head")))
     none = F.array().cast("array<string>")
+    whole = F.concat_ws("\n", "head", "text")
     cases = p.select(
-        F.array(_meant(F.col("i")), _meant(F.col("j"))).alias("expected_concepts"), concepts.tags(F.col("head")).alias("actual_concepts"),
+        F.array(_meant(F.col("i")), _meant(F.col("j"))).alias("expected_concepts"), concepts.tags(whole).alias("actual_concepts"),
         F.when(F.col("id") % 5 == 1, F.array(F.lit("PeRatio LessThan 12"))).otherwise(none).alias("expected_filters"), none.alias("actual_filters"),
         (F.col("id") % 20 == 0).alias("expect_clarification"), F.col("head").rlike(r"\d").alias("got_clarification"),
     )
@@ -206,7 +207,7 @@ ORACLES = {
     "intent_resolve_bulk": _INTENT,
     "concept_tagging": f"WITH {_PROMPT}, heads AS (SELECT *, concat(head, chr(10), text) AS t FROM prompts), {_tag_chain('t')} "
                        "SELECT DISTINCT kind, id, concept FROM (SELECT kind, id, unnest(hits) AS concept FROM tagged) u WHERE concept IS NOT NULL",
-    "eval_pass_rate": f"WITH {_PROMPT}, heads AS (SELECT *, CASE WHEN id % 10 = 0 THEN concat(head, ' under 12') ELSE head END AS t FROM prompts), {_tag_chain('t')} "
+    "eval_pass_rate": f"WITH {_PROMPT}, heads AS (SELECT *, concat(CASE WHEN id % 10 = 0 THEN concat(head, ' under 12') ELSE head END, chr(10), text) AS t FROM prompts), {_tag_chain('t')} "
                       f"SELECT count(*) AS n, {rnd(f'100 * CAST(count(*) FILTER (id % 20 = 0 OR (id % 10 <> 0 AND {_SAME})) AS DOUBLE) / count(*)', 4)} AS concept_pass_rate, "
                       f"{rnd('100 * CAST(count(*) FILTER (id % 20 = 0 OR (id % 10 <> 0 AND id % 5 <> 1)) AS DOUBLE) / count(*)', 4)} AS filter_pass_rate FROM tagged",
     "concept_conflicts": _DRAFT,

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointpanel.session import stored
 from pointpanel.sources import eod_files, sinks, snapshots
 
+KEYS = ["symbol", "date"]
 
-def ingest_batch(spark: SparkSession, lines: DataFrame, bars_path: str) -> None:
+
+def corrections_path(bars_path: str) -> str:
+    return bars_path.rstrip("/") + "-corrections"
+
+
+def ingest_batch(spark: SparkSession, lines: DataFrame, bars_path: str, manifest: str) -> None:
     """Parse and upsert on (symbol, date); a repeated batch changes nothing.
 
-    Of several files with one symbol and day, one that bears the identifier wins, then the later file name.
+    Of several files with one symbol and day, one that bears the identifier wins, then the later file name: within a batch, and against what
+    earlier batches left. A late file may correct a day that is sealed already, but not in silence: the values before and after are logged.
     """
     lines = lines.persist()
     try:
@@ -19,7 +27,20 @@ def ingest_batch(spark: SparkSession, lines: DataFrame, bars_path: str) -> None:
             raise ValueError("a daily file has an unknown layout")
         rows = eod_files.parse_eod(lines, keep=("file",))
         ranked = rows.withColumn("_seq", F.struct((F.col("isin") != "").alias("identified"), F.col("file").alias("file"))).drop("file")
-        sinks.upsert(spark, bars_path, sinks.latest_rows(ranked, ["symbol", "date"], "_seq"), ["symbol", "date"], F.year("date"))
+        load = stored(sinks.latest_rows(ranked, KEYS, "_seq"), "load")
+        if sinks._exists(spark, bars_path):
+            before = sinks.read_table(spark, bars_path).join(load.select(*KEYS), KEYS, "left_semi").select(
+                *KEYS, F.col("isin").alias("_isin"), F.col("close").alias("close_before"), F.col("volume").alias("volume_before"))
+            both = load.join(before, KEYS, "left")
+            load = stored(both.where((F.col("isin") != "") | (F.coalesce("_isin", F.lit("")) == "")), "load")
+            moved = ~F.col("close").eqNullSafe(F.col("close_before")) | ~F.col("volume").eqNullSafe(F.col("volume_before"))
+            days = snapshots.read_manifest(spark, manifest).select(F.col("as_of_date").alias("date"))
+            late = load.where(F.col("_isin").isNotNull() & moved).join(days, "date", "left_semi").select(
+                *KEYS, "close_before", "close", "volume_before", "volume", F.current_timestamp().alias("corrected_at"))
+            if not late.isEmpty():
+                sinks.append_log(late, corrections_path(bars_path))
+            load = load.drop("_isin", "close_before", "volume_before")
+        sinks.upsert(spark, bars_path, load, KEYS, F.year("date"))
     finally:
         lines.unpersist()
 
@@ -49,7 +70,7 @@ def run_ingest(spark: SparkSession, landing: str, bars_path: str, manifest: str,
     )
     query = (
         lines.writeStream.foreachBatch(
-            lambda batch, _: ingest_batch(batch.sparkSession, batch, bars_path)
+            lambda batch, _: ingest_batch(batch.sparkSession, batch, bars_path, manifest)
         )
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointpanel.sources import eod_files, provider_files, sinks, snapshots
-from pointpanel.streaming.daily_ingest import run_ingest
+from pointpanel.streaming.daily_ingest import corrections_path, run_ingest
 
 LEGACY = "SYMBOL,SERIES,OPEN,HIGH,LOW,CLOSE,LAST,PREVCLOSE,TOTTRDQTY,TOTTRDVAL,TIMESTAMP,TOTALTRADES,ISIN"
 FULL = "SYMBOL, SERIES, DATE1, PREV_CLOSE, OPEN_PRICE, HIGH_PRICE, LOW_PRICE, CLOSE_PRICE, TTL_TRD_QNTY"
@@ -61,6 +61,21 @@ def test_streamed_ingest_takes_each_file_once_and_refuses_unknown_layouts(spark,
         run_ingest(spark, str(inbox), *paths)
 
 
+def test_late_files_leave_a_trace_and_identified_rows_stay(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    paths = [str(tmp_path / x) for x in ("bars", "manifest", "checkpoint")]
+    legacy = "SYMBOL,SERIES,OPEN,HIGH,LOW,CLOSE,PREVCLOSE,TOTTRDQTY,TIMESTAMP,ISIN\n"
+    (inbox / "a.csv").write_text(legacy + "AAA,EQ,1,2,1,2,1,10,03-JAN-2020,INE1\nBBB,EQ,1,2,1,2,1,10,03-JAN-2020,\n")
+    run_ingest(spark, str(inbox), *paths)
+    (inbox / "b.csv").write_text(legacy + "AAA,EQ,1,2,1,9,1,10,03-JAN-2020,\nBBB,EQ,1,2,1,3,1,10,03-JAN-2020,INE2\n")
+    run_ingest(spark, str(inbox), *paths)
+    rows = {r.symbol: (r.close, r.isin) for r in sinks.read_table(spark, paths[0]).collect()}
+    assert rows == {"AAA": (2.0, "INE1"), "BBB": (3.0, "INE2")}
+    log = spark.read.parquet(corrections_path(paths[0])).collect()
+    assert [(r.symbol, r.close_before, r.close) for r in log] == [("BBB", 2.0, 3.0)]
+
+
 def test_a_day_over_several_batches_is_sealed_once_with_the_count_of_the_table(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
