@@ -37,15 +37,16 @@ def begin(spark: SparkSession, root: str) -> tuple[int, str]:
 
 
 def put(rows: DataFrame, root: str, folder: str, table: str, keys: list[str], month: Column, order: list[str] | None = None, yearly: bool = False) -> None:
-    """Write one table of a load, partitioned by the month of ``month`` (the first of its year if ``yearly``); of equal keys the row last in ``order`` stays (else the largest).
+    """Write one table of a load, partitioned by the month of ``month`` (the first of its year if ``yearly``); of equal keys the row last in ``order`` stays (else that of the largest hash).
     A table without rows is no part of its load."""
     if rows.isEmpty():
         return
     values = [c for c in rows.columns if c not in keys]
-    one = F.max_by(F.struct(*values), F.struct(*order)) if order else F.max(F.struct(*values))
     part = (F.year(month) * 100 + (F.lit(1) if yearly else F.month(month))).alias("_part")
-    each = rows.groupBy(*keys).agg(one.alias("_v")).select(*keys, "_v.*")
-    each.select(*rows.columns, part).repartitionByRange("_part", keys[0]).sortWithinPartitions("_part", *keys).write.partitionBy("_part").parquet(f"{root}/{folder}/{table}")
+    # Column by column, so that the aggregate stays hash-based; the rebalance makes one file of a small part and several of a large one.
+    ranked = rows.withColumn("_o", F.struct(*order) if order else F.xxhash64(*values))
+    each = ranked.groupBy(*keys).agg(*[F.max_by(c, "_o").alias(c) for c in values])
+    each.select(*rows.columns, part).hint("rebalance", "_part").sortWithinPartitions("_part", *keys).write.partitionBy("_part").parquet(f"{root}/{folder}/{table}")
 
 
 def seal(spark: SparkSession, root: str, load: int, folder: str, whole: bool = False) -> None:
@@ -64,7 +65,7 @@ def read(spark: SparkSession, root: str, table: str, keys: list[str], where: Col
     if len(some) == 1:
         return rows.drop("_load")
     values = [c for c in rows.columns if c not in (*keys, "_load")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_load").alias("_v")).select(*keys, "_v.*")
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "_load").alias(c) for c in values])
 
 
 def append(rows: DataFrame, root: str, keys: list[str], month: Column, order: list[str] | None = None, table: str = "rows", yearly: bool = False) -> None:
