@@ -23,6 +23,8 @@ from pointpanel.session import stored
 
 #: Criteria of a part on average, and the bits that number the comparisons of a list.
 PART_CRITERIA, LIST_BITS = 50_000, 22
+#: Pairs of a row and a criteria that a task of the index join makes on average.
+TASK_PAIRS = 250_000
 
 
 def satisfied(value: Column, op: Column, bound: Column) -> Column:
@@ -70,6 +72,22 @@ def _prefixes(rows: DataFrame, lists: DataFrame, parts: int) -> DataFrame:
     return found.select("_row", "part", "l.field", "l.op", p.alias("p")).where("p > 0")
 
 
+def _reached(asked: DataFrame, entries: DataFrame, block: list[str]) -> DataFrame:
+    """(row, criteria_key) of equal blocks. A block in which most rows meet many criteria is dealt over slices of its rows, and the tasks are
+    numbered by the pairs they make: their input says nothing about these, so adaptive coalescing would leave all of them to a few tasks."""
+    pairs = asked.groupBy(*block).agg(F.count("*").alias("_a")).join(entries.groupBy(*block).agg(F.count("*").alias("_e")), block)
+    pairs = stored(pairs.select(*block, (F.col("_a") * F.col("_e")).alias("_n")), "pairs")
+    tasks = (pairs.agg(F.sum("_n")).first()[0] or 0) // TASK_PAIRS + 1
+    if tasks == 1:
+        return asked.join(entries, block).select("_row", "criteria_key")
+    slices = pairs.select(*block, F.ceil(F.col("_n") / TASK_PAIRS).cast("int").alias("_of"))
+    one = F.pmod(F.xxhash64("_row"), F.col("_of")).cast("int").alias("_slice")
+    every = F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_slice")
+    keys = [*block, "_slice"]
+    rows = asked.join(slices, block).select("_row", *block, one).repartition(tasks, *keys)
+    return rows.join(entries.join(slices, block).select("criteria_key", *block, every).repartition(tasks, *keys), keys).select("_row", "criteria_key")
+
+
 def matches(frame: DataFrame, criteria: DataFrame, row: str, metrics: list[str]) -> DataFrame:
     """(criteria_key, row): the rows of ``frame`` that satisfy each criteria, universe and comparisons.
 
@@ -108,10 +126,11 @@ def matches(frame: DataFrame, criteria: DataFrame, row: str, metrics: list[str])
         "criteria_key", "part", "field", "op", "at", levels).select("criteria_key", "part", "field", "op", "level", F.expr("shiftright(at, level)").alias("block"))
     largest = lists.select(F.max(F.array_max(F.transform("lists", lambda x: F.size(x["keys"]))))).first()[0] or 0
     entries = entries.where(F.col("level") <= largest.bit_length())
-    asked = _prefixes(rows, lists, parts).select("_row", "part", "field", "op", "p", levels).where(
+    prefixes = stored(_prefixes(rows, lists, parts), "prefixes")  # read twice: the pairs of a block are counted before they are made
+    asked = prefixes.select("_row", "part", "field", "op", "p", levels).where(
         (F.col("level") <= largest.bit_length()) & (F.expr("shiftright(p, level)") % 2 == 1)).select(
         "_row", "part", "field", "op", "level", (F.expr("shiftright(p, level)") - 1).alias("block"))
-    reached = asked.join(entries, block).select("_row", "criteria_key")
+    reached = _reached(asked, entries, block)
 
     whole = reached.join(rows, "_row").join(dealt.select(
         "criteria_key", *(F.col(c).alias(f"_{c}") for c in ("exchange", "sector")), "comparisons"), "criteria_key")

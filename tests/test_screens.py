@@ -145,6 +145,21 @@ def test_index_equals_brute_force_on_many_criteria(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_index_join_is_dealt_by_the_pairs_it_makes(spark, monkeypatch):
+    """One block that 300 rows share with 200 criteria: no task makes more than a few times the stated number of pairs."""
+    from pointpanel.operators import predicate_index
+
+    block = ["part", "field", "op", "level", "block"]
+    hot = [F.lit(0).alias("part"), F.lit("Volume").alias("field"), F.lit("LessThan").alias("op"), F.lit(3).alias("level"), F.lit(0).alias("block")]
+    asked = spark.range(300).select(F.col("id").alias("_row"), *hot)
+    entries = spark.range(200).select(F.concat(F.lit("k"), "id").alias("criteria_key"), *hot)
+    monkeypatch.setattr(predicate_index, "TASK_PAIRS", 2_000)
+    found = predicate_index._reached(asked, entries, block)
+    assert found.distinct().count() == found.count() == 300 * 200
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(tasks) <= 10 * 2_000
+
+
 def test_longer_alias_consumes_its_words(spark):
     df = spark.createDataFrame([("Cheap, not OVERBOUGHT!",), ("cheapest",), ("low-debt & low   leverage",), ("low conservative balance sheet debt",)], "t string")
     got = [sorted(r.t) for r in df.select(concepts.tags(F.col("t")).alias("t")).collect()]
