@@ -11,7 +11,7 @@ import zipfile
 from functools import reduce
 from operator import and_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,34 +47,43 @@ MAX_CELLS = 64
 
 
 def _cells(line: Column) -> Column:
-    """The cells of a line without quotes and outer blanks. Only lines with a quote need the CSV reader."""
-    plain = F.transform(F.split(line, ","), lambda c: F.trim(c))
+    """The cells of a line without quotes. Only lines with a quote need the CSV reader, and only their cells come without outer blanks."""
+    plain = F.split(line, ",")
     schema = ", ".join(f"c{i} string" for i in range(MAX_CELLS))
     read = F.from_csv(line, schema, {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
     count = F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), ","))
-    quoted = F.slice(F.array(*[F.coalesce(F.trim(read[f"c{i}"]), F.lit("")) for i in range(MAX_CELLS)]), 1, F.least(count, F.lit(MAX_CELLS)))
+
+    def cut(r: Column) -> Column:
+        return F.slice(F.array(*[F.coalesce(F.trim(r[f"c{i}"]), F.lit("")) for i in range(MAX_CELLS)]), 1, F.least(count, F.lit(MAX_CELLS)))
+
+    quoted = F.get(F.transform(F.array(read), cut), 0)  # a lambda's argument is read once, not once for each cell
     return F.when(line.contains('"'), quoted).otherwise(plain)
 
 
-def headers(lines: DataFrame) -> DataFrame:
-    """(file, n, one position per field) of every file whose header is known; 0 marks a field the layout lacks."""
+def _marked(line: Column) -> Column:
+    return F.upper(line).contains("SYMBOL") | F.upper(line).contains("TCKRSYMB")
+
+
+def _layout(h: Column) -> Column:
+    """(n, one position per field) of a header's cells, null if no layout has them; 0 marks a field the layout lacks."""
     def has(layout):
-        return reduce(and_, [F.array_contains(F.col("h"), n.upper()) for n in LAYOUTS[layout] if n])
+        return reduce(and_, [F.array_contains(h, n.upper()) for n in LAYOUTS[layout] if n])
 
     def position(i):
         at = F.lit(None).cast("bigint")
         for layout in reversed(list(LAYOUTS)):
             n = LAYOUTS[layout][i]
-            at = F.when(has(layout), F.array_position("h", n.upper()) if n else F.lit(0)).otherwise(at)
+            at = F.when(has(layout), F.array_position(h, n.upper()) if n else F.lit(0)).otherwise(at)
         return at
 
-    marked = lines.filter(F.upper("value").contains("SYMBOL") | F.upper("value").contains("TCKRSYMB")).select(
-        "file", _cells(F.upper("value")).alias("h")
-    )
     known = reduce(lambda a, b: a | b, [has(x) for x in LAYOUTS])
-    rows = marked.filter(known).select(
-        "file", F.size("h").alias("n"), *[position(i).cast("int").alias(f"p_{f}") for i, f in enumerate(FIELDS)]
-    )
+    return F.when(known, F.struct(F.size(h).alias("n"), *[position(i).cast("int").alias(f"p_{f}") for i, f in enumerate(FIELDS)]))
+
+
+def headers(lines: DataFrame) -> DataFrame:
+    """(file, n, one position per field) of every file whose header is known; 0 marks a field the layout lacks."""
+    marked = lines.filter(_marked(F.col("value"))).select("file", F.transform(_cells(F.upper("value")), lambda c: F.trim(c)).alias("h"))
+    rows = marked.select("file", _layout(F.col("h")).alias("l")).filter(F.col("l").isNotNull()).select("file", "l.*")
     return rows.dropDuplicates(["file"])
 
 
@@ -86,25 +95,43 @@ def unknown_layouts(lines: DataFrame) -> DataFrame:
 def parse_eod(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Equity rows of all files. Other series, trailers and unreadable rows are skipped, never the whole file. ``keep`` names columns of
     ``lines`` to carry along."""
-    joined = lines.join(headers(lines), "file").withColumn("c", _cells(F.col("value")))
-
-    def cell(field):
-        p = F.col(f"p_{field}")
-        return F.when(p > 0, F.try_element_at("c", p))
-
-    def number(field, kind="double"):
-        return cell(field).try_cast(kind)
-
-    rows = joined.filter(F.size("c") >= F.col("n")).select(
-        cell("symbol").alias("symbol"),
-        F.coalesce(cell("isin"), F.lit("")).alias("isin"),
-        F.upper(cell("series")).alias("series"),
-        parse_date(cell("date")).alias("date"),
-        *[number(f).alias(f) for f in ("open", "high", "low", "close")],
-        F.when(number("prev_close") != 0, number("prev_close")).alias("prev_close"),
-        F.coalesce(number("volume", "bigint"), F.lit(0)).alias("volume"),
-        *keep,
-    )
+    return _parsed(lines.join(headers(lines), "file"), keep)
+
+
+def parse_archives(archives: DataFrame) -> DataFrame:
+    """``parse_eod`` of (path, content) zip archives in one pass: a member's header is found in its own row, so nothing is unpacked twice,
+    joined or shuffled."""
+    marks = F.filter("lines", _marked)
+    known = F.filter(F.transform(marks, lambda v: _layout(F.transform(_cells(F.upper(v)), lambda c: F.trim(c)))), lambda x: x.isNotNull())
+    found = unzip(archives).select("lines", F.explode(F.slice(known, 1, 1)).alias("l"))
+    return _parsed(found.select(F.explode("lines").alias("value"), "l.*"))
+
+
+def _parsed(joined: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Equity rows of lines that carry the positions of their file's header."""
+    def row(c: Column) -> Column:
+        def cell(field):
+            p = F.col(f"p_{field}")
+            return F.when(p > 0, F.trim(F.try_element_at(c, p)))
+
+        def number(field, kind="double"):
+            return cell(field).try_cast(kind)
+
+        return F.struct(
+            (F.size(c) >= F.col("n")).alias("whole"),
+            cell("symbol").alias("symbol"),
+            F.coalesce(cell("isin"), F.lit("")).alias("isin"),
+            F.upper(cell("series")).alias("series"),
+            parse_date(cell("date")).alias("date"),
+            *[number(f).alias(f) for f in ("open", "high", "low", "close")],
+            F.when(number("prev_close") != 0, number("prev_close")).alias("prev_close"),
+            F.coalesce(number("volume", "bigint"), F.lit(0)).alias("volume"),
+        )
+
+    # The row comes out of a generator: no filter is pushed below it, where each would split and read the line anew. And it comes out of a
+    # lambda: generated code for all of it would be one method, too long for the JVM to compile.
+    read = F.explode(F.transform(F.array(_cells(F.col("value"))), row)).alias("r")
+    rows = joined.select(*keep, read).where("r.whole").select("r.*", *keep).drop("whole")
     return rows.filter(is_equity(F.col("series"))).dropna(subset=["date", "open", "high", "low", "close"])
 
 
@@ -138,19 +165,38 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
 
 
-def unzip_lines(archives: DataFrame) -> DataFrame:
-    """(file, value) lines of every csv member of (path, content) zip archives, one archive at a time per task."""
+def unzip(archives: DataFrame) -> DataFrame:
+    """(file, lines) of every csv member of (path, content) zip archives."""
 
     def extract(batches):
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+            files, lines = [], []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
                     for member in z.namelist():
                         if member.lower().endswith(".csv"):
-                            text = z.read(member).decode("utf-8", "replace").splitlines()
-                            yield pd.DataFrame({"file": f"{path}!{member}", "value": text})
+                            files.append(f"{path}!{member}")
+                            lines.append(z.read(member).decode("utf-8", "replace").splitlines())
+                if len(files) >= MEMBERS:
+                    yield _members(files, lines)
+                    files, lines = [], []
+            if files:
+                yield _members(files, lines)
+
+    return archives.select("path", "content").mapInArrow(extract, "file string, lines array<string>")
+
 
-    return archives.select("path", "content").mapInPandas(extract, "file string, value string")
+#: Members that a worker hands over at once: their whole text is in memory.
+MEMBERS = 32
+
+
+def _members(files: list[str], lines: list[list[str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(lines, pa.list_(pa.string()))], ["file", "lines"])
+
+
+def unzip_lines(archives: DataFrame) -> DataFrame:
+    """(file, value) lines of every csv member of (path, content) zip archives."""
+    return unzip(archives).select("file", F.explode("lines").alias("value"))
 
 
 def read_archives(spark: SparkSession, root: str) -> DataFrame:

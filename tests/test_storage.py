@@ -37,6 +37,26 @@ def test_three_layouts(spark, tmp_path):
     assert [(r.symbol, r.date, r.close, r.isin) for r in zipped] == [("AAA", dt.date(2020, 1, 7), 1.7, "INE1")]
 
 
+def test_archives_are_unpacked_once_and_read_as_plain_files(spark, tmp_path):
+    for i, text in enumerate([UDIFF + "\n2020-01-07,AAA,EQ,1.6,1.7,1.5,1.7,1.65,300,INE1\n", "no header\n1,2,3\n",
+                              FULL + "\n\"A, Co\", EQ, 06-Jan-2020, 1.5, 1.6, 1.7, 1.5, 1.65, 200\nshort,EQ\n"]):
+        with zipfile.ZipFile(tmp_path / f"{i}.csv.zip", "w") as z:
+            z.writestr("day.csv", text)
+            z.writestr("readme.txt", UDIFF)
+    archives = spark.read.format("binaryFile").load(str(tmp_path))
+    found = eod_files.parse_archives(archives)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, eod_files.parse_eod(eod_files.unzip_lines(archives)).collect()))
+    assert sorted(r.symbol for r in found.collect()) == ["A, Co", "AAA"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
+def test_a_line_is_split_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(UDIFF + "\n2020-01-07,AAA,EQ,1.6,1.7,1.5,1.7,1.65,300,INE1\n")
+    rows = eod_files.parse_eod(eod_files.read_lines(spark, str(tmp_path)))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(value") == 1
+
+
 def test_one_file_per_day_identifier_layout_first(spark, tmp_path):
     land(tmp_path)
     (tmp_path / "sec_03012020.csv").write_text(FULL)
