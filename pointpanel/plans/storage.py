@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,24 +70,29 @@ def q_src_archive_discovery(spark, sf):
 def zipped(fx: Fixtures) -> DataFrame:
     """(path, content): one zip per security and year, as a binary file source would deliver them."""
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = eod_files.LAYOUTS["legacy"]
-        lines = [",".join(names)] + [
-            f"{r.symbol},{r.series},{r.open!r},{r.high!r},{r.low!r},{r.close!r},{r.prev_close!r},{r.volume},{r.date:%d-%b-%Y},{r.isin}"
-            for r in pdf.itertuples()
-        ]
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("day.csv", "\n".join(lines))
-        return pd.DataFrame({"path": [f"{pdf.symbol.iloc[0]}-{pdf.date.iloc[0]:%Y}.csv.zip"], "content": [buffer.getvalue()]})
-
-    return eod_rows(fx).withColumn("year", F.year("date")).groupBy("symbol", "year").applyInPandas(
-        pack, "path string, content binary"
-    )
+    names = eod_files.LAYOUTS["legacy"]
+
+    def pack(batches):
+        for batch in batches:
+            paths, contents = batch.column("path").to_pylist(), []
+            for text in batch.column("text"):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+                    z.writestr("day.csv", text.as_py())
+                contents.append(buffer.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+    # The text is put together where the rows are; a worker only packs it.
+    text = [F.date_format("date", "dd-MMM-yyyy") if f == "date" else F.col(f).cast("string") for f in eod_files.FIELDS]
+    days = eod_rows(fx).groupBy("symbol", F.year("date").alias("year")).agg(
+        F.sort_array(F.collect_list(F.struct("date", F.concat_ws(",", *text).alias("line")))).alias("days"))
+    whole = F.concat(F.lit(",".join(names) + "\n"), F.array_join("days.line", "\n"))
+    return days.select(F.concat("symbol", F.lit("-"), "year", F.lit(".csv.zip")).alias("path"), whole.alias("text")).mapInArrow(
+        pack, "path string, content binary")
 
 
 def q_src_archive_zip(spark, sf):
-    rows = eod_files.parse_eod(eod_files.unzip_lines(zipped(Fixtures(spark, sf))))
+    rows = eod_files.parse_archives(zipped(Fixtures(spark, sf)))
     return rows.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("close").alias("high_close"), F.sum("volume").alias("volume")
     )
