@@ -11,7 +11,8 @@ from pointpanel.session import stored
 def latest_rows(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """Within one load the row with the highest sequence per key."""
     values = [c for c in rows.columns if c not in (*keys, seq)]
-    return rows.groupBy(*keys).agg(*[F.max_by(c, seq).alias(c) for c in values]).select(
+    # One buffer for the whole row: a sequence that holds text would otherwise be carried once for each value.
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), seq).alias("_v")).select(*keys, "_v.*").select(
         *[c for c in rows.columns if c != seq]
     )
 
@@ -30,8 +31,9 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str],
     The load's partition values prune the read (dynamic partition pruning) and a dynamic overwrite replaces just those
     folders, so a repeated load ends in the same table.
     """
-    load = stored(incoming.withColumn("_part", partition), "load")  # read three times below
+    load = incoming.withColumn("_part", partition)
     if _exists(spark, path):
+        load = stored(load, "load")  # read three times below; a first load is read once and written at once
         table = spark.read.parquet(path).select(*load.columns)
         touched = table.join(F.broadcast(load.select("_part").distinct()), "_part", "left_semi").select(*load.columns)
         load = merged(touched, load, [*keys, "_part"])

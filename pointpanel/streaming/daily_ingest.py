@@ -27,8 +27,9 @@ def ingest_batch(spark: SparkSession, lines: DataFrame, bars_path: str, manifest
             raise ValueError("a daily file has an unknown layout")
         rows = eod_files.parse_eod(lines, keep=("file",))
         ranked = rows.withColumn("_seq", F.struct((F.col("isin") != "").alias("identified"), F.col("file").alias("file"))).drop("file")
-        load = stored(sinks.latest_rows(ranked, KEYS, "_seq"), "load")
+        load = sinks.latest_rows(ranked, KEYS, "_seq")
         if sinks._exists(spark, bars_path):
+            load = stored(load, "load")
             before = sinks.read_table(spark, bars_path).join(load.select(*KEYS), KEYS, "left_semi").select(
                 *KEYS, F.col("isin").alias("_isin"), F.col("close").alias("close_before"), F.col("volume").alias("volume_before"))
             both = load.join(before, KEYS, "left")

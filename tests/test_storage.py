@@ -57,6 +57,17 @@ def test_a_line_is_split_once(spark, tmp_path):
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(value") == 1
 
 
+def test_a_first_load_is_written_once_and_its_sequence_carried_once(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("A", 1, 1.0, None, "a"), ("A", 1, 2.0, "x", "b"), ("B", 1, 3.0, "y", "a")], "k string, d int, v double, w string, file string")
+    last = sinks.latest_rows(rows.withColumn("_seq", F.struct("file")).drop("file"), ["k", "d"], "_seq")
+    assert last._jdf.queryExecution().optimizedPlan().toString().count("max_by(") == 1
+    writes = []
+    monkeypatch.setattr(sinks, "stored", lambda df, label: writes.append(label) or df.localCheckpoint())
+    path = str(tmp_path / "t")
+    sinks.upsert(spark, path, last, ["k", "d"], F.col("d"))
+    assert not writes and sorted(map(tuple, sinks.read_table(spark, path).collect())) == [("A", 1, 2.0, "x"), ("B", 1, 3.0, "y")]
+
+
 def test_one_file_per_day_identifier_layout_first(spark, tmp_path):
     land(tmp_path)
     (tmp_path / "sec_03012020.csv").write_text(FULL)
