@@ -148,7 +148,8 @@ class Fixtures:
         w = Window.partitionBy("security_id").orderBy("date")
         return (self.bars if bars is None else bars).withColumn("rn", F.row_number().over(w))
 
-    def _actions(self, bars: DataFrame) -> DataFrame:
+    def _remarked(self, bars: DataFrame) -> DataFrame:
+        """Every bar with the action of its day: type and remark, or nulls."""
         sid = F.col("security_id")
         kind = (
             F.when(F.col("rn") % 97 == 50, "Split")
@@ -173,16 +174,18 @@ class Fixtures:
                 ),
             )
         )
+        return self.numbered_bars(bars).withColumn("action_type", kind).withColumn("raw_description", text)
+
+    def _actions(self, bars: DataFrame) -> DataFrame:
         return (
-            self.numbered_bars(bars)
-            .withColumn("action_type", kind)
+            self._remarked(bars)
             .filter(F.col("action_type").isNotNull())
             .select(
                 "security_id",
                 F.col("date").alias("effective_date"),
                 "action_type",
                 F.when(F.col("action_type") == "Dividend", F.col("close") * 0.02).alias("dividend_amount"),
-                text.alias("raw_description"),
+                "raw_description",
             )
         )
 
@@ -205,17 +208,15 @@ class Fixtures:
         )
 
     def traded(self, bars: DataFrame, smooth: int = 20) -> DataFrame:
-        """Bars whose close is a trailing mean that steps down on every split and bonus date, as a traded price does."""
+        """Bars whose close is a trailing mean that steps down on every split and bonus date, as a traded price does. One sort serves all."""
         w = Window.partitionBy("security_id").orderBy("date")
-        factor = F.when(F.col("_text").startswith("Sub"), corporate.split_from_remark(F.col("_text"))).otherwise(
-            corporate.bonus_from_remark(F.col("_text"))
-        )
-        steps = self._actions(bars).filter(F.col("action_type").isin("Split", "Bonus")).select(
-            "security_id", F.col("effective_date").alias("date"), F.col("raw_description").alias("_text")
-        ).withColumn("_f", factor)
+        text = F.col("raw_description")
+        factor = F.when(F.col("action_type") == "Split", corporate.split_from_remark(text)).when(
+            F.col("action_type") == "Bonus", corporate.bonus_from_remark(text))
         mean = F.avg("close").over(w.rowsBetween(1 - smooth, 0))
         level = F.product(F.coalesce("_f", F.lit(1.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        return bars.join(steps.drop("_text"), ["security_id", "date"], "left").withColumn("close", mean * level).drop("_f")
+        return self._remarked(bars).withColumn("_f", factor).select(
+            *[(mean * level).alias(c) if c == "close" else c for c in bars.columns])
 
     def actions_of(self, bars: DataFrame) -> DataFrame:
         return self._actions(bars)

@@ -137,13 +137,14 @@ def ticker_change_rows(history: DataFrame) -> DataFrame:
         F.concat(F.lit("Symbol changed from "), "before", F.lit(" to "), "symbol").alias("raw_description"))
 
 
-def detect_delistings(securities: DataFrame, bars: DataFrame, gap_days: int = DELISTING_GAP_DAYS) -> DataFrame:
+def detect_delistings(securities: DataFrame, bars: DataFrame, gap_days: int = DELISTING_GAP_DAYS, days: DataFrame | None = None) -> DataFrame:
     """Active securities whose last bar lies more than ``gap_days`` calendar days before the market's last one are delisted.
 
-    Only newly found ones are touched, so a run over its own result changes nothing and earlier dates and reasons stay.
+    Only newly found ones are touched, so a run over its own result changes nothing and earlier dates and reasons stay. ``days`` is the
+    market's calendar; it is needed where ``bars`` are those of some securities only.
     """
     last = bars.groupBy("security_id").agg(F.max("date").alias("last_date"))
-    market = bars.agg(F.max("date"))
+    market = (bars if days is None else days).agg(F.max("date"))
     gone = F.col("is_active") & (F.col("last_date") < F.date_sub(market.scalar(), gap_days))
     flag = F.coalesce(gone, F.lit(False))
     own = ["is_active", "delisted_date", "delisting_reason"]

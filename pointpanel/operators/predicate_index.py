@@ -36,6 +36,11 @@ def satisfied(value: Column, op: Column, bound: Column) -> Column:
     )
 
 
+def holds(values: Column) -> Column:
+    """All of the ``comparisons`` of a criteria, against a row's map of field to value."""
+    return F.forall("comparisons", lambda k: satisfied(F.try_element_at(values, k["field"]), k["operator"], k["value"]))
+
+
 def _falling(op: Column) -> Column:
     return op.isin("LessThan", "LessThanOrEqual")
 
@@ -136,5 +141,4 @@ def matches(frame: DataFrame, criteria: DataFrame, row: str, metrics: list[str])
         "criteria_key", *(F.col(c).alias(f"_{c}") for c in ("exchange", "sector")), "comparisons"), "criteria_key")
     place = {c: F.col(c) if c in places else F.lit(None).cast("string") for c in ("exchange", "sector")}
     inside = reduce(operator.and_, [F.col(f"_{c}").isNull() | F.coalesce(place[c] == F.col(f"_{c}"), F.lit(False)) for c in place])
-    holds = F.forall("comparisons", lambda k: satisfied(F.try_element_at("_m", k["field"]), k["operator"], k["value"]))
-    return whole.where(inside & holds).select("criteria_key", F.col("_row").alias(row))
+    return whole.where(inside & holds(F.col("_m"))).select("criteria_key", F.col("_row").alias(row))

@@ -41,6 +41,11 @@ class Run:
         locked = identity.with_lock_flag(self.raw).select("security_id", "date", "close", "volume", "is_circuit_locked")
         return stored(self.fx.traded(locked), "traded")
 
+    @property
+    def held_bars(self) -> DataFrame:
+        """Bars of all securities that may be held, at least."""
+        return self.bars
+
     @cached_property
     def days(self) -> DataFrame:
         return stored(calendar.trading_days(self.bars), "days")
@@ -91,7 +96,7 @@ class Run:
 
     @cached_property
     def factors(self) -> DataFrame:
-        return act.resolve_factors(self.fx.actions_of(self.bars), self.bars)
+        return act.resolve_factors(self.fx.actions_of(self.held_bars), self.held_bars)
 
     @cached_property
     def held(self) -> DataFrame:
@@ -99,7 +104,7 @@ class Run:
 
     @cached_property
     def holding_days(self) -> DataFrame:
-        rows = bt.holding_days(self.held, self.legs, self.days, self.bars, self.factors, self.securities, self.carry)
+        rows = bt.holding_days(self.held, self.legs, self.days, self.held_bars, self.factors, self.securities, self.carry)
         return stored(rows, "holding-days")
 
     @cached_property
@@ -150,7 +155,13 @@ class Defined(Run):
 
     @cached_property
     def raw(self) -> DataFrame:
-        return stored(self.fx.bars, "bars")
+        return self.fx.bars
+
+    @cached_property
+    def held_bars(self) -> DataFrame:
+        """The bars of securities that some definition picked, however many there are: few beside all suppliers."""
+        picked = stored(self.signals.select("security_id").distinct(), "picked")
+        return stored(self.bars.join(picked, "security_id", "left_semi"), "held-bars")
 
     @cached_property
     def own_legs(self) -> DataFrame:
@@ -169,14 +180,14 @@ class Defined(Run):
 
     @cached_property
     def fills(self) -> DataFrame:
-        return definitions.fills(self.signals, self.legs, self.bars)
+        return definitions.fills(self.signals, self.legs, self.held_bars)
 
     @cached_property
     def securities(self) -> DataFrame:
         """Every twentieth supplier that stops has gone bankrupt."""
-        known = self.bars.select("security_id").distinct().withColumn("is_active", F.lit(True))
+        known = self.held_bars.select("security_id").distinct().withColumn("is_active", F.lit(True))
         reason = F.when(F.col("delisted_date").isNotNull() & (F.col("security_id") % 20 == 3), "Bankruptcy").otherwise(F.col("delisting_reason"))
-        return identity.detect_delistings(known, self.bars).withColumn("delisting_reason", reason)
+        return identity.detect_delistings(known, self.held_bars, days=self.days).withColumn("delisting_reason", reason)
 
     @cached_property
     def curve(self) -> DataFrame:

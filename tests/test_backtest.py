@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointpanel.operators import backtest as bt
-from pointpanel.operators import calendar, metrics
+from pointpanel.operators import calendar, definitions, identity, metrics
 
 DATES = [dt.date(2024, *d) for d in ((1, 2), (1, 3), (2, 1), (3, 15), (4, 10), (5, 20), (6, 28))]
 
@@ -85,3 +85,32 @@ def test_flat_curve_has_no_risk_figures(spark):
     df = metrics.with_drawdown(metrics.with_returns(spark.createDataFrame([(1, d, 5.0) for d in DATES], "strategy_id long, date date, nav double")))
     r = df.agg(metrics.sharpe(F.col("ret")).alias("a"), metrics.sortino(F.col("ret")).alias("b"), metrics.win_rate(F.col("ret")).alias("c"), F.min("drawdown").alias("d")).head()
     assert tuple(r) == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_signals_test_rows_against_their_own_snapshot_and_agree_with_the_index(spark):
+    """Six criteria on three snapshots: the same picks by testing each row, through the index, and by hand; one criteria has a universe."""
+    days = [dt.date(2024, 1, d) for d in (2, 9, 16)]
+    bars = {(s, d): (float((s * 7 + k * 3) % 11), (s * 5 + k) % 6 * 1000) for s in range(40) for k, d in enumerate(days)}
+    rows = spark.createDataFrame([(s, d, c, v) for (s, d), (c, v) in bars.items()], "security_id long, date date, close double, volume long")
+    asked = [(k, f"c{k}", 2 + k % 3, "NYSE" if k == 5 else None, k % 4, 1000.0 * k, k % 2 == 0) for k in range(6)]
+    defined = spark.createDataFrame([a[:3] for a in asked], "strategy_id long, criteria_key string, positions int")
+    criteria = spark.createDataFrame(
+        [(c, x, None, [("ClosePrice", "GreaterThan", float(low)), ("Volume", "LessThanOrEqual", top)], "ClosePrice", desc) for _, c, _, x, low, top, desc in asked],
+        "criteria_key string, exchange string, sector string, comparisons array<struct<field: string, operator: string, value: double>>, sort_field string, descending boolean")
+    legs = spark.createDataFrame([(k, 10 * k + j, d) for k in range(6) for j, d in enumerate(days) if (j + k) % 2 == 0], "strategy_id long, rebalance_no long, as_of_date date")
+    want = set()
+    for k, _, n, place, low, top, desc in asked:
+        for j, d in enumerate(days):
+            if (j + k) % 2 == 0 and place is None:
+                held = sorted(((-c if desc else c), s) for (s, x), (c, v) in bars.items() if x == d and c > low and v <= top)
+                want |= {(k, 10 * k + j, s, r) for r, (_, s) in enumerate(held[:n], 1)}
+    for direct in (100, 0):
+        got = definitions.signals(defined, criteria, legs, rows, ["ClosePrice", "Volume"], direct=direct)
+        assert {tuple(r) for r in got.collect()} == want
+
+
+def test_delistings_of_some_securities_use_the_whole_calendar(spark):
+    bars = spark.createDataFrame([(1, DATES[0]), (2, DATES[-1])], "security_id long, date date")
+    some = bars.where("security_id = 1")
+    known = some.select("security_id", F.lit(True).alias("is_active"))
+    assert identity.detect_delistings(known, some, days=bars.select("date")).head().delisted_date == DATES[0]
