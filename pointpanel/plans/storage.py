@@ -172,11 +172,12 @@ def _load(df: DataFrame, key: str, value: str) -> DataFrame:
 def _twice(spark, table: DataFrame, load: DataFrame, keys: list[str], day: str, label: str, yearly: bool = False) -> DataFrame:
     """The table after a load that ran twice, with a load that failed half-way in between, folded at the end."""
     path = scratch_path(spark, label)
-    loads.append(table, path, keys, F.col(day), yearly=yearly)
-    loads.append(load, path, keys, F.col(day), yearly=yearly)
+    n = load.count()
+    loads.append(table, path, keys, F.col(day), yearly=yearly, count=table.count())
+    loads.append(load, path, keys, F.col(day), yearly=yearly, count=n)
     _, lost = loads.begin(spark, path)
     loads.put(load.limit(10), path, lost, "rows", keys, F.col(day), yearly=yearly)  # never sealed
-    loads.append(load, path, keys, F.col(day), yearly=yearly)
+    loads.append(load, path, keys, F.col(day), yearly=yearly, count=n)
     loads.fold(spark, path, {"rows": (keys, F.col(day), yearly)})
     return loads.read(spark, path, "rows", keys)
 

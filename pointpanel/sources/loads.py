@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a task puts together or merges on average, where their number is known.
+TASK_ROWS = 300_000
 MANIFEST = "load long, folder string, whole boolean"
 
 
@@ -36,16 +38,24 @@ def begin(spark: SparkSession, root: str) -> tuple[int, str]:
     return load, f"load-{load}-{uuid.uuid4().hex}"
 
 
-def put(rows: DataFrame, root: str, folder: str, table: str, keys: list[str], month: Column, order: list[str] | None = None, yearly: bool = False) -> None:
+def dealt(rows: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """Rows by key over as many tasks as they need, so that an aggregate holds no more in a large table than in a small one."""
+    return rows.repartition(count // TASK_ROWS + 1, *keys)
+
+
+def put(
+    rows: DataFrame, root: str, folder: str, table: str, keys: list[str], month: Column, order: list[str] | None = None, yearly: bool = False,
+    count: int | None = None, unique: bool = False,
+) -> None:
     """Write one table of a load, partitioned by the month of ``month`` (the first of its year if ``yearly``); of equal keys the row last in ``order`` stays (else that of the largest hash).
-    A table without rows is no part of its load."""
-    if rows.isEmpty():
+    A table without rows is no part of its load. ``count`` is the number of rows, if known; ``unique`` rows have each key once."""
+    if rows.isEmpty() if count is None else count == 0:
         return
     values = [c for c in rows.columns if c not in keys]
     part = (F.year(month) * 100 + (F.lit(1) if yearly else F.month(month))).alias("_part")
     # Column by column, so that the aggregate stays hash-based; the rebalance makes one file of a small part and several of a large one.
-    ranked = rows.withColumn("_o", F.struct(*order) if order else F.xxhash64(*values))
-    each = ranked.groupBy(*keys).agg(*[F.max_by(c, "_o").alias(c) for c in values])
+    ranked = (rows if count is None else dealt(rows, keys, count)).withColumn("_o", F.struct(*order) if order else F.xxhash64(*values))
+    each = rows if unique else ranked.groupBy(*keys).agg(*[F.max_by(c, "_o").alias(c) for c in values])
     each.select(*rows.columns, part).hint("rebalance", "_part").sortWithinPartitions("_part", *keys).write.partitionBy("_part").parquet(f"{root}/{folder}/{table}")
 
 
@@ -65,13 +75,14 @@ def read(spark: SparkSession, root: str, table: str, keys: list[str], where: Col
     if len(some) == 1:
         return rows.drop("_load")
     values = [c for c in rows.columns if c not in (*keys, "_load")]
-    return rows.groupBy(*keys).agg(*[F.max_by(c, "_load").alias(c) for c in values])
+    # The number of rows stands in the files' footers.
+    return dealt(rows, keys, rows.count()).groupBy(*keys).agg(*[F.max_by(c, "_load").alias(c) for c in values])
 
 
-def append(rows: DataFrame, root: str, keys: list[str], month: Column, order: list[str] | None = None, table: str = "rows", yearly: bool = False) -> None:
+def append(rows: DataFrame, root: str, keys: list[str], month: Column, order: list[str] | None = None, table: str = "rows", yearly: bool = False, count: int | None = None) -> None:
     """One load of one table, sealed."""
     load, folder = begin(rows.sparkSession, root)
-    put(rows, root, folder, table, keys, month, order, yearly)
+    put(rows, root, folder, table, keys, month, order, yearly, count)
     seal(rows.sparkSession, root, load, folder)
 
 
@@ -82,5 +93,5 @@ def fold(spark: SparkSession, root: str, tables: dict[str, tuple[list[str], Colu
     for table, (keys, month, yearly) in tables.items():
         rows = read(spark, root, table, keys)
         if rows is not None:
-            put(rows, root, folder, table, keys, month, yearly=yearly)
+            put(rows, root, folder, table, keys, month, yearly=yearly, unique=True)
     seal(spark, root, number, folder, whole=True)

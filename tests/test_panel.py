@@ -92,3 +92,18 @@ def test_loads_are_seen_once_sealed_and_equal_keys_are_one_row(spark, tmp_path):
     loads.append(load((2, 6.0, 1)), root, ["k", "day"], F.col("day"))
     assert read() == [(1, 2.0), (2, 6.0), (3, 3.0)]
     assert loads.read(spark, root, "rows", ["k", "day"], F.col("_part") < 202001).count() == 0
+
+
+def test_a_known_count_deals_a_load_and_its_merge_over_tasks(spark, tmp_path, monkeypatch):
+    """Rows of one task are bounded by their number, not by the input's files, and a fold keeps each key's newest row."""
+    monkeypatch.setattr(loads, "TASK_ROWS", 100)
+    rows = spark.range(1000).select(F.col("id").alias("k"), F.lit("2020-01-02").cast("date").alias("day"), (F.col("id") % 7).alias("v"))
+    assert loads.dealt(rows, ["k"], 1000).rdd.getNumPartitions() == 11
+    root, keys = str(tmp_path / "dealt"), ["k", "day"]
+    loads.append(rows.union(rows), root, keys, F.col("day"), count=2000)
+    loads.append(rows.where("k < 10").withColumn("v", F.lit(-1).cast("long")), root, keys, F.col("day"), count=10)
+    loads.append(rows.limit(0), root, keys, F.col("day"), count=0)
+    merged = {r.k: r.v for r in loads.read(spark, root, "rows", keys).collect()}
+    loads.fold(spark, root, {"rows": (keys, F.col("day"), False)})
+    folded = loads.read(spark, root, "rows", keys).collect()
+    assert len(folded) == 1000 and {r.k: r.v for r in folded} == merged == {k: -1 if k < 10 else k % 7 for k in range(1000)}
