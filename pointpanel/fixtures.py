@@ -15,6 +15,10 @@ from pointpanel.functions import corporate
 from pointpanel.session import stored
 
 
+#: Trades that a task aggregates on average.
+TASK_TRADES = 300_000
+
+
 def _trade_order() -> Column:
     """(order, line, part, price) as one fixed-width decimal.
 
@@ -71,7 +75,10 @@ class Fixtures:
     @cached_property
     def bars(self) -> DataFrame:
         stopped = (F.col("security_id") % 10 == 3) & (F.col("date") > F.lit("2000-06-30").cast("date"))
-        return bars_from_trades(self._trades(F.col("l_suppkey")).filter(~stopped))
+        # Nearly every trade is a bar of its own here, so combining them before the shuffle would only fill the memory of the map tasks. The
+        # number of trades stands in the file's footer.
+        tasks = self.table("lineitem").count() // TASK_TRADES + 1
+        return bars_from_trades(self._trades(F.col("l_suppkey")).filter(~stopped).repartition(tasks, "security_id", "date"))
 
     @cached_property
     def bars_dense(self) -> DataFrame:
