@@ -17,6 +17,7 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -62,8 +63,8 @@ class WordTokenizer:
     def _encode(self, runs: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
 
-    def _learn(self, runs: list[str], plain: np.ndarray, marked: np.ndarray) -> None:
-        """Add new runs to the store, the plain ones first."""
+    def _learn(self, runs: list[str], plain: np.ndarray, marked: np.ndarray) -> np.ndarray:
+        """Add new runs to the store, the plain ones first; their places there."""
         together = [runs[k] for k in np.flatnonzero(plain)]
         flat = self._encode([" ".join(together[k : k + JOINED]) for k in range(0, len(together), JOINED)])
         joined = np.concatenate(flat) if flat else np.zeros(0, "<u4")
@@ -72,10 +73,14 @@ class WordTokenizer:
         others = [runs[k] for k in np.flatnonzero(~plain)]
         single = self._encode(others)
         sizes = np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, single), np.int64, len(single))]).astype(np.int64)
-        for run in together + others:
-            self.known[run] = len(self.known)
+        base = len(self.known)
+        self.known.update(zip(together + others, range(base, base + len(runs))))
         self.flat = np.concatenate([self.flat, joined, *single])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        place = np.empty(len(runs), np.int64)
+        place[plain] = base + np.arange(len(together))
+        place[~plain] = base + len(together) + np.arange(len(others))
+        return place
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, bounds of each text)."""
@@ -83,15 +88,14 @@ class WordTokenizer:
         runs = distinct.to_pylist()
         if len(self.known) > CACHED_WORDS:
             self._forget()
-        fresh = np.fromiter((r not in self.known for r in runs), bool, len(runs))
+        place = np.array(list(map(self.known.get, runs, repeat(-1))), np.int64)
+        fresh = place < 0
         new = distinct.filter(pa.array(fresh))
-        self._learn(new.to_pylist(), *(pc.match_substring_regex(new, p).to_numpy(zero_copy_only=False) for p in (PLAIN, MARKED)))
-        place = np.fromiter((self.known[r] for r in runs), np.int64, len(runs))
-        first, sizes = self.first[place], (self.first[place + 1] - self.first[place])
-        per_word = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(per_word)])
-        at = np.arange(ends[-1]) + np.repeat(first[codes] - ends[:-1], per_word)
-        return self.flat[at], ends[bounds]
+        place[fresh] = self._learn(new.to_pylist(), *(pc.match_substring_regex(new, p).to_numpy(zero_copy_only=False) for p in (PLAIN, MARKED)))
+        stored_runs = pa.LargeListArray.from_arrays(pa.array(self.first), pa.array(self.flat))
+        found = stored_runs.take(pa.array(place[codes]))
+        ends = found.offsets.to_numpy()
+        return found.flatten().to_numpy(), ends[bounds] - ends[0]
 
 
 @lru_cache(maxsize=1)

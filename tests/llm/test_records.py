@@ -186,3 +186,18 @@ def test_pipeline_stages_follow_their_operators(spark):
 @pytest.mark.parametrize("k", range(5))
 def test_stages_take_empty_tables(spark, k):
     assert corpus_pipeline.STAGES[k][1](spark, docs(spark, []), SF).count() == 0
+
+
+def test_learned_runs_keep_their_places_over_batches():
+    """Runs met before, new ones, plain and not, and empty texts: the ids of each text are those of the tokenizer alone."""
+    import pyarrow as pa
+    import public_tokenizers
+    from pointpanel.llm.packing import WordTokenizer
+
+    words = WordTokenizer(str(public_tokenizers.path("word_bpe_49k.json")))
+    words.ids(pa.array(["to be, or"]))
+    assert len(words._learn(["zebra", "x=1", "apple."], *(pa.array(x).to_numpy(zero_copy_only=False) for x in ([True, False, True], [False, False, True])))) == 3
+    texts = ["", "to be, or not to be x=1 zebra", None, " ", "apple. café 中文 to", ""]
+    ids, bounds = words.ids(pa.array(texts + ["cut"]).slice(0, 6))
+    for text, start, end in zip(texts, bounds[:-1], bounds[1:]):
+        assert list(ids[start:end]) == words.tokenizer.encode(text or "", add_special_tokens=False).ids
