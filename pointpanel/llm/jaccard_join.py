@@ -187,16 +187,21 @@ def _blocks(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _lists(docs: DataFrame, blocks: DataFrame, counts, percent: int) -> DataFrame:
     """The index lists that hold several blocks: (token, head, lo, hi, pos, heads), an entry for each block with the range of its sizes
-    and its first position."""
-    posted = (
-        _postings(docs, counts, percent).join(blocks.select("sid", "head"), "sid")
-        .select("head", "n", F.posexplode("prefix").alias("pos", "token"))
-    )
-    entries = posted.groupBy("token", "head").agg(
+    and its first position.
+
+    Most posted shingles stand in one set only. All postings cross the network once, without their blocks, and end there; what the few shared
+    ones need is looked up afterwards.
+    """
+    ids = stored(blocks.select("sid").distinct(), "posting")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    posted = _postings(among(named, "doc_id", ids), counts, percent).select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
+    beside = Window.partitionBy("token").orderBy("sid")
+    shared = posted.withColumns({"_before": F.lag("sid").over(beside), "_after": F.lead("sid").over(beside)}).where(
+        "_before is not null or _after is not null").drop("_before", "_after")
+    shared = stored(shared, "shared")
+    entries = shared.join(blocks.select("sid", "head"), "sid").groupBy("token", "head").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"))
-    entries = stored(entries, "entries")
-    shared = entries.groupBy("token").agg(F.count("*").alias("heads")).where("heads > 1")
-    return entries.join(shared, "token")
+    return entries.withColumn("heads", F.count("*").over(Window.partitionBy("token"))).where("heads > 1")
 
 
 def _fitting(percent: int):

@@ -60,6 +60,21 @@ def test_a_tree_of_copies_in_dense_lists(spark, monkeypatch):
     check_components(docs(spark, list(enumerate(texts))))
 
 
+def test_shingles_of_one_set_are_not_stored(spark, monkeypatch):
+    """Index lists keep what several sets share, so what they write follows the copies and not all shingles."""
+    rows = {}
+
+    def counted(df, label, stored=jaccard_join.stored):
+        out = stored(df, label)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    texts = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(40)]
+    check_components(docs(spark, list(enumerate([*texts, edited(texts[0], 1, 3)]))))
+    assert max(n for counts in rows.values() for n in counts) < 300
+
+
 def test_awkward_rows(spark):
     got = jaccard_join.similar_components(awkward(spark)).collect()
     assert len(got) == 13
