@@ -45,6 +45,8 @@ ROWS, SIDE = 3, 10
 ROWS_AT_ONCE = 250
 #: Leaders that a set is compared with before the exact rule.
 LEADERS = 3
+#: Sets of a list's largest component that the list's other sets meet before all of them do.
+FIRST = 8
 #: How many sets of another component a set has met after each round, before it meets the rest.
 NEAREST = (5, 40)
 
@@ -128,9 +130,9 @@ def _sized(percent: int, n, m):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _exact_pairs(grams: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets (id, label) of different labels that may link, with their labels and the room their bound leaves: every pair
-    that does link is among them."""
+def _posted(grams: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """(token, id, label, n, pos): the rarest shingles of each set (id, label), as many as two linked sets must share one of, where
+    several labels have them."""
     tokens = open_.join(grams, "id").select("id", "label", F.size("grams").alias("n"), F.explode("grams").alias("token"))
     tokens = stored(tokens, "tokens")
     seen = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -139,15 +141,47 @@ def _exact_pairs(grams: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
         tokens.join(seen, "token").withColumn("pos", F.row_number().over(rarest) - 1)
         .where(F.col("pos") <= F.expr(f"n - (({percent} * n + 99) div 100)")).where("lo < hi").select("token", "id", "label", "n", "pos")
     )
-    posted = stored(posted, "posted")
+    return stored(posted, "posted")
+
+
+def _listed(posted: DataFrame) -> DataFrame:
+    """The postings of lists that hold several labels, with the label that has most of the list."""
     sizes = posted.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(
         F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("m.label").alias("major"))
-    listed = posted.join(sizes, "token")
+    return posted.join(sizes, "token")
+
+
+def _needed(percent: int):
+    return F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
+
+
+def _fitting(percent: int):
+    """Whether postings x and y of one list leave room for a link that shares this shingle first."""
+    needed = _needed(percent)
+    return _sized(percent, F.col("x.n"), F.col("y.n")) & (F.col("x.n") - F.col("x.pos") >= needed) & (F.col("y.n") - F.col("y.pos") >= needed)
+
+
+def _first_links(grams: DataFrame, posted: DataFrame, percent: int) -> DataFrame:
+    """Links of each list's sets with a few sets of its largest component, those first that share most lists: a number of comparisons in
+    proportion to the postings, which joins most stragglers of a large group before its lists are met in full."""
+    listed = _listed(posted)
+    rank = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("id"), "id"))
+    few = listed.where("label = major").withColumn("rank", rank).where(F.col("rank") <= FIRST)
+    met = listed.where("label != major").alias("x").join(few.alias("y"), "token").where(_fitting(percent))
+    shares = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"))
+    most = Window.partitionBy("a").orderBy(F.desc("c"), "b")
+    tried = shares.withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= FIRST).select("a", "b")
+    return _confirmed(stored(tried, "tried"), grams, percent)
+
+
+def _exact_pairs(posted: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of posted sets of different labels that may link, with their labels and the room their bound leaves: every pair
+    that does link is among them."""
+    listed = _listed(posted)
     x, y = listed.where("label != major").alias("x"), listed.alias("y")
-    needed = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
+    needed = _needed(percent)
     met = x.join(y, "token").where(
-        (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
-        & _sized(percent, F.col("x.n"), F.col("y.n")) & (F.col("x.n") - F.col("x.pos") >= needed) & (F.col("y.n") - F.col("y.pos") >= needed))
+        (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.major")) | (F.col("x.id") < F.col("y.id"))) & _fitting(percent))
     # Shingles in common up to the last one that both prefixes hold are counted; of those after it no more than the shorter rest can be.
     rest = F.least(F.min(F.col("x.n") - F.col("x.pos")), F.min(F.col("y.n") - F.col("y.pos"))) - 1
     together = met.groupBy(F.col("x.id").alias("a"), F.col("x.label").alias("la"), F.col("y.id").alias("b"), F.col("y.label").alias("lb")).agg(
@@ -162,9 +196,14 @@ def _further_links(grams: DataFrame, open_: DataFrame, found: DataFrame, percent
     then in one component is settled. For the rest, a pivot of each component rules out pairs without looking at them: Jaccard distance is a
     metric, so two sets whose distances to the pivot differ by more than a link allows are no link.
     """
-    sizes = open_.groupBy("label").agg(F.count("*").alias("n"))
+    posted = _posted(grams, open_, percent)
+    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(_first_links(grams, posted, percent)))
+    # A set that links with none is in no component and keeps its own label.
+    own = found.select("id", F.col("component").alias("now"))
+    posted = stored(posted.join(own, "id", "left").withColumn("label", F.coalesce("now", "label")).drop("now"), "posted")
+    sizes = open_.join(own, "id", "left").groupBy(F.coalesce("now", "label").alias("label")).agg(F.count("*").alias("n"))
     size = lambda k: sizes.select(F.col("label").alias(f"l{k}"), F.struct("n", "label").alias(f"n{k}"))
-    met = _exact_pairs(grams, open_, percent).join(size("a"), "la").join(size("b"), "lb")
+    met = _exact_pairs(posted, percent).join(size("a"), "la").join(size("b"), "lb")
     smaller = F.col("na") < F.col("nb")
     pairs = stored(met.select(
         F.when(smaller, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(smaller, F.col("b")).otherwise(F.col("a")).alias("b"),

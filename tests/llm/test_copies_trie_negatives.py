@@ -82,6 +82,22 @@ def test_entries_of_unlike_sets_are_paired_exactly(spark, monkeypatch):
     check_near_copies(docs(spark, rows), rows=1, side=4)
 
 
+def test_a_group_is_joined_before_its_lists_are_met(spark, monkeypatch):
+    """Stragglers of a large group meet a few of its sets first, so few pairs are left for the exact rule."""
+    monkeypatch.setattr(minhash_tensor, "LEADERS", 0)
+    left = []
+
+    def counted(*args, exact=minhash_tensor._exact_pairs):
+        pairs = exact(*args)
+        left.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash_tensor, "_exact_pairs", counted)
+    base = prose(120, 4)
+    check_near_copies(docs(spark, [(k, edited(base, 2, k)) for k in range(30)]), rows=1, side=4)
+    assert sum(left) < 100
+
+
 def test_near_copies_of_awkward_rows(spark):
     got = minhash_tensor.near_copies(awkward(spark)).collect()
     assert len(got) == 13
