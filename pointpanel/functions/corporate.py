@@ -10,12 +10,17 @@ RATIO = r"(?i)ratio\s+of\s+(\d+(?:\.\d+)?)\s*:\s*(\d+(?:\.\d+)?)"
 FACE_CHANGE = r"(?i)from\s+(?:r[se]\.?\s*)?(\d+(?:\.\d+)?)\s*(?:/-)?\s*to\s+(?:r[se]\.?\s*)?(\d+(?:\.\d+)?)"
 PREMIUM = r"(?i)premium\s+of\s+(?:r[se]\.?\s*)?(\d+(?:\.\d+)?)"
 FACE = r"(?i)shares?\s+of\s+(?:r[se]\.?\s*)?(\d+(?:\.\d+)?)"
+NUMBERS = {
+    "offered": (RATIO, 1), "held": (RATIO, 2), "old": (FACE_CHANGE, 1), "new": (FACE_CHANGE, 2), "face": (FACE, 1), "premium": (PREMIUM, 1),
+}
 
 
-def _number(remark: Column, pattern: str, group: int) -> Column:
-    """The matched number, or null where the pattern is absent; never a guess."""
-    text = F.regexp_extract(remark, pattern, group)
-    return F.when(text != "", text).try_cast("double")
+def numbers(remark: Column) -> dict[str, Column]:
+    """Each number that a remark can hold, or null where its pattern is absent; never a guess."""
+    return {
+        name: F.nullif(F.regexp_extract(remark, pattern, group), F.lit("")).try_cast("double")
+        for name, (pattern, group) in NUMBERS.items()
+    }
 
 
 def split_factor(old_shares: Column, new_shares: Column) -> Column:
@@ -36,24 +41,33 @@ def dividend_factor(cum: Column, dividend: Column) -> Column:
     return F.when((cum > 0) & (dividend >= 0) & (dividend < cum), (cum - dividend) / cum)
 
 
-def bonus_from_remark(remark: Column) -> Column:
+def bonus_of(n: dict[str, Column]) -> Column:
     """A free shares for every B held."""
-    return bonus_factor(_number(remark, RATIO, 1), _number(remark, RATIO, 2))
+    return bonus_factor(n["offered"], n["held"])
 
 
-def split_from_remark(remark: Column) -> Column:
+def split_of(n: dict[str, Column]) -> Column:
     """Face value change only; a share ratio in the text is not read as a split."""
-    old, new = _number(remark, FACE_CHANGE, 1), _number(remark, FACE_CHANGE, 2)
-    return F.when((old > 0) & (new > 0), new / old)
+    return F.when((n["old"] > 0) & (n["new"] > 0), n["new"] / n["old"])
 
 
-def rights_terms(remark: Column) -> dict[str, Column]:
+def rights_of(n: dict[str, Column]) -> dict[str, Column]:
     """offered, held and subscription price (face plus premium, or the one that is given)."""
-    offered, held = _number(remark, RATIO, 1), _number(remark, RATIO, 2)
-    valid = (offered > 0) & (held > 0)
-    face, premium = _number(remark, FACE, 1), _number(remark, PREMIUM, 1)
+    valid = (n["offered"] > 0) & (n["held"] > 0)
     return {
-        "offered": F.when(valid, offered),
-        "held": F.when(valid, held),
-        "subscription": F.when(valid, F.coalesce(face + premium, premium, face)),
+        "offered": F.when(valid, n["offered"]),
+        "held": F.when(valid, n["held"]),
+        "subscription": F.when(valid, F.coalesce(n["face"] + n["premium"], n["premium"], n["face"])),
     }
+
+
+def bonus_from_remark(remark: Column) -> Column:
+    return bonus_of(numbers(remark))
+
+
+def split_from_remark(remark: Column) -> Column:
+    return split_of(numbers(remark))
+
+
+def rights_terms(remark: Column) -> dict[str, Column]:
+    return rights_of(numbers(remark))

@@ -20,22 +20,31 @@ def with_cum_close(actions: DataFrame, bars: DataFrame) -> DataFrame:
     return asof_join(actions, bars, "effective_date", "date", {"close": "cum_close"}, exact=False)
 
 
+def _read(actions: DataFrame) -> DataFrame:
+    """Adds what the remarks say: ``_own``, the factor of a split or bonus, and ``_terms`` of a rights issue.
+
+    Remarks are read on the actions alone, before these meet the bars, and each pattern is run once: joined into one formula they make a method
+    too long for the JVM to compile, which every bar would pass too.
+    """
+    kind, found = F.col("action_type"), {k: F.col(f"_{k}") for k in corporate.NUMBERS}
+    terms = F.struct(*[c.alias(k) for k, c in corporate.rights_of(found).items()])
+    return actions.withColumns({f"_{k}": c for k, c in corporate.numbers(F.col("raw_description")).items()}).withColumns({
+        "_own": F.when(kind == "Split", corporate.split_of(found)).when(kind == "Bonus", corporate.bonus_of(found)),
+        "_terms": F.when(kind == "Rights", terms),
+    }).select(*actions.columns, "_own", "_terms")
+
+
 def _factor() -> Column:
     """From the remark for splits and bonuses, from terms and cum price for rights, null otherwise."""
-    terms = corporate.rights_terms(F.col("raw_description"))
-    return (
-        F.when(F.col("action_type") == "Split", corporate.split_from_remark(F.col("raw_description")))
-        .when(F.col("action_type") == "Bonus", corporate.bonus_from_remark(F.col("raw_description")))
-        .when(
-            F.col("action_type") == "Rights",
-            corporate.rights_factor(terms["offered"], terms["held"], terms["subscription"], F.col("cum_close")),
-        )
+    terms = F.col("_terms")
+    return F.coalesce(
+        F.col("_own"), corporate.rights_factor(terms["offered"], terms["held"], terms["subscription"], F.col("cum_close"))
     )
 
 
 def resolve_factors(actions: DataFrame, bars: DataFrame) -> DataFrame:
     """Adds ``factor``."""
-    return with_cum_close(actions, bars).withColumn("factor", _factor())
+    return with_cum_close(_read(actions), bars).withColumn("factor", _factor()).drop("_own", "_terms")
 
 
 def factor_per_date(factors: DataFrame) -> DataFrame:
@@ -65,6 +74,25 @@ def adjusted_bars(bars: DataFrame, factors: DataFrame) -> DataFrame:
     )
 
 
+def adjusted_by_actions(bars: DataFrame, actions: DataFrame) -> DataFrame:
+    """``adjusted_bars`` straight from unresolved actions: one shuffle of both serves the cum prices and the factors that come later."""
+    steps = _read(actions.filter(F.col("action_type").isin(*PRICE_ACTIONS))).select(
+        "security_id", F.col("effective_date").alias("date"), "_own", "_terms", F.lit(0).alias("_side")
+    )
+    rows = bars.withColumn("_side", F.lit(1)).unionByName(steps, allowMissingColumns=True)
+    # newest first; on one date the bar comes before the action, so the next bar is the one before the ex-date
+    newest = Window.partitionBy("security_id").orderBy(F.col("date").desc(), F.col("_side").desc())
+    later = newest.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_bar", F.when(F.col("_side") == 1, F.struct("close")))
+    rows = rows.withColumn("cum_close", F.expr("lead(_bar) IGNORE NULLS").over(newest)["close"]).withColumn("_f", _factor())
+    return (
+        rows.withColumn("_k", F.coalesce(F.product(F.when(F.col("_f") > 0, F.col("_f"))).over(later), F.lit(1.0)))
+        .filter(F.col("_side") == 1)
+        .withColumn("adj_close", F.col("close") * F.col("_k"))
+        .select(*bars.columns, "adj_close")
+    )
+
+
 def surrounding_prices(actions: DataFrame, bars: DataFrame) -> DataFrame:
     """First close on or after and last close before each ex-date, raw and adjusted, both within ten days."""
     near = MAX_BAR_DISTANCE_DAYS
@@ -86,7 +114,7 @@ def with_steps(actions: DataFrame, bars: DataFrame) -> DataFrame:
     the factors that come after it, which are all of the security's over those so far.
     """
     day = F.datediff("_on", F.lit("1970-01-01").cast("date")) * 2
-    left = actions.select("*", F.col("effective_date").alias("_on"), F.lit(True).alias("_action"))
+    left = _read(actions).select("*", F.col("effective_date").alias("_on"), F.lit(True).alias("_action"))
     right = bars.select("security_id", F.col("date").alias("_on"), F.col("close").alias("_close"))
     rows = left.unionByName(right, allowMissingColumns=True).withColumn("_at", day + F.when(F.col("_action"), 0).otherwise(1))
     w = Window.partitionBy("security_id").orderBy("_at")

@@ -74,7 +74,7 @@ def daily_returns(bars: DataFrame, value: str, out: str = "ret") -> DataFrame:
 # --- recursive smoothing -----------------------------------------------------------------------------------------
 #
 # y(t) = d*y(t-1) + u(t) is a sum of u(i)*d^(t-i). Within a block of rows that sum is one running window sum over
-# u(i)*d^-i, scaled back by d^t; the block keeps d^-i in range. A block hands its last value to the next one. Blocks
+# u(i)/d^i, scaled back by d^t; the block keeps d^i in range. A power costs more than a window's step, so each is taken once a row. A block hands its last value to the next one. Blocks
 # are long enough that what came two blocks earlier is below the last bit of a double (d^block <= 1e-17).
 
 
@@ -99,18 +99,21 @@ def decayed_sums(df: DataFrame, drives: dict[str, tuple[Column, float]]) -> Data
     """Adds y(t) = d*y(t-1) + u(t) for each ``out: (u, d)`` to blocked rows; u is zero before its start."""
     in_block = Window.partitionBy("security_id", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     before = by_block().rowsBetween(Window.unboundedPreceding, -1)
+    power = {d: f"_d{i}" for i, d in enumerate(sorted({d for _, d in drives.values()}))}
     return df.withColumns(
-        {f"_u_{o}": u * F.pow(F.lit(1 / d), F.col("_j")) for o, (u, d) in drives.items()}
+        {name: F.pow(F.lit(d), F.col("_j")) for d, name in power.items()}
     ).withColumns(
-        {f"_z_{o}": F.sum(f"_u_{o}").over(in_block) * F.pow(F.lit(d), F.col("_j")) for o, (_, d) in drives.items()}
+        {f"_u_{o}": u / F.col(power[d]) for o, (u, d) in drives.items()}
+    ).withColumns(
+        {f"_z_{o}": F.sum(f"_u_{o}").over(in_block) * F.col(power[d]) for o, (_, d) in drives.items()}
     ).withColumns(
         {f"_p_{o}": F.last(F.when(F.col("_last"), F.col(f"_z_{o}")), ignorenulls=True).over(before) for o in drives}
     ).withColumns(
         {
-            o: F.col(f"_z_{o}") + F.coalesce(F.col(f"_p_{o}"), F.lit(0.0)) * F.pow(F.lit(d), F.col("_j") + 1)
+            o: F.col(f"_z_{o}") + F.coalesce(F.col(f"_p_{o}"), F.lit(0.0)) * F.col(power[d]) * d
             for o, (_, d) in drives.items()
         }
-    ).drop(*[f"_{k}_{o}" for k in "uzp" for o in drives])
+    ).drop(*power.values(), *[f"_{k}_{o}" for k in "uzp" for o in drives])
 
 
 def seeded(value: Column, n: int, start: int, weight: float, over=None) -> Column:
@@ -138,11 +141,12 @@ def ema(bars: DataFrame, value: str, n: int, out: str) -> DataFrame:
     return unblocked(df).withColumn(out, F.when(F.col("rn") >= n, F.col(out))).drop("_d")
 
 
-def _macd(df: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
-    """macd and its signal from blocked rows that carry the two averages ``_ef`` and ``_es``."""
+def _macd(df: DataFrame, fast: int, slow: int, signal: int, **also: Column) -> DataFrame:
+    """macd and its signal from blocked rows that carry the two averages ``_ef`` and ``_es``. ``also`` names further columns over
+    ``by_block``, which the pass of the signal's seed computes along."""
     w = 2.0 / (signal + 1)
     df = df.withColumn("macd", F.when(F.col("rn") >= slow, F.col("_ef") - F.col("_es")))
-    df = df.withColumn("_dm", seeded(F.col("macd"), signal, slow, w, running_block()))
+    df = df.withColumns({"_dm": seeded(F.col("macd"), signal, slow, w, running_block()), **also})
     df = decayed_sums(df, {"_sig": (F.col("_dm"), 1 - w)})
     return df.withColumn("macd_signal", F.when(F.col("rn") >= slow + signal - 1, F.col("_sig"))).drop("_dm", "_sig")
 
@@ -217,16 +221,14 @@ def indicators(bars: DataFrame, value: str = "adj_close", keep: tuple[str, ...]
         "_dl": seeded(F.col("_l"), 14, 2, 1 / 14),
         "_dt": seeded(F.col("_tr"), 14, 2, 1 / 14),
     })
-    df = df.withColumns({
-        "_s50": F.lag("_s", 50).over(by_date()), "_s200": F.lag("_s", 200).over(by_date()),
-        "_q1": F.lag("_r1", 30).over(by_date()), "_q2": F.lag("_r2", 30).over(by_date()),
-    })
     d14 = 13 / 14
     df = decayed_sums(blocked(df, block_rows(25 / 27)), {
         "_ef": (F.col("_df"), 11 / 13), "_es": (F.col("_ds"), 25 / 27), "_ag": (F.col("_dg"), d14),
         "_al": (F.col("_dl"), d14), "_at": (F.col("_dt"), d14),
     })
-    df = _macd(df, 12, 26, 9).withColumn("_index", strength_index(14, running_block()))
+    back = {"_s50": ("_s", 50), "_s200": ("_s", 200), "_q1": ("_r1", 30), "_q2": ("_r2", 30)}
+    df = _macd(df, 12, 26, 9, _index=strength_index(14, running_block()), **{
+        out: F.lag(c, n).over(by_block()) for out, (c, n) in back.items()})
     m1 = (F.col("_r1") - F.col("_q1")) / 30
     m2 = (F.col("_r2") - F.col("_q2")) / 30
     rn = F.col("rn")

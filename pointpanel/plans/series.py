@@ -20,7 +20,7 @@ def factors(fx: Fixtures):
 
 
 def adjusted(fx: Fixtures):
-    return act.adjusted_bars(fx.bars, factors(fx))
+    return act.adjusted_by_actions(fx.bars, fx.actions)
 
 
 def _out(df, *cols, digits=4):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,41 @@ def test_a_price_that_is_no_number_is_no_bar(spark):
     spoilt = bars(spark, closes[:100] + [float("nan")] + closes[100:])
     got = values(series.rolling_mean(series.numbered(spoilt), "close", 50, "m"), "m")
     assert got[:49] == [None] * 49 and got[49:] == pytest.approx(clean[49:])
+
+
+def remarked(spark, rows):
+    return spark.createDataFrame(
+        [(sid, DAY + dt.timedelta(day), kind, text) for sid, day, kind, text in rows],
+        "security_id long, effective_date date, action_type string, raw_description string")
+
+
+def test_adjusting_by_actions_equals_resolving_factors_first(spark):
+    rights = "Rights equity shares of Rs. 10/- in the ratio of 1 : 2 @ premium of Rs. 30/-"
+    acts = remarked(spark, [
+        (1, 0, "Rights", rights), (1, 4, "Rights", rights), (1, 4, "Split", "from Rs. 10 to Rs. 5"), (1, 4, "Dividend", None), (1, 9, "Bonus", "none"),
+        (1, 12, "Bonus", "ratio of 1:2"), (1, 40, "Split", "from Rs. 10 to Rs. 2"), (2, 5, "Rights", rights), (3, 1, "Split", "from Rs. 10 to Rs. 5"),
+    ])
+    patchy = bars(spark, [60, 0, 80, 0, 0, 90], sid=2).withColumn("close", F.nullif("close", F.lit(0.0)))
+    frame = bars(spark, range(100, 115)).filter(F.date_diff("date", F.lit(DAY)) != 4).unionByName(patchy)
+    want = actions.adjusted_bars(frame, actions.resolve_factors(acts, frame))
+    got = actions.adjusted_by_actions(frame, acts)
+    plain = [sorted(map(str, df.withColumn("adj_close", F.round("adj_close", 9)).collect())) for df in (got, want)]
+    assert got.columns == want.columns and plain[0] == plain[1]
+    first = values(got.filter("security_id = 1"), "adj_close")[0]
+    assert first == pytest.approx(100 * 0.2 * (2 / 3) * 0.5 * (2 * 103 + 40) / 3 / 103)
+    assert values(got.filter("security_id = 2"), "adj_close")[0] == 60.0  # the cum price is unknown, so nothing is diluted
+
+
+def test_bars_pass_no_method_that_is_too_long_to_compile(spark, capsys):
+    """Above 8,000 bytes the JVM interprets a method, for each bar that runs through it."""
+    frame, acts = bars(spark, [100, 100, 50]), remarked(spark, [(1, 2, "Split", "from Rs. 10 to Rs. 5")])
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        resolved = actions.resolve_factors(acts, frame)
+        for df in (actions.adjusted_bars(frame, resolved), actions.adjusted_by_actions(frame, acts), actions.with_steps(acts, frame)):
+            df.explain("codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
