@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointpanel.functions.vocabulary import DEFAULT_LIMIT, MAX_LIMIT, METRIC_COLUMN
-from pointpanel.operators import predicate_index
+from pointpanel.operators import first_matches
 from pointpanel.operators.asof import latest_as_of
 from pointpanel.session import stored
 
@@ -101,23 +101,23 @@ def screen_many(frame: DataFrame, criteria: DataFrame, keep: list[str]) -> DataF
     """Any number of criteria over one frame: rows (criteria_key, rank, *keep), each criteria with its own universe, order and limit.
 
     ``criteria`` has one row per *distinct* content key, as ``concepts.parsed_criteria`` gives them: criteria_key, exchange, sector,
-    comparisons array<struct<field, operator, value>>, sort_field, descending, limit. Matches come from ``predicate_index``, so the work grows
-    with them and no list passes through the driver. ``frame`` has one row per security. A metric it lacks is unknown, which selects nothing.
+    comparisons array<struct<field, operator, value>>, sort_field, descending, limit. Matches come from ``first_matches``, so only the first of
+    each criteria are moved and no list passes through the driver. ``frame`` has one row per security. A metric it lacks is unknown, which selects nothing.
     """
     have = [f for f, column in METRIC_COLUMN.items() if column in frame.columns]
     frame = stored(frame, "frame")
-    found = predicate_index.matches(frame, criteria, "security_id", have)
-    sorts = F.create_map(*[x for f in have for x in (F.lit(f), F.col(METRIC_COLUMN[f]).cast("double"))])
-    rows = frame.select("security_id", "ticker", sorts.alias("_m"), *[c for c in dict.fromkeys(keep) if c not in ("security_id", "ticker")])
-    named = found.join(rows, "security_id").join(criteria.select("criteria_key", "sort_field", "descending", "limit"), "criteria_key").withColumn(
-        "_value", F.try_element_at("_m", F.col("sort_field"))).drop("_m")
+    found = first_matches.first_matches(frame, criteria, "security_id", have)
+    named = found.join(criteria.select("criteria_key", "sort_field", "descending", "limit"), "criteria_key")
     # as top_rows: nulls first when ascending and last when descending; the ticker orders where no field does
     order = [
         F.when(F.col("sort_field").isNull(), 0).otherwise((F.col("_value").isNull() == F.col("descending")).cast("int")),
         F.when(F.col("descending"), -F.col("_value")).otherwise(F.col("_value")),
         F.when(F.col("sort_field").isNull(), F.col("ticker")), F.col("security_id"),
     ]
-    return top_per_group(named, ["criteria_key"], order, F.col("limit"), at_most=MAX_LIMIT).select("criteria_key", "rank", *keep)
+    first = top_per_group(named, ["criteria_key"], order, F.col("limit"), at_most=MAX_LIMIT)
+    own = [c for c in dict.fromkeys(keep) if c not in first.columns]
+    first = first.join(frame.select("security_id", *own), "security_id") if own else first
+    return first.select("criteria_key", "rank", *keep)
 
 
 def top_per_group(rows: DataFrame, group: list[str], order: list, n: Column | int, at_most: int | None = None) -> DataFrame:

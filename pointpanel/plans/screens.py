@@ -362,10 +362,13 @@ def distinct_criteria(saved: DataFrame) -> DataFrame:
 
 
 def bulk_frame(fx: Fixtures) -> DataFrame:
-    """The panel as of one date with ratios and a technical metric."""
-    bars = series.rolling_mean(series.numbered(_raw(fx)), "close", 50, "sma50")
+    """The panel as of one date with ratios and a technical metric. Later bars have no part in it, so they leave before the bars are written for
+    both uses and before the windows."""
+    known = stored(fx.bars.where(F.col("date") <= F.lit(AS_OF).cast("date")).select("security_id", "date", "close", "volume"), "bars")
+    bars = series.rolling_mean(series.numbered(known.withColumn("adj_close", F.col("close"))), "close", 50, "sma50")
     latest = latest_as_of(bars, AS_OF, ["close", "adj_close", "volume", "sma50"], date_alias="price_date")
-    ratios = latest_as_of(ratios_of(fx), AS_OF, screen.RATIO_COLUMNS, date="reported_date")
+    filed = fx.fundamentals_v2.where(F.col("reported_date") <= F.lit(AS_OF).cast("date"))
+    ratios = latest_as_of(valuation.ratios(filed, known), AS_OF, screen.RATIO_COLUMNS, date="reported_date")
     return fx.securities.join(latest, "security_id").join(ratios, "security_id", "left")
 
 

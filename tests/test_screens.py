@@ -160,6 +160,52 @@ def test_index_join_is_dealt_by_the_pairs_it_makes(spark, monkeypatch):
     assert max(tasks) <= 10 * 2_000
 
 
+def test_only_the_first_matches_of_a_cell_leave_it(spark, monkeypatch):
+    """Ranks equal brute force over nulls, NaN, zeros and ties, and of each cell a criteria takes no more rows than its limit."""
+    from pointpanel.operators import first_matches
+
+    rng = random.Random(3)
+    draw = lambda: rng.choice([None, float("nan"), 0.0, -0.0, float("inf"), *map(float, range(-3, 9))])
+    rows = [(i, f"T{rng.randrange(90):03d}" if i % 9 else None, rng.choice(["ASIA", "EUROPE", None]), draw(), draw()) for i in range(150)]
+    df = spark.createDataFrame(rows, "security_id long, ticker string, exchange string, close double, pe double")
+    ops, column = list(screen.COMPARE)[:4], {"ClosePrice": 3, "PeRatio": 4}
+    made = []
+    for k in range(400):
+        own = [(rng.choice(["ClosePrice", "PeRatio"] if k % 40 else ["Sma50", "PeRatio"]), rng.choice(ops), float(rng.randrange(-3, 9))) for _ in range(k % 4)]
+        made.append((f"k{k}", rng.choice([None, None, "ASIA", "AFRICA"]), None, own, rng.choice([None, "PeRatio", "ClosePrice", "Sma50"]), rng.random() < 0.5, rng.choice([1, 3, 1000])))
+    criteria = spark.createDataFrame(made, "criteria_key string, exchange string, sector string, "
+                                     "comparisons array<struct<field:string,operator:string,value:double>>, sort_field string, descending boolean, limit int")
+    key = lambda v: (v != v, 0.0 if v != v else v)  # noqa: E731 - NaN is the largest
+    value = lambda r, f: r[column[f]] if f in column else None
+
+    def before(r, field, descending):
+        if field is None:
+            return (r[1] is not None, r[1] or "", r[0])
+        v = value(r, field)
+        return ((v is None) == descending, key(0.0 if v is None else -v if descending else v), r[0])
+
+    want = set()
+    for name, place, _, own, field, descending, limit in made:
+        hits = [r for r in rows if own and (place is None or r[2] == place) and all(
+            value(r, f) is not None and screen.COMPARE[op](key(value(r, f)), key(v)) for f, op, v in own)]
+        want |= {(name, n + 1, r[0]) for n, r in enumerate(sorted(hits, key=lambda r: before(r, field, descending))[:limit])}
+    monkeypatch.setattr(first_matches, "CELL_ROWS", 40)
+    monkeypatch.setattr(first_matches, "CELL_CRITERIA", 150)
+    assert {tuple(r) for r in screen.screen_many(df, criteria, ["security_id"]).collect()} == want
+    moved = first_matches.first_matches(df, criteria, "security_id", list(column)).groupBy("criteria_key").count()
+    assert moved.join(criteria, "criteria_key").where("count > 4 * limit").isEmpty()
+
+
+def test_later_bars_take_no_part_in_the_bulk_frame(spark, monkeypatch):
+    from pointpanel.fixtures import Fixtures
+    from pointpanel.plans import screens
+
+    kept = []
+    monkeypatch.setattr(screens, "stored", lambda df, label: kept.append(df) or df)
+    screens.bulk_frame(Fixtures(spark, "/root/testdata/sf0.001"))
+    assert [str(df.agg(F.max("date")).first()[0]) <= screens.AS_OF for df in kept] == [True]
+
+
 def test_longer_alias_consumes_its_words(spark):
     df = spark.createDataFrame([("Cheap, not OVERBOUGHT!",), ("cheapest",), ("low-debt & low   leverage",), ("low conservative balance sheet debt",)], "t string")
     got = [sorted(r.t) for r in df.select(concepts.tags(F.col("t")).alias("t")).collect()]
