@@ -38,7 +38,7 @@ def write_eod(fx: Fixtures, root: str) -> None:
     y = F.year("date")
     parts = {"legacy": y < 1998, "udiff": (y >= 1998) & (y < 2000), "full": y >= 2000}
     formats = {"legacy": "dd-MMM-yyyy", "udiff": "yyyy-MM-dd", "full": "dd-MMM-yyyy"}
-    rows = stored(eod_rows(fx), "eod-rows")
+    rows = eod_rows(fx.with_stored_bars())
     for layout, mine in parts.items():
         names = eod_files.LAYOUTS[layout]
         pad = " " if layout == "full" else ""
@@ -46,7 +46,8 @@ def write_eod(fx: Fixtures, root: str) -> None:
         text = {f: F.col(f).cast("string") for f in eod_files.FIELDS} | {"date": F.upper(d) if layout == "legacy" else d}
         good = rows.filter(mine).select(*[F.concat(F.lit(pad), text[f]).alias(n) for f, n in zip(eod_files.FIELDS, names) if n])
         bad = good.limit(1).withColumn(names[2], F.lit("n/a"))
-        good.unionByName(bad).write.option("header", "true").option("ignoreLeadingWhiteSpace", "false").csv(f"{root}/{layout}")
+        good.unionByName(bad).write.options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}).option("header", "true").option(
+            "ignoreLeadingWhiteSpace", "false").csv(f"{root}/{layout}")
 
 
 def q_src_eod_csv(spark, sf):

@@ -87,15 +87,21 @@ def headers(lines: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["file"])
 
 
+def layouts(lines: DataFrame) -> DataFrame:
+    """(file, lines, n, one position per field) of every file, in one pass over its lines; n is null where no known header is among them."""
+    found = F.when(_marked(F.col("value")), _layout(F.transform(_cells(F.upper("value")), lambda c: F.trim(c))))
+    return lines.groupBy("file").agg(F.count("*").alias("lines"), F.get(F.collect_set(found), 0).alias("l")).select("file", "lines", "l.*")
+
+
 def unknown_layouts(lines: DataFrame) -> DataFrame:
     """Files no layout fits; an ingest must stop on them or count them as failed."""
     return lines.select("file").distinct().join(headers(lines), "file", "left_anti")
 
 
-def parse_eod(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def parse_eod(lines: DataFrame, keep: tuple[str, ...] = (), heads: DataFrame | None = None) -> DataFrame:
     """Equity rows of all files. Other series, trailers and unreadable rows are skipped, never the whole file. ``keep`` names columns of
-    ``lines`` to carry along."""
-    return _parsed(lines.join(headers(lines), "file"), keep)
+    ``lines`` or ``heads`` to carry along. ``heads`` are the headers, where these are known: a row a file, so no line is moved to meet them."""
+    return _parsed(lines.join(F.broadcast(headers(lines) if heads is None else heads), "file"), keep)
 
 
 def parse_archives(archives: DataFrame) -> DataFrame:

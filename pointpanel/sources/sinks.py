@@ -25,20 +25,20 @@ def merged(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFra
     return existing.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming)
 
 
-def upsert(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], partition: Column) -> None:
+def upsert(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], partition: Column, dealt: bool = False) -> None:
     """Upsert into a Parquet table partitioned by ``_part``, rewriting only the partitions the load touches.
 
     The load's partition values prune the read (dynamic partition pruning) and a dynamic overwrite replaces just those
-    folders, so a repeated load ends in the same table.
+    folders, so a repeated load ends in the same table. A first load that is ``dealt`` by its partition and first key is written where it lies.
     """
     load = incoming.withColumn("_part", partition)
     if _exists(spark, path):
         load = stored(load, "load")  # read three times below; a first load is read once and written at once
         table = spark.read.parquet(path).select(*load.columns)
         touched = table.join(F.broadcast(load.select("_part").distinct()), "_part", "left_semi").select(*load.columns)
-        load = merged(touched, load, [*keys, "_part"])
+        load, dealt = merged(touched, load, [*keys, "_part"]), False
     (
-        load.repartition("_part", *keys[:1]).sortWithinPartitions(*keys)
+        (load if dealt else load.repartition("_part", *keys[:1])).sortWithinPartitions("_part", *keys)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
     )
 

@@ -68,6 +68,31 @@ def test_a_first_load_is_written_once_and_its_sequence_carried_once(spark, tmp_p
     assert not writes and sorted(map(tuple, sinks.read_table(spark, path).collect())) == [("A", 1, 2.0, "x"), ("B", 1, 3.0, "y")]
 
 
+def test_an_ingest_moves_its_rows_once_and_keeps_no_lines(spark, tmp_path, monkeypatch):
+    """Headers go to the lines, and rows go straight to where the table wants them."""
+    from pointpanel.streaming import daily_ingest
+
+    for k, close in enumerate((1.65, 1.7)):
+        (tmp_path / f"{k}.csv").write_text(FULL + f"\nAAA, EQ, 06-Jan-2020, 1.5, 1.6, 1.7, 1.5, {close}, 200\n")
+    plans, kept = [], sinks.upsert
+    monkeypatch.setattr(daily_ingest, "TASK_ROWS", 1)
+    monkeypatch.setattr(sinks, "upsert", lambda spark, path, load, *more, **named: (
+        plans.append(load._jdf.queryExecution().executedPlan().toString()), kept(spark, path, load, *more, **named)))
+    bars = str(tmp_path.parent / f"{tmp_path.name}-bars")
+    daily_ingest.ingest_batch(spark, eod_files.read_lines(spark, str(tmp_path)), bars, str(tmp_path / "manifest"))
+    assert plans[0].count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plans[0] and "InMemoryTableScan" not in plans[0]
+    assert {(r.symbol, str(r.date)): r.close for r in sinks.read_table(spark, bars).collect()}[("AAA", "2020-01-06")] == 1.7
+
+
+def test_layouts_of_all_files_come_from_one_pass(spark):
+    full = [(f, line) for f in ("a", "b") for line in (FULL + "\nMYSYMBOL, EQ, 06-Jan-2020, 1, 1, 1, 1, 1, 2").split("\n")]
+    lines = spark.createDataFrame([*full, ("c", "SYMBOL,ELSE"), ("c", "1,2"), ("d", None)], "file string, value string")
+    got = {r.file: (r.lines, r.n) for r in eod_files.layouts(lines).collect()}
+    want = {r.file: r.n for r in eod_files.headers(lines).collect()}
+    assert {f: n for f, (_, n) in got.items() if n is not None} == want and want.keys() == {"a", "b"}
+    assert {r.file for r in eod_files.unknown_layouts(lines).collect()} == {"c", "d"} and got["c"] == (2, None) and got["d"] == (1, None)
+
+
 def test_one_file_per_day_identifier_layout_first(spark, tmp_path):
     land(tmp_path)
     (tmp_path / "sec_03012020.csv").write_text(FULL)
